@@ -40,15 +40,17 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED or context.master.startswith("local["):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "dialoom_package.zip")
-        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
-            for at, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(at, name)
-                        archive.write(full, os.path.join("dialoom", os.path.relpath(full, root)))
-        context.addPyFile(path)
+    # Executors fetch the file from the driver whenever they start, so it stays.
+    folder = tempfile.mkdtemp(prefix="dialoom-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "dialoom_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    archive.write(full, os.path.join("dialoom", os.path.relpath(full, root)))
+    context.addPyFile(path)
     _SHIPPED.add(context.applicationId)
 
 
