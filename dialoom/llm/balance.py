@@ -78,6 +78,20 @@ def flight(keys: np.ndarray, groups: np.ndarray, chance: np.ndarray, seed: int,
     return p
 
 
+def _merge(seed: int, salt: int, top: bool):
+    """A merging step over the unresolved rows of several partitions; the last
+    one is the landing."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        p = flight(pdf["id"].to_numpy(), pdf["grp"].to_numpy(), pdf["p"].to_numpy(), seed, salt)
+        if top:
+            p = (_uniform(pdf["id"].to_numpy(), seed, salt + 999) < p).astype(float)
+        return pdf.assign(p=p)[p > 0]
+
+    return run
+
+
 def balanced_sample(df: DataFrame, shares: DataFrame, population: str, key: str, category: str = "category", seed: int = 7) -> Balanced:
     """Sample of `df` and report against the rows of `shares` (population,
     category, target_share, min_rows, sample_rate) for `population`.
@@ -126,14 +140,7 @@ def balanced_sample(df: DataFrame, shares: DataFrame, population: str, key: str,
         if parts is None:
             break
 
-        def again(pdf: pd.DataFrame, salt: int = 1000 * level, top: bool = parts == 0) -> pd.DataFrame:
-            pdf = pdf.sort_values("id")
-            p = flight(pdf["id"].to_numpy(), pdf["grp"].to_numpy(), pdf["p"].to_numpy(), seed, salt)
-            if top:  # landing
-                p = (_uniform(pdf["id"].to_numpy(), seed, salt + 999) < p).astype(float)
-            return pdf.assign(p=p)[p > 0]
-
-        merged = left.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("part").applyInPandas(again, schema)
+        merged = left.withColumn("part", (F.col("part") / FAN_IN).cast("int")).groupBy("part").applyInPandas(_merge(seed, 1000 * level, parts == 0), schema)
         merged = cut(merged)
         chosen = chosen.unionByName(merged.where("p = 1").select("id"))
         left, level = merged.where("p < 1"), level + 1
