@@ -35,9 +35,9 @@ def local_session(cores: int | str = "*", memory: str = "8g", app: str = "dialoo
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster, once per application."""
+    """Send this package to the Python workers, once per application."""
     context = spark.sparkContext
-    if context.applicationId in _SHIPPED or context.master.startswith("local["):
+    if context.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     # Executors fetch the file from the driver whenever they start, so it stays.
