@@ -199,7 +199,8 @@ def near_texts(texts: DataFrame) -> DataFrame:
     able = F.array(*[F.when((size >= F.lit(lo * (1 - EDITS) - 1)) & (size <= F.lit(hi / (1 - EDITS) + 1)), F.lit(k)) for k, (lo, hi) in sorted(ranges.items())])
     # Training texts are salted, so that a block is worked on by many tasks.
     salts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(ranges))
-    train = texts.where("part = 'train'").select("digest", "text", F.explode(F.filter(able, lambda x: x.isNotNull())).alias("block"), F.pmod(F.xxhash64("digest"), F.lit(salts)).alias("salt"))
+    # Names of its own: both sides come from one table, and a cogroup tells columns by their origin.
+    train = texts.where("part = 'train'").select(F.col("digest").alias("name"), F.col("text").alias("body"), F.explode(F.filter(able, lambda x: x.isNotNull())).alias("block"), F.pmod(F.xxhash64("digest"), F.lit(salts)).alias("salt"))
     held = held.select("digest", "text", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -207,7 +208,7 @@ def near_texts(texts: DataFrame) -> DataFrame:
         if len(left) and len(right):
             texts_, names = list(left["text"]), list(left["digest"])
             index = Index(texts_, counts.value)
-            for name, text in zip(right["digest"], right["text"]):
+            for name, text in zip(right["name"], right["body"]):
                 for i, far in index.probe(text):
                     if names[i] != name:
                         a.append(names[i])
