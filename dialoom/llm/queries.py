@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialoom.llm import balance, copies, encode, lookalike, pack, residue, splits
+from dialoom.llm import balance, copies, encode, lookalike, pack, privacy, residue, splits
 from dialoom.session import table
 
 #: Populations of problem 3 and their keys.
@@ -62,6 +62,14 @@ def p4_kept(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(records, residue.residue(records)).select("record_kind", "record_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.personal_data(table(spark, d, "candidate"))
+
+
+def p5_sanitized(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.sanitize(table(spark, d, "candidate"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_overlaps(table(spark, d, "messages_sft")).select("msg_id_a", "msg_id_b")
 
@@ -80,7 +88,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_kept, p6_found, p6_report, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_kept, p5_found, p5_sanitized, p6_found, p6_report, p8_ids, p9_containers)}
 
 
 #: Equivalent SQL where it is simple enough to be trusted.
