@@ -166,29 +166,26 @@ class Fold:
         if not text:
             return ""
         out = text if text.isascii() and "\r" not in text and not _CONTROL.search(text) else _NEWLINE.sub("\n", text.translate(SIMPLE))
-        rich = _COMPOSE.search(out) is not None
-        if rich:
-            out = unicodedata.normalize("NFD", out).translate(SIMPLE)
-        tokens = TOKEN.findall(out)
-        if not tokens:
-            return unicodedata.normalize("NFC", out) if rich else out
-        lean, open_tokens = self._lean(tokens)
-        if open_tokens or rich:
-            out = TOKEN.sub(lambda m: self._token(m.group(), lean), out)
-        return unicodedata.normalize("NFC", out) if rich else out
-
-    def _lean(self, tokens: list[str]) -> tuple[tuple[int, int, int], bool]:
-        lean, open_tokens = [0, 0, 0], False
+        # Without a letter beyond plain Latin there is no reading but the Latin one.
+        if not _COMPOSE.search(out):
+            return out
+        out = unicodedata.normalize("NFD", out).translate(SIMPLE)
+        lean = self._lean(TOKEN.findall(out))
+        return unicodedata.normalize("NFC", TOKEN.sub(lambda m: self._token(m.group(), lean), out))
+
+    def _lean(self, tokens: list[str]) -> tuple[int, int, int]:
+        """How many tokens only Latin, Greek or Cyrillic can write, up to 3 each."""
+        lean = [0, 0, 0]
         for token in tokens:
             known = _forced(token)
-            if known < 0:
-                open_tokens = True
-            else:
+            if known >= 0:
                 lean[known] = min(3, lean[known] + 1)
-        return tuple(lean), open_tokens
+        return tuple(lean)
 
     def _token(self, token: str, lean: tuple[int, int, int]) -> str:
-        return self.resolve(_shape(token), lean)
+        # A text that no word ties to another script is read as Latin.
+        shape = _shape(token)
+        return self.resolve(shape, lean) if lean[1] or lean[2] else _latin(shape)
 
 
 _CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
@@ -200,6 +197,12 @@ def _shape(token: str) -> str:
     return "".join(_first(_CLASS[c]) if c in _CLASS else c for c in token)
 
 
+@lru_cache(200_000)
+def _latin(shape: str) -> str:
+    """Latin letters where the shape has them."""
+    return "".join(_CLASS[c][0] if c in _CLASS and _CLASS[c][0] != "." else c for c in shape)
+
+
 def _first(group: str) -> str:
     return next(c for c in group if c != ".")
 

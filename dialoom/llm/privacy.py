@@ -57,13 +57,14 @@ STREET = re.compile(
     r"|\b\d{1,4} (?:[A-Z][a-z]+ ){1,3}(?:Way|Drive|Close|Place|Terrace|Square|Row|Crescent|St|Rd|Ave)\b",
     re.I,
 )
+_ENGLISH = re.compile(r"\d,? [A-Za-z]+ [A-Za-z]+")
 _STRICT_STREET = re.compile(r"(?:way|drive|close|place|terrace|square|row|crescent|st|rd|ave)$", re.I)
 
 _HAN = "[一-鿿]"
 #: Fields and phrases whose content is a name beyond doubt.
 SURE_NAME = re.compile(rf"(?:收件人|收货人|联系人)[:=]({_HAN}{{2,4}})(?=[\n;|/,。]|$)|登记在({_HAN}{{2,4}})名下|签收的是({_HAN}{{2,4}})本人|我叫({_HAN}{{2,4}})(?=[,。!?~\n]|$)")
 _ENGLISH_NAME = re.compile(r"\b(?:my name is|i am called|name:)\s+([A-Za-z][\w'’-]+(?:\s+[A-Za-z][\w'’-]+){1,2})", re.I)
-_HINT = re.compile(r"@|\bat\b|\d{3}[\d\s-]{5}|\d-\d|[零〇一二三四五六七八九]{9}|[路街巷道弄同]\d|[栋幢座楼元]|name|[A-Za-z]\d{7}", re.I)
+_HINT = re.compile(r"@|\b[aA][tT]\b|\d{3}[\d\s-]{5}|\d-\d|[零〇一二三四五六七八九]{9}|[路街巷道弄同]\d|\d[栋幢座号单]|[nN][aA][mM][eE]|fl|FL|Fl|fL|\d [A-Za-z]+ [A-Za-z]+|[A-Za-z]\d{7}")
 _SPACES = re.compile(r"[ \t　]+")
 _HAN_SPACE = re.compile(rf"(?<={_HAN})[ \t]+(?=[\w(+])|(?<=[\w)])[ \t]+(?={_HAN})")
 
@@ -92,7 +93,7 @@ def collect(texts: list[str]) -> dict[str, Counter]:
                 first[name[0]] += 1
                 if len(name) == 4:
                     pairs[name[:2]] += 1
-        for m in _NUMBER.finditer(text):
+        for m in _NUMBER.finditer(text) if _LONG.search(text) else ():
             term = context_of(text, m.start())
             contexts[term] += 1
             if ID18.fullmatch(m.group()) and valid_id(m.group()) or ID9.fullmatch(m.group()):
@@ -104,6 +105,9 @@ def collect(texts: list[str]) -> dict[str, Counter]:
 _NUMBER = re.compile(rf"{ID18.pattern}|(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-])|(?<![A-Za-z\d-])[A-Za-z]{{0,2}}\d{{7,18}}(?![A-Za-z\d-])")
 
 
+_LONG = re.compile(r"\d{6}|\d-\d\d-\d")
+
+
 class Disclosure:
     """Terms that disclose a protected entity, from corpus counts."""
 
@@ -145,10 +149,10 @@ class Finder:
                 if valid_id(m.group()):
                     out.append(("idnum", *m.span()))
             out += [("idnum", *m.span()) for m in ID9.finditer(shown)]
-            for m in PAPER.finditer(shown):
+            for m in PAPER.finditer(shown) if self.terms.contexts else ():
                 if context_of(shown, m.start()) in self.terms.contexts:
                     out.append(("idnum", *m.span()))
-            for m in STREET.finditer(shown):
+            for m in STREET.finditer(shown) if _ENGLISH.search(shown) else ():
                 if not _STRICT_STREET.search(m.group()) or m.group()[0].isdigit() and re.search(r"\d [A-Z]", m.group()):
                     out.append(("address", *m.span()))
             out += [("name", *m.span(1)) for m in _ENGLISH_NAME.finditer(shown)]
