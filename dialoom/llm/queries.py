@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialoom.llm import balance, copies, encode, lookalike, pack, privacy, residue, splits
+from dialoom.llm import balance, copies, encode, lookalike, pack, pairs, privacy, residue, splits
 from dialoom.session import table
 
 #: Populations of problem 3 and their keys.
@@ -79,6 +79,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return splits.overlap_report(records, splits.split_overlaps(records))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "candidate"), table(spark, d, "repair_group"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"))
 
@@ -88,7 +92,7 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_kept, p5_found, p5_sanitized, p6_found, p6_report, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_kept, p5_found, p5_sanitized, p6_found, p6_report, p7_found, p8_ids, p9_containers)}
 
 
 #: Equivalent SQL where it is simple enough to be trusted.
