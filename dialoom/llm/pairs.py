@@ -27,9 +27,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.forms import Fold
+from dialoom.llm.forms import SIMPLE, Fold
 from dialoom.llm.privacy import ADDRESS, EMAIL, ID18, ID9, PAPER, PHONE, STREET
-from dialoom.llm.residue import Residue, anchors
+from dialoom.llm.residue import BUCKETS, Residue, marker_names
 
 #: Pairs that the classifier is fitted on (a bounded sample, by hash of the key).
 TRAIN_PAIRS = 4000
@@ -61,7 +61,7 @@ for _name, _words in WORDS.items():
 _VIETNAMESE = re.compile(r"[ạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹđơư]")
 #: Product names and codes, order tags and addresses say nothing about language.
 _NAMES = re.compile(
-    r"[A-ZÀ-ÞĐ][\w'’-]*(?: Co)?\s?[A-Z]{2}-?\d+\w*|[㐀-鿿]{0,8}[A-Za-z]{2}-\d+\w*|[A-ZÀ-ÞĐ][\w'’-]{2,}(?: Co)?(?=[㐀-鿿])|[\w.+-]+\s?@\s?[\w.-]+|单号是|编号|订单尾号|我的订单|订单|就是\s*\w*那一单|\border\b|\b[A-Z]{2}\d{6,}\b"
+    r"[A-ZÀ-ÞĐ][A-Za-zÀ-ɏ'’-]*(?: Co)?\s?[A-Z]{2}-?\d+[A-Za-z]*|[㐀-鿿]{0,8}[A-Za-z]{2}-\d+[A-Za-z]*|[A-ZÀ-ÞĐ][A-Za-zÀ-ɏ'’-]{2,}(?: Co)?(?=[㐀-鿿])|[\w.+-]+\s?@\s?[\w.-]+|单号是|编号|订单尾号|我的订单|订单|就是\s*\w*那一单|\border\b|\b[A-Z]{2}\d{6,}\b"
 )
 _SPLIT = re.compile(r"[㐀-鿿]|[぀-ヿ]|[가-힣]|[Ѐ-ӿ]+|[฀-๿]|[A-Za-zÀ-ɏḀ-ỿ]+(?:'[a-z]+)?")
 
@@ -70,7 +70,9 @@ _CAN_NOT = "无法 不能 不便 拒绝 无权 没有权限 没办法 不予 恕
 _ANSWER = "回答 作答 答复 回应 回复 讨论 谈论 评论 解答 帮助 提供 判断 继续 奉告 完成 协助 服务范围".split()
 REFUSAL = re.compile(
     rf"(?:{'|'.join(_CAN_NOT)}).{{0,12}}?(?:{'|'.join(_ANSWER)})|(?:请求|问题|话题|内容).{{0,8}}(?:只能拒绝|拒绝|不予)|无可奉告|(?:限制|敏感|违规)内容|恕不回复|语言(?:程序|模型)"
-    r"|(?:can(?:no|')t|cannot|not able to|unable to|won't|must decline|have to decline|refuse to)\b.{0,30}\b(?:help|assist|answer|respond|discuss|provide|comply|request|topic|comment)|as an? (?:ai|assistant|language model)",
+)
+REFUSAL_LATIN = re.compile(
+    r"(?:can(?:no|')t|cannot|not able to|unable to|won't|must decline|have to decline|refuse to)\b.{0,30}\b(?:help|assist|answer|respond|discuss|provide|comply|request|topic|comment)|as an? (?:ai|assistant|language model)",
     re.I,
 )
 #: A shop's own negative answer speaks of goods, prices, orders.
@@ -79,7 +81,7 @@ _PARTICLES = set("哦哈呢啦哟噢嘛")
 _CLOSED = re.compile(r"(?:[哦哈呢啦吗吧呀啊嘛哟噢぀-ヿ가-힣฀-๿]|[。!?！？]|(?<!\.)\.)[\s~～…)」』”\"']*$")
 #: The number of a list that does not follow.
 _LISTED = re.compile(r"[:：]\s*\d{1,2}\.$")
-_OPEN = re.compile(r"[(（「『“‘\[【《<][^)）」』”’\]】》>]*$|[-–—,，、:：(（「『“]\s*$|[:：]\s*\d{1,2}\.\s*$")
+_OPEN = re.compile(r"[(（「『“‘\[【《<][^)）」』”’\]】》>]*$|[-–—,，、:：(（「『“]\s*$|[:：]\s*\d{1,2}\.\s*$|(?:^|[\s,，。])先?把[㐀-鿿]{1,4}\W*$")
 _NAME_END = re.compile(r"(?:我叫|收件人写?|收件人[:：=]|名字是|name is)\s*\S{2,20}$|那一单\W*$|(?:店名叫|下就送)[㐀-鿿]{2,12}$|[A-Za-z]{0,2}\d{7,}\W*$", re.I)
 #: Three characters before a comma or closing mark inside a text: a phrase may end so.
 _BLANK_END = re.compile(r"([㐀-鿿])([㐀-鿿])([㐀-鿿])(?= [^\s…。,，])")
@@ -107,7 +109,7 @@ _REFUSED_PLAIN = [
 
 def units_of(shown: str) -> list[str]:
     """Characters of Han, kana and Hangul, words of other scripts, "0" for figures."""
-    return ["0" if u[0].isdigit() else u for u in UNIT.findall(shown.lower())]
+    return [u if u > ":" else "0" for u in UNIT.findall(shown.lower())]
 
 
 def ending(units: list[str], size: int) -> int:
@@ -126,9 +128,15 @@ def last_units(shown: str) -> tuple[list[str], bool]:
     return units, closed
 
 
+_HAN = re.compile(r"[㐀-鿿]")
+_OTHER = re.compile(r"[぀-ヿ가-힣Ѐ-ӿ฀-๿]")
+
+
 @lru_cache(50_000)
 def language(shown: str) -> str | None:
     """Language of a text apart from names and codes; None if it has too little."""
+    if not _OTHER.search(shown) and len(_HAN.findall(shown)) * 2 > len(shown):
+        return "zh"
     counts = {"han": 0, "kana": 0, "hangul": 0, "cyrillic": 0, "thai": 0}
     words = []
     for u in _SPLIT.findall(_NAMES.sub(" ", shown)):
@@ -204,25 +212,35 @@ class Reader:
     def known_end(self, shown: str) -> float:
         """1 for a closed text; else how usual it is that texts end so: the larger
         share of turns, and of closed texts, among all with this ending."""
-        units, closed = last_units(shown)
-        if closed or not units:
-            return float(closed)
+        text = shown.rstrip()
+        if _CLOSED.search(text) and not _LISTED.search(text):
+            return 1.0
+        units = last_units(shown)[0]
+        if not units:
+            return 0.0
         turns, marked, every = (float(x) for x in self.ends[:, ending(units, 3)])
         return max(turns if turns >= 2 else 0.0, marked) / (every + 1.0)
 
-    def example(self, asked: str, reply: str) -> Example:
-        shown = self.fold(reply)
-        units = units_of(shown)
-        question, spoken = self.asked(asked or "")
-        low = [crc32(u.encode("utf-8", "surrogatepass")) for u in units]
-        grams = np.array([h % HASHED for h in low] + [(a * 31 + b) % HASHED for a, b in zip(low, low[1:])] + [ending(units, n) * 7 % HASHED for n in (1, 2)], np.int64)
+    def signs(self, asked: str, shown: str, units: list[str]) -> list[float]:
+        """The pair features; verifying looks at them too."""
+        question, spoken = self.asked(asked)
+        refused = (REFUSAL.search(shown) or REFUSAL_LATIN.search(shown)) is not None
         of_asked, of_reply = overlap(question, units) if 0.6 * len(question) <= len(units) else (0.0, 0.0)
         end = self.known_end(shown)
-        dense = [
-            1.0, min(1.0, end * 5), float(end < USUAL), float(bool(_OPEN.search(shown))), float(bool(REFUSAL.search(shown))), of_asked, of_reply, float(of_asked > 0.85), float(of_asked > 0.85 and of_reply > 0.4),
+        return [
+            1.0, min(1.0, end * 5), float(end < USUAL), float(bool(_OPEN.search(shown))), float(refused), of_asked, of_reply, float(of_asked > 0.85), float(of_asked > 0.85 and of_reply > 0.4),
             float(differs(spoken, language(shown))), float(bool(_TRAIL.search(shown))), min(len(units), 60) / 60,
         ]
-        return Example(grams, np.array(dense))
+
+    def example(self, asked: str, shown: str) -> Example:
+        units = units_of(shown)
+        return self.grams(units, self.signs(asked or "", shown, units))
+
+    @staticmethod
+    def grams(units: list[str], signs: list[float]) -> Example:
+        low = [crc32(u.encode("utf-8", "surrogatepass")) for u in units]
+        grams = np.array([h % HASHED for h in low] + [(a * 31 + b) % HASHED for a, b in zip(low, low[1:])] + [ending(units, n) * 7 % HASHED for n in (1, 2)], np.int64)
+        return Example(grams, np.array(signs))
 
 
 @dataclass
@@ -324,11 +342,10 @@ def count_endings(turns: DataFrame, replies: DataFrame) -> np.ndarray:
     both = turns.select(F.col("text"), F.lit(True).alias("turn")).unionByName(replies.select("text", F.lit(False).alias("turn")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = Fold()
         total = np.zeros((3, ENDINGS), np.int64)
         for pdf in batches:
             for text, turn in zip(pdf["text"], pdf["turn"]):
-                shown = fold(text)
+                shown = text.translate(SIMPLE)
                 # A single blank stands between phrases; more of them may stand anywhere.
                 for m in _PHRASE_END.findall(shown) + (_BLANK_END.findall(shown) if shown.count(" ") == 1 else []):
                     i = crc32(" ".join(m).encode()) % ENDINGS
@@ -363,7 +380,7 @@ def train(candidate: DataFrame, ends: np.ndarray, key: str = "line_no") -> Model
     for i, (_, _, k) in enumerate(rows):
         if k >= 0:
             labels[i, k] = 1
-    return fit([reader.example(a, b) for a, b, _ in rows], labels)
+    return fit([reader.example(a, reader.fold(b)) for a, b, _ in rows], labels)
 
 
 class Judge:
@@ -378,7 +395,12 @@ class Judge:
         shown = self.reader.fold(reply)
         if not _LETTER.search(shown):
             return "empty"
-        x = self.reader.example(asked or "", reply)
+        units = units_of(shown)
+        signs = self.reader.signs(asked or "", shown, units)
+        # Without a sign nothing that the classifier says could be verified.
+        if not (signs[2] or signs[3] or signs[4] or signs[5] > 0.8 or signs[9]):
+            return None
+        x = self.reader.grams(units, signs)
         scores = self.model.scores(x)
         over = {name for name, p, t in zip(LABELS, scores, self.model.thresholds) if p >= t}
         if not over or self.residue.kind(reply):
@@ -412,12 +434,13 @@ def defects(candidate: DataFrame, repair_group: DataFrame) -> DataFrame:
     turns = candidate.select(F.explode("context").alias("text"))
     ends = count_endings(turns, records.select(F.col("reply").alias("text")))
     model = train(candidate, ends)
-    sketch, names = anchors(records.select(F.col("reply").alias("text")))
-    send = candidate.sparkSession.sparkContext.broadcast((model, ends, sketch, names))
+    names = marker_names(records.select(F.col("reply").alias("text")))
+    send = candidate.sparkSession.sparkContext.broadcast((model, ends, names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, ends, sketch, names = send.value
-        judge = Judge(model, ends, Residue(sketch, names))
+        model, ends, names = send.value
+        # Residue by its wording and names; no sketch of anchors is counted for it here.
+        judge = Judge(model, ends, Residue(np.zeros(BUCKETS, np.int8), names))
         for pdf in batches:
             found = pd.Series([judge.defect(a, r) for a, r in zip(pdf["asked"], pdf["reply"])], index=pdf.index, dtype=object)
             hit = found.notna()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialoom.llm import balance, copies, encode, lookalike, pack, pairs, privacy, residue, splits
+from dialoom.llm import balance, copies, encode, lookalike, pack, pairs, privacy, residue, spam, splits
 from dialoom.session import table
 
 #: Populations of problem 3 and their keys.
@@ -91,8 +91,12 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_kept, p5_found, p5_sanitized, p6_found, p6_report, p7_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_kept, p5_found, p5_sanitized, p6_found, p6_report, p7_found, p8_ids, p9_containers, p10_found)}
 
 
 #: Equivalent SQL where it is simple enough to be trusted.
