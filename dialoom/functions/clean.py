@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Blanks of all kinds, the ones Python strips; U+001C-U+001F are not in \s.
-SPACE = r"[\s\u001c-\u001f\u0085   -     　]"
+SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Marks at the edges of a reply.
 EDGE = r"[ ，。！？；!?,;]"
 #: Particles and greetings that a template key leaves out, in this order.
@@ -138,7 +138,7 @@ def without_agent(c: Column | str) -> Column:
 
 def light_clean(c: Column | str) -> Column:
     """Line ends, full-width colons, stripped lines; null counts as empty."""
-    text = F.replace(F.replace(newlines(F.coalesce(col(c), F.lit(""))), F.lit("﻿"), F.lit("")), F.lit(":"), F.lit("："))
+    text = F.replace(F.replace(newlines(F.coalesce(col(c), F.lit(""))), F.lit("\ufeff"), F.lit("")), F.lit(":"), F.lit("："))
     text = F.regexp_replace(by_line(text, strip, keep_empty=True), "\n{3,}", "\n\n")
     return strip(F.regexp_replace(text, "[ 　]{2,}", " "))
 
@@ -146,7 +146,7 @@ def light_clean(c: Column | str) -> Column:
 def repair_clean(c: Column | str) -> Column:
     """Cleaning of the repair job: masks, no speakers, no empty lines; null counts
     as empty."""
-    text = F.replace(newlines(F.coalesce(col(c), F.lit(""))), F.lit("﻿"), F.lit(""))
+    text = F.replace(newlines(F.coalesce(col(c), F.lit(""))), F.lit("\ufeff"), F.lit(""))
     text = squeeze(F.replace(mask_numbers(plain_spaces(text)), F.lit("\\"), F.lit("")))
     speaker = f"^({'|'.join(USER_WORDS + AGENT_WORDS)}){SPACE}*[：:]{SPACE}*"
     return strip(by_line(text, lambda x: F.regexp_replace(strip(x), speaker, "")))

@@ -1,21 +1,564 @@
-"""The queries of the core and their SQL."""
+"""The queries of the core, each over whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dialoom.session import table
+from dialoom.functions import chat, clean, metrics, predicates as P, scoring
+from dialoom.functions.rules import DEFAULT
+from dialoom.operators import grouping, joins, quota, repair, reports, splits
+from dialoom.plans import sql as S
+from dialoom.session import cut, table
+from dialoom.sources import writers
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
 
-def best_reply_pairs(spark: SparkSession, d: str) -> DataFrame:
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _candidate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "candidate")
 
 
+def _asked(name: str = "context"):
+    return F.coalesce(F.element_at(name, -1), F.lit(""))
+
+
+# Cleaning
+
+
+@query(f"SELECT line_no, i - 1 AS turn_no, {S.clean_turn('t')} AS clean FROM (SELECT line_no, unnest(context) AS t, generate_subscripts(context, 1) AS i FROM candidate)")
+def clean_turns(spark: SparkSession, d: str) -> DataFrame:
+    turns = _candidate(spark, d).select("line_no", F.posexplode("context").alias("turn_no", "t"))
+    return turns.select("line_no", F.col("turn_no").cast("long").alias("turn_no"), clean.clean_turn("t").alias("clean"))
+
+
+@query(f"SELECT line_no, {S.mask_key('response')} AS mask_key, {S.template_key('response')} AS template FROM candidate WHERE response IS NOT NULL")
+def reply_keys(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate(spark, d).where("response is not null").select("line_no", clean.mask_key("response").alias("mask_key"), clean.template_key("response").alias("template"))
+
+
+@query(f"SELECT {S.template_key('response')} AS value, count(*) AS n FROM candidate WHERE response IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 80")
+def template_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidate(spark, d).where("response is not null")
+    return quota.most_frequent(rows, clean.template_key("response"), 80)
+
+
+@query(f"SELECT group_id, array_to_string(list_transform(context, lambda t: {S.mask_key('t')}), ' || ') AS context_key FROM group_selection")
+def masked_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "group_selection").select("group_id", clean.masked_context("context").alias("context_key"))
+
+
+@query(f"SELECT repair_id, {S.repair_clean('chosen')} AS clean, {S.compact('chosen')} AS compact, {S.repair_key('chosen')} AS key FROM repair_group")
+def repair_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "repair_group").select("repair_id", clean.repair_clean("chosen").alias("clean"), clean.compact("chosen").alias("compact"), clean.repair_key("chosen").alias("key"))
+
+
+@query(f"SELECT doc_id, {S.light_clean('text')} AS clean FROM documents")
+def light_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", clean.light_clean("text").alias("clean"))
+
+
+@query()
+def clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text is not null").select("doc_id", clean.clean_document("text").alias("clean"), clean.normalize_masked_first("text").alias("masked"))
+
+
+@query()
+def clean_outputs(spark: SparkSession, d: str) -> DataFrame:
+    trimmed = clean.trim_tail(F.coalesce("rejected", F.lit("")))
+    return table(spark, d, "repair_group").select("repair_id", clean.clean_output("rejected").alias("clean"), clean.without_masks("chosen").alias("unmasked"), trimmed["text"].alias("trimmed"), F.size(trimmed["issues"]).alias("trims"))
+
+
+# Predicates, scores, categories
+
+_R, _A = "coalesce(response, '')", "coalesce(context[-1], '')"
+
+
+@query(
+    f"""SELECT line_no, {S.question_strength('a')} AS strength, {S.garbage('r')} AS garbage, {S.low_info('r')} AS low_info, {S.any_of('r', DEFAULT.temporal)} AS dated, {S.any_of('r', DEFAULT.soft)} AS soft,
+    {S.any_of('r', DEFAULT.pitch)} AS pitch, {S.any_of('r', DEFAULT.shop_names)} AS shop_name, {S.any_of('r', DEFAULT.overcommit)} AS overcommits, {S.any_of('r', DEFAULT.hard_risk)} AS hard_risk, {S.any_of('r', DEFAULT.refund_promise)} AS refund_promise,
+    {S.hits('r', DEFAULT.high_risk)} AS high_risk, len(list_filter(regexp_split_to_array(r, '[，。！？；!?;]'), lambda e: {S.strip('e')} <> '')) AS clauses
+    FROM (SELECT line_no, {_R} AS r, {_A} AS a FROM candidate)"""
+)
+def reply_flags(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidate(spark, d).select("line_no", F.coalesce("response", F.lit("")).alias("r"), _asked().alias("a"))
+    flags = {
+        "strength": P.question_strength("a"), "garbage": P.is_garbage("r"), "low_info": P.is_low_info("r"), "dated": P.has_dated_campaign("r"), "soft": P.has_soft_template("r"), "pitch": P.is_pitch("r"),
+        "shop_name": P.has_shop_name("r"), "overcommits": P.overcommits("r"), "hard_risk": P.has_hard_risk("r"), "refund_promise": P.promises_refund("r"), "high_risk": P.high_risk_hits("r"), "clauses": P.clause_count("r"),
+    }
+    return rows.select("line_no", *[c.alias(n) for n, c in flags.items()])
+
+
+@query()
+def reply_flags_masked(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidate(spark, d).select("line_no", "context", F.coalesce("response", F.lit("")).alias("r"))
+    flags = {
+        "blocked": P.has_blocked("r"), "role_leak": P.has_role_leak("r"), "other_script": P.has_other_script("r"), "store": F.size(P.store_specific("r")), "incomplete": P.incomplete_start("context"), "fragment": P.is_fragment("r"),
+        "generic": P.is_generic("r"), "time_promise": P.promises_time("r"), "bad": P.is_bad("r"),
+    }
+    return rows.select("line_no", *[c.alias(n) for n, c in flags.items()])
+
+
+def _unasked_sql() -> str:
+    flags = ", ".join(f"CASE WHEN {S.any_of('r', own)} AND NOT {S.any_of('a', wide)} THEN {S.q(name)} END" for name, own, wide in DEFAULT.expansions)
+    return f"SELECT line_no, array_to_string(list_filter([{flags}], lambda e: e IS NOT NULL), ',') AS topics FROM (SELECT line_no, {_R} AS r, {_A} AS a FROM candidate)"
+
+
+@query(_unasked_sql())
+def unasked_topics(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate(spark, d).select("line_no", F.array_join(P.unasked_topics(_asked(), F.coalesce("response", F.lit(""))), ",").alias("topics"))
+
+
+@query(
+    f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(len(context), 0) < 2 THEN 'too_few_turns' WHEN length(r) < 6 THEN 'too_short'
+    WHEN r IN ('', '<ID>', '<PHONE>') OR {S.any_of('r', DEFAULT.blocked)} THEN 'bad_reply' WHEN {S.low_info('r')} THEN 'low_info' ELSE 'ok' END AS reason
+    FROM (SELECT context, {S.strip(_R)} AS r FROM candidate)) GROUP BY 1"""
+)
+def keep_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate(spark, d).groupBy(P.keep_reason("context", F.coalesce("response", F.lit("")), 2).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""SELECT line_no, round(({S.keyword_overlap('x', 'y')}) * 1000000)::BIGINT AS overlap, len(x) AS asked_tokens, len(y) AS reply_tokens
+    FROM (SELECT line_no, {S.tokens('a')} AS x, {S.tokens('r')} AS y FROM (SELECT line_no, {_R} AS r, {_A} AS a FROM candidate))"""
+)
+def keyword_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidate(spark, d).select("line_no", scoring.overlap_tokens(_asked()).alias("x"), scoring.overlap_tokens(F.coalesce("response", F.lit(""))).alias("y"))
+    return rows.select("line_no", F.round(scoring.overlap_of(F.col("x"), F.col("y")) * 1000000).cast("long").alias("overlap"), F.size("x").alias("asked_tokens"), F.size("y").alias("reply_tokens"))
+
+
+@query(
+    f"""SELECT line_no, round((0.5 * least(n, 8) + CASE WHEN n % 2 = 1 THEN 1.0 ELSE -0.8 END + CASE WHEN s > 0 THEN 1.2 ELSE -1.8 END + CASE WHEN length({S.strip('a')}) <= 3 THEN -2.2 ELSE 0 END
+    + 0.8 * u + CASE WHEN u < 0.6 THEN -0.8 ELSE 0 END) * 10000)::BIGINT AS score
+    FROM (SELECT line_no, len(context) AS n, context[-1] AS a, {S.question_strength('context[-1]')} AS s, len(list_distinct(context)) / len(context)::DOUBLE AS u FROM candidate WHERE len(context) > 0)"""
+)
+def context_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidate(spark, d).where("size(context) > 0")
+    return rows.select("line_no", F.round(scoring.context_score("context")["score"] * 10000).cast("long").alias("score"))
+
+
+@query(
+    f"""SELECT line_no, {S.first_category(DEFAULT.categories, lambda w: f"({S.any_of('r', w)} OR {S.any_of('a', w)})")} AS category, {S.first_category(DEFAULT.repair_categories, lambda w: S.any_of('k', w))} AS repair_category
+    FROM (SELECT line_no, {_R} AS r, {_A} AS a, {S.compact(_A)} AS k FROM candidate)"""
+)
+def categories(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate(spark, d).select("line_no", scoring.category(_asked(), F.coalesce("response", F.lit(""))).alias("category"), scoring.repair_category(_asked()).alias("repair_category"))
+
+
+@query()
+def reply_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidate(spark, d).where("size(context) > 0 and response is not null")
+    modes = {"normal": scoring.NORMAL, "strict": scoring.Mode(strict=True), "sft": scoring.Mode(sft=True), "generic": scoring.Mode(generic=True)}
+    return rows.select("line_no", *[scoring.positive_score("context", "response", m)["score"].alias(n) for n, m in modes.items()])
+
+
+_RISK = " + ".join(f"CASE WHEN contains(w, {S.q(word)}) THEN {weight} ELSE 0 END" for word, weight in DEFAULT.risks)
+_RISK_SQL = f"""SELECT line_no, ({_RISK} + CASE WHEN length(r) > 24 THEN 0.8 ELSE 0 END + CASE WHEN length(r) - length(replace(r, '亲', '')) >= 4 THEN 0.5 ELSE 0 END)::DOUBLE AS risk
+    FROM (SELECT line_no, {_R} AS r, array_to_string(context, chr(10)) || chr(10) || {_R} AS w FROM candidate)"""
+
+
+@query(f"SELECT line_no, round(risk * 1000)::BIGINT AS risk FROM ({_RISK_SQL})")
+def risk_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate(spark, d).select("line_no", F.round(scoring.risk_score("response", "context") * 1000).cast("long").alias("risk"))
+
+
+# Grouping and selection
+
+
+def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    cands = cut(grouping.candidates(_candidate(spark, d)))
+    return cands, cut(grouping.best_pairs(cands))
+
+
+@query()
+def best_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d)[1].select("context_key", "chosen", "rejected", "category", F.bround("score", 4).alias("score"), "pos_line_no", "neg_line_no")
+
+
+@query()
+def group_stats(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.group_stats(*_pairs(spark, d))
+
+
+def best_reply_pairs(spark: SparkSession, d: str, top_k: int = 200) -> DataFrame:
+    """Clean, score, pair, select: the flagship."""
+    pairs = _pairs(spark, d)[1].withColumn("asked_key", clean.mask_key("asked"))
+    order = [F.desc("score"), F.desc(F.size("context")), F.length("chosen"), F.asc("pos_line_no")]
+    picked = quota.diverse_topk(pairs, order, top_k, quota.category_caps(top_k))
+    return picked.select("rank", "pass_no", "category", "context", "chosen", "rejected", F.bround("score", 4).alias("score"), "pos_line_no", "neg_line_no")
+
+
+@query()
+def selected_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return best_reply_pairs(spark, d)
+
+
+@query()
+def quota_topk(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "group_selection").withColumns({"template": clean.template_key("chosen"), "asked_key": clean.mask_key(_asked()), "pair_key": F.concat_ws(" => ", _asked(), "chosen")})
+    rows = rows.withColumn("category", F.coalesce(F.lower(F.trim("category")), F.lit("")))
+    return quota.diverse_topk(rows, [F.desc("score"), F.asc("group_id")], 300, quota.category_caps(300)).select("group_id", "rank", "pass_no", "category")
+
+
+@query("SELECT count(*) AS total_lines, count(*) FILTER (label IS NULL) AS parse_failed, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label = 1) AS label_1 FROM candidate")
+def label_counts(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.label_counts(_candidate(spark, d))
+
+
+@query(
+    f"""SELECT c AS context, a AS first_line, p AS chosen, r AS rejected FROM (SELECT array_to_string(context, chr(10)) AS c, min(line_no) AS a, arg_max(response, line_no) FILTER (label = 1 AND response IS NOT NULL) AS p, arg_max(response, line_no) FILTER (label = 0 AND response IS NOT NULL) AS r
+    FROM candidate GROUP BY 1) WHERE {S.strip("coalesce(p, '')")} <> '' AND {S.strip("coalesce(r, '')")} <> '' AND {S.strip('p')} <> {S.strip('r')}"""
+)
+def last_write_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidate(spark, d).where("response is not null").withColumn("context", F.array_join("context", "\n"))
+    out = grouping.last_write_pairs(rows, ["context"])
+    first = _candidate(spark, d).groupBy(F.array_join("context", "\n").alias("context")).agg(F.min("line_no").alias("first_line"))
+    return out.drop("first_line").join(first, "context").select("context", "first_line", "chosen", "rejected")
+
+
+@query(
+    """SELECT shop_id, run_id::BIGINT AS run_id, min(line_no) AS first_line, max(line_no) AS last_line, count(*) AS rows FROM (SELECT *, sum(ch) OVER (PARTITION BY shop_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run_id
+    FROM (SELECT shop_id, line_no, label, (label IS DISTINCT FROM lag(label) OVER (PARTITION BY shop_id ORDER BY line_no))::INT AS ch FROM candidate)) GROUP BY 1, 2"""
+)
+def run_length_groups(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.run_groups(_candidate(spark, d), F.col("label"), within=["shop_id"]).select("shop_id", "run_id", "first_line", "last_line", "rows")
+
+
+@query()
+def context_lines(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.context_lines(_candidate(spark, d)).select("first_line", F.size("lines").alias("rows"), "positive")
+
+
+@query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def exact_dedup_first(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.exact_first(table(spark, d, "documents"), [F.col("text")], "doc_id").select("doc_id", "lang")
+
+
+@query("SELECT id, count(*) AS deliveries, max(scored_at) AS scored_at, arg_max(result, scored_at) AS result FROM (SELECT DISTINCT * FROM preference_rows) GROUP BY id")
+def preference_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "preference_rows").distinct()
+    return rows.groupBy("id").agg(F.count("*").alias("deliveries"), F.max("scored_at").alias("scored_at"), F.max_by("result", "scored_at").alias("result"))
+
+
+# Splits, samples, noise
+
+_SPLIT = "SELECT *, ['train', 'train', 'train', 'dev', 'test'][((row_number() OVER (PARTITION BY category ORDER BY score DESC, group_id) - 1) % 5 + 1)::INT] AS split FROM group_selection"
+
+
+@query(f"SELECT group_id, category, split FROM ({_SPLIT})")
+def category_pattern_split(spark: SparkSession, d: str) -> DataFrame:
+    return splits.pattern_split(table(spark, d, "group_selection"), "category", [F.desc("score"), F.asc("group_id")]).select("group_id", "category", "split")
+
+
+@query(
+    f"""SELECT split, sum(n)::BIGINT AS rows, round_even(sum(s) / sum(n), 4)::DOUBLE AS mean_score, min(lo) AS min_rank, max(hi) AS max_rank, array_to_string(list_sort(list(category || ':' || n)), ',') AS categories
+    FROM (SELECT split, coalesce(category, '') AS category, count(*) AS n, sum(score) AS s, min(group_id) AS lo, max(group_id) AS hi FROM ({_SPLIT}) GROUP BY 1, 2) GROUP BY 1"""
+)
+def split_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = splits.pattern_split(table(spark, d, "group_selection"), "category", [F.desc("score"), F.asc("group_id")])
+    out = splits.split_stats(rows, rank="group_id")
+    entries = F.array_sort(F.transform(F.map_entries("categories"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))))
+    return out.withColumn("categories", F.array_join(entries, ","))
+
+
+@query("SELECT doc_id, n <= greatest(1, (m * 0.05)::BIGINT) AS is_validation FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS n, count(*) OVER () - 10 AS m FROM documents)" .replace("(m * 0.05)::BIGINT", "floor((m + 10) * 0.05)::BIGINT"))
+def hash_holdout(spark: SparkSession, d: str) -> DataFrame:
+    return splits.holdout(table(spark, d, "documents"), "doc_id", 0.05).select("doc_id", "is_validation")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || doc_id), doc_id) AS sample_rank FROM documents QUALIFY sample_rank <= 200")
+def hash_sample(spark: SparkSession, d: str) -> DataFrame:
+    return splits.sample_indices(table(spark, d, "documents"), "doc_id", 200, 7)
+
+
+@query(
+    """SELECT repair_id, CASE WHEN s THEN rejected ELSE chosen END AS chosen, CASE WHEN s THEN chosen ELSE rejected END AS rejected, s AS noise_swapped, i - 1 AS source_index FROM (SELECT *, row_number() OVER (ORDER BY md5('42|' || repair_id), repair_id) <= round_even((SELECT count(*) FROM repair_group) * 0.1, 0) AS s,
+    row_number() OVER (ORDER BY repair_id) AS i FROM repair_group)"""
+)
+def noise_swap(spark: SparkSession, d: str) -> DataFrame:
+    return splits.add_noise(table(spark, d, "repair_group"), "repair_id", 0.1).select("repair_id", "chosen", "rejected", "noise_swapped", "source_index")
+
+
+@query(
+    f"""WITH r AS ({_RISK_SQL}), w AS (SELECT line_no FROM r ORDER BY round(risk * 1000) DESC, line_no DESC LIMIT 25)
+    SELECT line_no, shop_id FROM candidate WHERE line_no NOT IN (SELECT line_no FROM w) UNION ALL SELECT -n_nationkey - 1, n_regionkey FROM nation"""
+)
+def risk_topn_replace(spark: SparkSession, d: str) -> DataFrame:
+    made = table(spark, d, "nation").select((-F.col("n_nationkey").cast("long") - 1).alias("line_no"), F.col("n_regionkey").alias("shop_id"))
+    rows = _candidate(spark, d)
+    return splits.replace_riskiest(rows, "line_no", F.round(scoring.risk_score("response", "context") * 1000), made).select("line_no", "shop_id")
+
+
+@query("SELECT n_name || ' / ' || r_name AS dialogue, (n_nationkey * 10 + r_regionkey)::INT AS place FROM nation, region")
+def scenario_cross_wrapper(spark: SparkSession, d: str) -> DataFrame:
+    both = splits.scenarios(table(spark, d, "nation"), table(spark, d, "region"))
+    return both.select(F.concat_ws(" / ", "n_name", "r_name").alias("dialogue"), (F.col("n_nationkey") * 10 + F.col("r_regionkey")).alias("place"))
+
+
+# Repair
+
+
+@query()
+def repaired_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = repair.repair_pairs(table(spark, d, "repair_group"))
+    return rows.select("repair_id", "repair_category", "repaired_chosen", "repaired_rejected", F.bround("repair_score", 4).alias("repair_score"), F.array_join("repair_issues", ",").alias("issues"))
+
+
+@query()
+def repaired_selection(spark: SparkSession, d: str) -> DataFrame:
+    rows = repair.repair_pairs(table(spark, d, "repair_group")).withColumns({"template": clean.repair_key("repaired_chosen"), "asked_key": clean.compact(_asked())})
+    order = [F.desc("repair_score"), F.desc(F.coalesce(F.col("source") == "manual_round2", F.lit(False))), F.length("repaired_chosen"), F.asc("repair_id")]
+    caps = {n: int(500 * s) for n, s in {"product": 0.3, "refund": 0.22, "shipping": 0.2, "promo": 0.15, "address": 0.05, "other": 0.2}.items()}
+    return quota.diverse_repaired(rows, order, 500, caps, "template", "asked_key", "repair_category").select("repair_id", "rank", "pass_no", "repair_category")
+
+
+def _pick_sql() -> str:
+    cases = " ".join(f"WHEN c = {S.q(n)} THEN [{', '.join(map(S.q, t))}][h % {len(t)} + 1]" for n, t in sorted(DEFAULT.negatives.items()))
+    kind = S.first_category(DEFAULT.repair_categories, lambda w: S.any_of("k", w))
+    return f"SELECT repair_id, CASE {cases} END AS template FROM (SELECT repair_id, {kind} AS c, ('0x' || substr(md5(k), 1, 8))::BIGINT AS h FROM (SELECT repair_id, {S.compact(_A)} AS k FROM repair_group))"
+
+
+@query(_pick_sql())
+def md5_template_pick(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "repair_group").select("repair_id", repair.template_pick(_asked(), scoring.repair_category(_asked())).alias("template"))
+
+
+@query(
+    """SELECT * FROM (SELECT 'category' AS kind, coalesce(category, '') AS value, count(*) AS n FROM repair_group GROUP BY 2 UNION ALL SELECT 'source', coalesce(source, ''), count(*) FROM repair_group GROUP BY 2
+    UNION ALL (SELECT 'issue', i, count(*) AS n FROM (SELECT unnest(issues) AS i FROM repair_group) GROUP BY 2 ORDER BY n DESC, i LIMIT 100))"""
+)
+def issue_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return repair.distributions(table(spark, d, "repair_group"))
+
+
+@query("SELECT repair_id, source FROM repair_group WHERE source IS DISTINCT FROM 'manual_round2' UNION ALL SELECT repair_id, source FROM repair_group WHERE source = 'manual_round2'")
+def concatenated_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "repair_group").select("repair_id", "source")
+    manual = F.coalesce(F.col("source") == "manual_round2", F.lit(False))
+    return rows.where(~manual).unionByName(rows.where(manual))
+
+
+# Formats
+
+_LINES = "array_to_string(list_transform(context, lambda t, i: CASE WHEN i % 2 = 1 THEN '用户：' ELSE '客服：' END || coalesce(t, '')), chr(10))"
+
+
+@query(f"SELECT line_no, {_LINES} AS prompt, CASE WHEN ends_with({_LINES}, chr(10) || '客服：') THEN {_LINES} ELSE {_LINES} || chr(10) || '客服：' END AS open_prompt FROM candidate WHERE context IS NOT NULL")
+def role_prefixed_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate(spark, d).where("context is not null").select("line_no", chat.prompt_lines("context").alias("prompt"), chat.open_prompt("context").alias("open_prompt"))
+
+
+@query(
+    f"""SELECT line_no, {S.q(chat.TASK)} AS instruction, {S.q(chat.TASK)} || chr(10) || '' || chr(10) || array_to_string(list_transform(context, lambda t, i: CASE WHEN regexp_matches(t, '^(用户|客服)：') THEN t ELSE CASE WHEN i % 2 = 1 THEN '用户：' ELSE '客服：' END || coalesce(t, '') END), chr(10)) || chr(10) || '客服：' AS input,
+    response AS output FROM candidate WHERE context IS NOT NULL AND response IS NOT NULL"""
+)
+def alpaca_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidate(spark, d).where("context is not null and response is not null")
+    return rows.select("line_no", chat.alpaca(F.lit(chat.TASK), chat.task_prompt("context"), F.col("response")).alias("r")).select("line_no", "r.*")
+
+
+@query()
+def parse_turns_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidate(spark, d).where("size(context) > 0 and response is not null")
+    made = rows.select("line_no", "context", chat.alpaca_to_messages(F.lit(chat.SYSTEM), chat.open_prompt("context"), "response").alias("messages"))
+    return made.where("messages is not null").select("line_no", F.size("context").alias("turns"), (F.size("messages") - 2).alias("parsed"))
+
+
+_NORMAL = f"list_filter(list_transform(coalesce(messages, []), lambda m: {{'role': lower({S.strip(chr(99) + 'oalesce(m.role, ' + chr(39) * 2 + ')')}), 'content': {S.plain_text('m.content')}}}), lambda m: m.role IN ('system', 'user', 'assistant') AND m.content <> '')"
+_SYSTEM = f"{{'role': 'system', 'content': {S.q(chat.SYSTEM)}}}"
+_ML = "array_to_string(list_transform({0}, lambda m: '<|im_start|>' || m.role || chr(10) || m.content || '<|im_end|>' || chr(10)), '')"
+
+
+@query(
+    f"""SELECT msg_id, {_ML.format(f"list_concat([{_SYSTEM}], list_filter(t[1:len(t) - 1], lambda m, i: NOT (i = 1 AND m.role = 'system')))")} || '<|im_start|>assistant' || chr(10) AS prompt,
+    CASE WHEN ends_with(c, '<|im_end|>') OR ends_with(c, '<|endoftext|>') THEN c ELSE c || '<|im_end|>' END AS completion
+    FROM (SELECT msg_id, t, {S.sub("t[len(t)].content", f"{S.WS}+$", "")} AS c FROM (SELECT msg_id, {_NORMAL} AS t FROM messages_sft) WHERE len(t) >= 2 AND t[len(t)].role = 'assistant')"""
+)
+def prompt_completion(spark: SparkSession, d: str) -> DataFrame:
+    return chat.convert_rows(table(spark, d, "messages_sft").select("msg_id", "messages")).select("msg_id", "prompt", "completion")
+
+
+@query(f"SELECT msg_id, {_ML.format('t')} AS text, len(t) AS turns FROM (SELECT msg_id, {_NORMAL} AS t FROM messages_sft)")
+def chatml_render(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "messages_sft").select("msg_id", chat.normal_messages("messages").alias("t"))
+    return rows.select("msg_id", chat.chatml(F.col("t")).alias("text"), F.size("t").alias("turns"))
+
+
+@query(
+    f"""SELECT msg_id, u AS last_user, t[len(t)].content AS reference FROM (SELECT msg_id, t, list_filter(t[1:len(t) - 1], lambda m: m.role = 'user')[-1].content AS u FROM (SELECT msg_id, {_NORMAL} AS t FROM messages_sft) WHERE len(t) >= 2 AND t[len(t)].role = 'assistant') WHERE u IS NOT NULL"""
+)
+def last_turn_prompts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "messages_sft").select("msg_id", chat.eval_view("messages").alias("v")).where("v is not null")
+    return rows.select("msg_id", "v.last_user", "v.reference")
+
+
+@query(
+    f"SELECT repair_id, CASE WHEN ends_with(c, '<|im_end|>') OR ends_with(c, '<|endoftext|>') THEN c ELSE c || '<|im_end|>' END AS a, CASE WHEN ends_with(c, '<|im_end|>') OR ends_with(c, '<|endoftext|>') THEN c ELSE c || '<|im_end|><|endoftext|>' END AS b FROM (SELECT repair_id, {S.sub(chr(34) + 'chosen' + chr(34), S.WS + '+$', '')} AS c FROM repair_group WHERE chosen IS NOT NULL)"
+)
+def completion_suffixes(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "repair_group").where("chosen is not null").select("repair_id", chat.terminated(F.col("chosen")).alias("a"), chat.terminated(F.col("chosen"), "both").alias("b"))
+
+
+@query()
+def preference_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "repair_group").select("repair_id", chat.prompt_lines("context").alias("prompt"), "chosen", "rejected")
+    return chat.convert_preferences(rows)
+
+
+@query("SELECT line_no, label::VARCHAR || chr(9) || array_to_string(context, chr(9)) || chr(9) || response AS line FROM candidate WHERE response IS NOT NULL AND context IS NOT NULL")
+def raw_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate(spark, d).where("response is not null and context is not null").select("line_no", writers.raw_line("label", "context", "response").alias("line"))
+
+
+@query(f"SELECT repair_id, {S.strip(chr(99) + 'oalesce(chosen, ' + chr(39) * 2 + ')')} <> '' AND {S.strip(chr(99) + 'oalesce(rejected, ' + chr(39) * 2 + ')')} <> '' AND {S.strip(chr(99) + 'oalesce(chosen, ' + chr(39) * 2 + ')')} <> {S.strip(chr(99) + 'oalesce(rejected, ' + chr(39) * 2 + ')')} AS valid FROM repair_group")
+def valid_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "repair_group").select("repair_id", P.valid_pair("chosen", "rejected").alias("valid"))
+
+
+# Joins
+
+
+@query(
+    """SELECT b.repair_id, b.margin AS margin, a.margin AS base_margin FROM (SELECT * FROM preference_rows WHERE run_name = 'dpo_mix' AND error IS NULL) b JOIN (SELECT repair_id, arg_max(margin, id) AS margin FROM preference_rows WHERE run_name = 'sft_base' AND error IS NULL GROUP BY 1) a USING (repair_id)"""
+)
+def align_two_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "preference_rows").where("error is null")
+    base = rows.where("run_name = 'sft_base'").select("repair_id", "id", "margin")
+    out = joins.align(base, rows.where("run_name = 'dpo_mix'").select("repair_id", "id", "margin"), ["repair_id"], "id")
+    return out.select("repair_id", "margin", F.col("base.margin").alias("base_margin"))
+
+
+@query(
+    """WITH a0 AS (SELECT group_id, pos_line_no, neg_line_no, row_number() OVER (PARTITION BY pos_line_no, neg_line_no ORDER BY group_id) AS n FROM group_selection), b0 AS (SELECT repair_id, pos_line_no, neg_line_no, row_number() OVER (PARTITION BY pos_line_no, neg_line_no ORDER BY repair_id) AS n FROM repair_group),
+    m0 AS (SELECT group_id, repair_id, 0 AS level FROM a0 JOIN b0 USING (pos_line_no, neg_line_no, n)),
+    a1 AS (SELECT group_id, pos_line_no, row_number() OVER (PARTITION BY pos_line_no ORDER BY group_id) AS n FROM group_selection WHERE group_id NOT IN (SELECT group_id FROM m0)), b1 AS (SELECT repair_id, pos_line_no, row_number() OVER (PARTITION BY pos_line_no ORDER BY repair_id) AS n FROM repair_group WHERE repair_id NOT IN (SELECT repair_id FROM m0))
+    SELECT * FROM m0 UNION ALL SELECT group_id, repair_id, 1 FROM a1 JOIN b1 USING (pos_line_no, n)"""
+)
+def cascade_match(spark: SparkSession, d: str) -> DataFrame:
+    return joins.cascade(table(spark, d, "group_selection"), table(spark, d, "repair_group"), [["pos_line_no", "neg_line_no"], ["pos_line_no"]], "group_id", "repair_id")
+
+
+@query("SELECT w.repair_id, w.margin, l.margin AS loss_margin FROM (SELECT repair_id, arg_max(margin, id) AS margin FROM preference_rows WHERE result = 'win' GROUP BY 1) w LEFT JOIN (SELECT repair_id, arg_max(margin, id) AS margin FROM preference_rows WHERE result = 'loss' GROUP BY 1) l USING (repair_id)")
+def win_loss_join(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "preference_rows")
+    last = lambda kind: joins.last_per_key(rows.where(F.col("result") == kind).select("repair_id", "id", "margin"), "repair_id", "id").drop("id")
+    return joins.star(last("win"), [last("loss").withColumnRenamed("margin", "loss_margin")], "repair_id")
+
+
+@query("SELECT msg_id FROM messages_sft SEMI JOIN (SELECT msg_id FROM (SELECT msg_id, row_number() OVER (ORDER BY md5('3|' || msg_id), msg_id) AS n FROM messages_sft) WHERE n <= 100) USING (msg_id)")
+def sampled_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "messages_sft")
+    return rows.join(splits.exact_head(rows.select("msg_id"), "msg_id", 100, 3), "msg_id", "left_semi").select("msg_id")
+
+
+# Metrics and reports
+
+_CHARS = "CASE WHEN {0} = '' THEN [] ELSE string_split({0}, '') END"
+_BARE = lambda x: S.sub(f"coalesce({x}, '')", S.WS, "")
+
+
+@query(
+    f"""SELECT repair_id, em AS exact_match, common, len(x) AS left_size, len(y) AS right_size, CASE WHEN common > 0 THEN round(2e6 * common / (len(x) + len(y)))::BIGINT ELSE 0 END AS char_f1
+    FROM (SELECT *, list_sum(list_transform(list_distinct(x), lambda c: least(len(list_filter(x, lambda e: e = c)), len(list_filter(y, lambda e: e = c)))))::INT AS common_ , coalesce(list_sum(list_transform(list_distinct(x), lambda c: least(len(list_filter(x, lambda e: e = c)), len(list_filter(y, lambda e: e = c))))), 0)::INT AS common
+    FROM (SELECT repair_id, ({S.strip("coalesce(chosen, '')")} = {S.strip("coalesce(rejected, '')")})::INT AS em, {_CHARS.format(_BARE('chosen'))} AS x, {_CHARS.format(_BARE('rejected'))} AS y FROM repair_group))"""
+)
+def char_f1(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "repair_group").select("repair_id", metrics.exact_match("chosen", "rejected").alias("exact_match"), metrics.characters("chosen").alias("x"), metrics.characters("rejected").alias("y"))
+    rows = rows.withColumn("common", metrics.common_characters(F.col("x"), F.col("y")))
+    return rows.select("repair_id", "exact_match", "common", F.size("x").alias("left_size"), F.size("y").alias("right_size"), F.round(metrics.f1_of(F.col("common"), F.size("x"), F.size("y")) * 1000000).cast("long").alias("char_f1"))
+
+
+def _evaluated(spark: SparkSession, d: str) -> DataFrame:
+    return reports.evaluated(table(spark, d, "repair_group").select("repair_id", F.col("rejected").alias("prediction"), F.col("chosen").alias("reference")))
+
+
+@query()
+def rouge_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _evaluated(spark, d).select("repair_id", "char_f1", "rouge_l", "exact_match")
+
+
+@query()
+def bad_cases(spark: SparkSession, d: str) -> DataFrame:
+    return reports.bad_cases(_evaluated(spark, d), 100, "repair_id").select("repair_id", "char_f1", "rouge_l", "exact_match")
+
+
+@query()
+def metric_means(spark: SparkSession, d: str) -> DataFrame:
+    return reports.metric_means(_evaluated(spark, d))
+
+
+_OUTCOME = "CASE WHEN chosen_logprob IS NULL OR rejected_logprob IS NULL OR isnan(chosen_logprob) OR isnan(rejected_logprob) OR isinf(chosen_logprob) OR isinf(rejected_logprob) THEN 'error' WHEN chosen_logprob > rejected_logprob THEN 'win' WHEN chosen_logprob = rejected_logprob THEN 'tie' ELSE 'loss' END"
+
+
+@query(f"SELECT id, {_OUTCOME} AS outcome, round(CASE WHEN {_OUTCOME} <> 'error' THEN chosen_logprob - rejected_logprob END * 10000)::BIGINT AS margin FROM preference_rows")
+def preference_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return reports.preference_rows(table(spark, d, "preference_rows")).select("id", "outcome", F.round(F.col("new_margin") * 10000).cast("long").alias("margin"))
+
+
+_SUMMARY = f"""SELECT run_name, count(*) AS rows, count(*) FILTER (o <> 'error') AS valid, round(coalesce(count(*) FILTER (o = 'win') / nullif(count(*) FILTER (o <> 'error'), 0)::DOUBLE, 0) * 1000000)::BIGINT AS accuracy,
+    round(coalesce(count(*) FILTER (o = 'tie') / nullif(count(*) FILTER (o <> 'error'), 0)::DOUBLE, 0) * 1000000)::BIGINT AS tie_rate FROM (SELECT run_name, {_OUTCOME} AS o FROM preference_rows) GROUP BY 1"""
+
+
+@query(_SUMMARY)
+def preference_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = reports.preference_summary(reports.preference_rows(table(spark, d, "preference_rows")), ["run_name"])
+    scaled = lambda c: F.round(F.col(c) * 1000000).cast("long").alias(c)
+    return out.select("run_name", "rows", "valid", scaled("accuracy"), scaled("tie_rate"))
+
+
+@query(f"SELECT s.run_name, s.accuracy, s.accuracy - b.accuracy AS accuracy_delta, s.tie_rate - b.tie_rate AS tie_rate_delta FROM ({_SUMMARY}) s LEFT JOIN (SELECT * FROM ({_SUMMARY}) WHERE run_name = 'sft_base') b ON true")
+def baseline_deltas(spark: SparkSession, d: str) -> DataFrame:
+    out = joins.against_baseline(preference_summary(spark, d), "run_name", "sft_base", ["accuracy", "tie_rate"])
+    return out.select("run_name", "accuracy", "accuracy_delta", "tie_rate_delta")
+
+
+@query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity) * 100)::BIGINT AS loss, sum(l_quantity)::BIGINT AS tokens FROM lineitem GROUP BY 1")
+def token_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("loss"), F.col("l_quantity").alias("tokens"), F.lit(0.0).alias("correct"))
+    out = reports.weighted_loss(rows, by=["l_returnflag"])
+    return out.select("l_returnflag", F.round(F.col("loss") * 100).cast("long").alias("loss"), F.col("tokens").cast("long").alias("tokens"))
+
+
+@query("SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) * 10000)::BIGINT AS smoothed FROM events")
+def moving_average(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events")
+    return rows.select("event_id", "user_id", F.round(reports.moving_average("value", "event_id", 5, ["user_id"]) * 10000).cast("long").alias("smoothed"))
+
+
+@query("SELECT event_type, max(floor(try_cast(value AS DOUBLE)))::BIGINT AS peak_mb FROM events GROUP BY 1")
+def telemetry_peak(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("event_type", F.col("value").cast("string").alias("memory_used_mb"))
+    return reports.telemetry_peaks(rows, ["event_type"]).select("event_type", "peak_mb")
+
+
+@query("SELECT repair_id FROM repair_group WHERE contains(lower(concat_ws(' ', chosen, rejected)), 'lex')")
+def keyword_filter(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "repair_group").where(P.mentions(["chosen", "rejected"], "LEX")).select("repair_id")
+
+
+@query("SELECT kind, value, n FROM (SELECT 'category' AS kind, category AS value, count(*) AS n FROM group_selection GROUP BY 2)")
+def selection_stats(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "group_selection").withColumns({"template": F.lit(""), "asked_key": F.lit("")})
+    return writers.selection_stats(rows).where("kind = 'category'")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
