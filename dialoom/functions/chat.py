@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from dialoom.functions.clean import SPACE, col, light_clean, plain_text, strip, without_task
+from dialoom.functions.clean import SPACE, col, let, light_clean, plain_text, strip, without_task
 
 MESSAGES = "array<struct<role:string,content:string>>"
 USER, AGENT = "用户：", "客服："
@@ -119,11 +119,14 @@ def terminated(c: Column, mode: str = "im_end", renew: bool = False) -> Column:
 def prompt_completion(c: Column | str, prompt: str = SYSTEM, replace: bool = True, mode: str = "im_end") -> Column:
     """struct(prompt, completion) of messages; null unless the last is the
     assistant's and something stands before it."""
-    turns = normal_messages(c)
-    n = F.size(turns)
-    ok = (n >= 2) & (F.try_element_at(turns, F.lit(-1))["role"] == "assistant")
-    before = with_system(F.slice(turns, 1, F.greatest(n - 1, F.lit(0))), prompt, replace)
-    return F.when(ok, F.struct(chatml(before, True).alias("prompt"), terminated(F.try_element_at(turns, F.lit(-1))["content"], mode).alias("completion")))
+
+    def made(turns: Column) -> Column:
+        n = F.size(turns)
+        ok = (n >= 2) & (F.try_element_at(turns, F.lit(-1))["role"] == "assistant")
+        before = with_system(F.slice(turns, 1, F.greatest(n - 1, F.lit(0))), prompt, replace)
+        return F.when(ok, F.struct(chatml(before, True).alias("prompt"), terminated(F.try_element_at(turns, F.lit(-1))["content"], mode).alias("completion")))
+
+    return let(normal_messages(c), made)
 
 
 def convert_rows(df, prompt: str = SYSTEM, mode: str = "im_end"):
@@ -163,12 +166,15 @@ def conversational(instruction: Column | str, input_: Column | str, output: Colu
 
 def eval_view(c: Column | str, prompt: str = SYSTEM) -> Column:
     """struct(prompt_messages, last_user, reference) of a row; null if malformed."""
-    turns = normal_messages(c)
-    n = F.size(turns)
-    before = F.slice(turns, 1, F.greatest(n - 1, F.lit(0)))
-    last = F.try_element_at(F.filter(before, lambda m: m["role"] == "user"), F.lit(-1))["content"]
-    ok = (n >= 2) & (F.try_element_at(turns, F.lit(-1))["role"] == "assistant") & last.isNotNull()
-    return F.when(ok, F.struct(with_system(before, prompt).alias("prompt_messages"), last.alias("last_user"), F.try_element_at(turns, F.lit(-1))["content"].alias("reference")))
+
+    def made(turns: Column) -> Column:
+        n = F.size(turns)
+        before = F.slice(turns, 1, F.greatest(n - 1, F.lit(0)))
+        last = F.try_element_at(F.filter(before, lambda m: m["role"] == "user"), F.lit(-1))["content"]
+        ok = (n >= 2) & (F.try_element_at(turns, F.lit(-1))["role"] == "assistant") & last.isNotNull()
+        return F.when(ok, F.struct(with_system(before, prompt).alias("prompt_messages"), last.alias("last_user"), F.try_element_at(turns, F.lit(-1))["content"].alias("reference")))
+
+    return let(normal_messages(c), made)
 
 
 def single_prompt(c: Column | str, prompt: str = SYSTEM) -> Column:

@@ -21,6 +21,12 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, body) -> Column:
+    """`body` of a value that is evaluated once, however often `body` names it.
+    Without it a plan grows with each use of a long expression."""
+    return F.transform(F.array(c), body).getItem(0)
+
+
 def strip(c: Column | str) -> Column:
     """Without blanks of any kind at both ends."""
     return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
@@ -61,17 +67,18 @@ def join_han(c: Column) -> Column:
     left, as the left side is what has been joined so far."""
     han = lambda x: x.rlike("[一-鿿]")
     number = lambda x: x.rlike(r"(?U)^\d+$")
-    parts = F.filter(F.split(c, f"{SPACE}+"), lambda x: x != "")
     state = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
 
     def step(s: Column, x: Column) -> Column:
-        glue = (han(s["last"]) & (han(x) | number(x))) | (number(s["last"]) & han(x))
-        first = s["last"] == ""
-        done = F.when(first | glue, s["done"]).otherwise(F.concat(s["done"], s["last"], F.lit(" ")))
-        return F.struct(done.alias("done"), F.when(glue & ~first, F.concat(s["last"], x)).otherwise(x).alias("last"))
+        def joined(glue: Column) -> Column:
+            first = s["last"] == ""
+            done = F.when(first | glue, s["done"]).otherwise(F.concat(s["done"], s["last"], F.lit(" ")))
+            return F.struct(done.alias("done"), F.when(glue & ~first, F.concat(s["last"], x)).otherwise(x).alias("last"))
+
+        return let((han(s["last"]) & (han(x) | number(x))) | (number(s["last"]) & han(x)), joined)
 
-    folded = F.aggregate(parts, state, step, lambda s: F.concat(s["done"], s["last"]))
-    return F.when(F.size(parts) == 0, c).otherwise(folded)
+    parts = F.filter(F.split(c, f"{SPACE}+"), lambda x: x != "")
+    return F.aggregate(parts, state, step, lambda s: F.concat(s["done"], s["last"]))
 
 
 def clean_turn(c: Column | str) -> Column:
@@ -95,10 +102,9 @@ def template_key(c: Column | str) -> Column:
 
 def role_prefix(c: Column | str) -> Column:
     """A leading speaker in one of two standard forms."""
-    text = strip(c)
-    rest = lambda words: F.regexp_replace(text, f"^({'|'.join(words)}){SPACE}*[：:]{SPACE}*", "")
-    is_ = lambda words: text.rlike(f"^({'|'.join(words)}){SPACE}*[：:]")
-    return F.when(is_(USER_WORDS), F.concat(F.lit("用户："), strip(rest(USER_WORDS)))).when(is_(AGENT_WORDS), F.concat(F.lit("客服："), strip(rest(AGENT_WORDS)))).otherwise(text)
+    rest = lambda t, words: strip(F.regexp_replace(t, f"^({'|'.join(words)}){SPACE}*[：:]{SPACE}*", ""))
+    is_ = lambda t, words: t.rlike(f"^({'|'.join(words)}){SPACE}*[：:]")
+    return let(strip(c), lambda t: F.when(is_(t, USER_WORDS), F.concat(F.lit("用户："), rest(t, USER_WORDS))).when(is_(t, AGENT_WORDS), F.concat(F.lit("客服："), rest(t, AGENT_WORDS))).otherwise(t))
 
 
 def mark_spacing(c: Column | str) -> Column:
@@ -189,24 +195,26 @@ def clean_output(c: Column | str, most: int = 56) -> Column:
     characters, Thai and long Latin words, at most `most` characters (0: all)."""
     text = plain_text(c)
     for marker in OUTPUT_MARKERS:
-        text = F.when(text.contains(marker), strip(F.substring_index(text, marker, 1))).otherwise(text)
-    text = strip(F.regexp_replace(text, r"(?is)\n\s*(user|assistant|system|用户|客服)\s*[：:].*$", ""))
+        text = F.substring_index(text, marker, 1)
+    text = strip(F.regexp_replace(strip(text), r"(?is)\n\s*(user|assistant|system|用户|客服)\s*[：:].*$", ""))
     text = F.regexp_replace(text, r"[฀-๿]|[\x{10000}-\x{10ffff}]", "")
     text = strip(squeeze(F.regexp_replace(text, "[A-Za-z]{4,}", "")))
-    return F.regexp_replace(F.when(F.length(text) > most, F.left(text, F.lit(most))).otherwise(text), f"{SPACE}+$", "") if most else text
+    return F.regexp_replace(F.left(text, F.lit(most)), f"{SPACE}+$", "") if most else text
 
 
 def trim_tail(c: Column | str, repeated: str = "(请核对一下收货地址[，。！ ]*){2,}", tail: str = "[，。！ ]*请(您)?核对一下收货地址.*$") -> Column:
     """struct(text, issues): repeated or trailing boilerplate cut off; the
     original where nothing would be left."""
-    original = strip(c)
-    once = F.regexp_replace(original, repeated, "请核对一下收货地址")
     edge = "[ ，。！？；、,.!?;:'\"~～]"
-    cut = F.regexp_replace(F.regexp_replace(once, tail, ""), f"^{edge}+|{edge}+$", "")
-    polite = F.regexp_replace(F.regexp_replace(cut, "(好的|嗯嗯|恩恩|哦哦|亲亲){2,}$", ""), f"^{edge}+|{edge}+$", "")
-    text = strip(squeeze(polite))
-    issues = F.filter(F.array(F.when(once != original, F.lit("dedup_address_tail")), F.when(cut != once, F.lit("trim_address_tail"))), lambda x: x.isNotNull())
-    return F.struct(F.when(text == "", original).otherwise(text).alias("text"), issues.alias("issues"))
+    bare = lambda t: F.regexp_replace(t, f"^{edge}+|{edge}+$", "")
+
+    def trimmed(x: Column) -> Column:
+        polite = strip(squeeze(bare(F.regexp_replace(x["cut"], "(好的|嗯嗯|恩恩|哦哦|亲亲){2,}$", ""))))
+        issues = F.array(F.when(x["once"] != x["original"], F.lit("dedup_address_tail")), F.when(x["cut"] != bare(x["once"]), F.lit("trim_address_tail")))
+        return F.struct(F.when(polite == "", x["original"]).otherwise(polite).alias("text"), F.filter(issues, lambda i: i.isNotNull()).alias("issues"))
+
+    first = let(strip(c), lambda t: F.struct(t.alias("original"), F.regexp_replace(t, repeated, "请核对一下收货地址").alias("once")))
+    return let(let(first, lambda x: F.struct(x["original"].alias("original"), x["once"].alias("once"), bare(F.regexp_replace(x["once"], tail, "")).alias("cut"))), trimmed)
 
 
 def cell(c: Column | str, most: int = 120) -> Column:

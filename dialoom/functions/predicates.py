@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from dialoom.functions.clean import col, compact, mask_key, strip
+from dialoom.functions.clean import col, compact, let, mask_key, strip
 from dialoom.functions.rules import DEFAULT, Pack, any_of, hits, pattern
 
 HAN = "[一-鿿]"
@@ -23,15 +23,13 @@ def has_blocked(c: Column | str, pack: Pack = DEFAULT) -> Column:
 
 def is_garbage(c: Column | str) -> Column:
     """Empty, a lone mask, marks only, or Latin text without Han."""
-    text = strip(c)
-    return (text == "") | text.isin(*MASKS) | text.rlike(r"(?U)^[\W_]+$") | (text.rlike("[A-Za-z]{2,}") & ~text.rlike(HAN))
+    return let(strip(c), lambda t: (t == "") | t.isin(*MASKS) | t.rlike(r"(?U)^[\W_]+$") | (t.rlike("[A-Za-z]{2,}") & ~t.rlike(HAN)))
 
 
 def is_low_info(c: Column | str, pack: Pack = DEFAULT) -> Column:
     """In the list of empty replies, up to 4 characters, or up to 8 without an action."""
-    text = F.replace(strip(c), F.lit(" "), F.lit(""))
-    bare = F.regexp_replace(text, f"^{CLAUSE_MARKS}+|{CLAUSE_MARKS}+$", "")
-    return bare.isin(*pack.low_info) | (F.length(text) <= 4) | ((F.length(text) <= 8) & ~any_of(text, pack.actions))
+    bare = lambda t: F.regexp_replace(t, f"^{CLAUSE_MARKS}+|{CLAUSE_MARKS}+$", "")
+    return let(F.replace(strip(c), F.lit(" "), F.lit("")), lambda t: bare(t).isin(*pack.low_info) | (F.length(t) <= 4) | ((F.length(t) <= 8) & ~any_of(t, pack.actions)))
 
 
 def has_dated_campaign(c: Column | str, pack: Pack = DEFAULT) -> Column:
@@ -85,9 +83,8 @@ def incomplete_start(context: Column | str, pack: Pack = DEFAULT) -> Column:
 
 
 def is_fragment(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    text = strip(c)
-    full = text.rlike(f"^(?:{'|'.join(pack.fragments)})$")
-    return (F.length(text) <= 3) | full | ((F.length(text) <= 8) & ~any_of(text, pack.complete))
+    full = f"^(?:{'|'.join(pack.fragments)})$"
+    return let(strip(c), lambda t: (F.length(t) <= 3) | t.rlike(full) | ((F.length(t) <= 8) & ~any_of(t, pack.complete)))
 
 
 def is_generic(c: Column | str, pack: Pack = DEFAULT) -> Column:
@@ -117,7 +114,7 @@ def high_risk_hits(c: Column | str, pack: Pack = DEFAULT) -> Column:
 def keep_reason(context: Column | str, reply: Column | str, least_turns: int = 1, least_chars: int = 6, pack: Pack = DEFAULT) -> Column:
     """First reason to drop a row, or "ok"."""
     text = strip(reply)
-    bad = text.isin("", "<ID>", "<PHONE>") | any_of(text, pack.blocked)
+    bad = let(text, lambda t: t.isin("", "<ID>", "<PHONE>") | any_of(t, pack.blocked))
     return (
         F.when(F.size(F.coalesce(col(context), F.array().cast("array<string>"))) < least_turns, "too_few_turns")
         .when(F.coalesce(F.length(text), F.lit(0)) < least_chars, "too_short")
@@ -134,8 +131,7 @@ def has_any(c: Column | str, words: tuple[str, ...]) -> Column:
 
 def is_bad(c: Column | str, pack: Pack = DEFAULT) -> Column:
     """Empty, a lone mask, or a way to meet elsewhere."""
-    text = compact(c)
-    return (text == "") | text.isin(*MASKS) | any_of(text, pack.contact)
+    return let(compact(c), lambda t: (t == "") | t.isin(*MASKS) | any_of(t, pack.contact))
 
 
 def valid_sample(instruction: Column | str, input_: Column | str, output: Column | str) -> Column:

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from dialoom.functions import predicates as P
-from dialoom.functions.clean import clean_turn, col, compact, mask_key, masked_context, strip, template_key, trim_tail
+from dialoom.functions.clean import clean_turn, col, compact, let, mask_key, masked_context, strip, template_key, trim_tail
 from dialoom.functions.rules import DEFAULT, Pack, any_of, found, hits
 
 REJECTED = -999.0
@@ -31,15 +31,19 @@ NORMAL = Mode()
 
 def overlap_tokens(c: Column | str, pack: Pack = DEFAULT) -> Column:
     """Set of topic words, runs of Han or Latin letters and masks, without stop words."""
-    text = F.lower(mask_key(c))
-    runs = F.regexp_extract_all(text, F.lit("[一-鿿]{2,}|[a-z]{2,}|<[a-z]+>"), F.lit(0))
-    return F.array_except(F.array_distinct(F.concat(found(text, pack.topics), runs)), F.array(*[F.lit(w) for w in pack.stop]))
+    runs = lambda t: F.regexp_extract_all(t, F.lit("[一-鿿]{2,}|[a-z]{2,}|<[a-z]+>"), F.lit(0))
+    stop = F.array(*[F.lit(w) for w in pack.stop])
+    return let(F.lower(mask_key(c)), lambda t: F.array_except(F.array_distinct(F.concat(found(t, pack.topics), runs(t))), stop))
 
 
 def overlap_of(a: Column, b: Column) -> Column:
     """Overlap coefficient of two sets; 0 if one is empty."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.lit(0.0))
+
+    def share(x: Column) -> Column:
+        least = F.least(F.size(x["a"]), F.size(x["b"]))
+        return F.when(least > 0, F.size(F.array_intersect(x["a"], x["b"])) / least).otherwise(F.lit(0.0))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def keyword_overlap(a: Column | str, b: Column | str, pack: Pack = DEFAULT) -> Column:
@@ -78,11 +82,15 @@ def category(asked: Column | str, reply: Column | str, pack: Pack = DEFAULT) ->
 
 def repair_category(asked: Column | str, pack: Pack = DEFAULT) -> Column:
     """First category whose words occur in the compact question."""
-    text, out = compact(asked), None
-    for name, words in pack.repair_categories:
-        test = any_of(text, words)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out.otherwise("other") if out is not None else F.lit("other")
+
+    def first(text: Column) -> Column:
+        out = None
+        for name, words in pack.repair_categories:
+            test = any_of(text, words)
+            out = F.when(test, name) if out is None else out.when(test, name)
+        return out.otherwise("other") if out is not None else F.lit("other")
+
+    return let(compact(asked), first)
 
 
 def _bands(size: Column, mode: Mode) -> Column:
@@ -102,13 +110,21 @@ def positive_score(context: Column | str, reply: Column | str, mode: Mode = NORM
     first reason for the score REJECTED."""
     turns = col(context)
     asked = F.element_at(turns, -1)
-    trimmed = trim_tail(reply)
-    text = trimmed["text"]
-    tight = F.replace(text, F.lit(" "), F.lit(""))
-    size, clauses = F.length(tight), P.clause_count(text)
-    unasked = F.size(P.unasked_topics(asked, text, pack))
-    risky, kind, close = P.high_risk_hits(text, pack), category(asked, text, pack), relevance(asked, text, pack)
-    dated, soft, generic, pitch, over = P.has_dated_campaign(text, pack), P.has_soft_template(text, pack), P.is_generic(text, pack), P.is_pitch(text, pack), P.overcommits(text, pack)
+
+    def signs(t: Column) -> Column:
+        text = t["text"]
+        values = {
+            "text": text, "trims": t["issues"], "size": F.length(F.replace(text, F.lit(" "), F.lit(""))), "clauses": P.clause_count(text), "unasked": F.size(P.unasked_topics(asked, text, pack)), "risky": P.high_risk_hits(text, pack),
+            "kind": category(asked, text, pack), "close": relevance(asked, text, pack), "dated": P.has_dated_campaign(text, pack), "soft": P.has_soft_template(text, pack), "generic": P.is_generic(text, pack), "pitch": P.is_pitch(text, pack), "over": P.overcommits(text, pack),
+        }
+        return F.struct(*[v.alias(n) for n, v in values.items()])
+
+    return let(let(trim_tail(reply), signs), lambda x: _positive(x, turns, mode, pack))
+
+
+def _positive(x: Column, turns: Column, mode: Mode, pack: Pack) -> Column:
+    text, size, clauses, unasked, risky, kind, close = (x[n] for n in ("text", "size", "clauses", "unasked", "risky", "kind", "close"))
+    dated, soft, generic, pitch, over = (x[n] for n in ("dated", "soft", "generic", "pitch", "over"))
     heavy = risky >= (2 if mode.strict else 3)
     rejects = [
         (P.is_garbage(text), "garbage"), (P.has_role_leak(text), "role_leak"), (P.has_other_script(text), "other_script"), (P.has_blocked(text, pack), "blocked"),
@@ -129,7 +145,7 @@ def positive_score(context: Column | str, reply: Column | str, mode: Mode = NORM
     else:
         score = score + F.when((clauses >= 6) & (size > 40), -1.2).otherwise(0.0)
     score = score + F.when(generic, mode.of(-3.0, -4.0)).otherwise(0.0) + risky * mode.of(-0.7, -1.0) + F.when(over, mode.of(-3.0, -4.0)).otherwise(0.0)
-    score = score + F.when(F.size(trimmed["issues"]) > 0, mode.of(-2.5, -3.0)).otherwise(0.0)
+    score = score + F.when(F.size(x["trims"]) > 0, mode.of(-2.5, -3.0)).otherwise(0.0)
     term = None
     for name, values in _CATEGORY_TERMS.items():
         term = F.when(kind == name, mode.of(*values)) if term is None else term.when(kind == name, mode.of(*values))
@@ -140,13 +156,16 @@ def positive_score(context: Column | str, reply: Column | str, mode: Mode = NORM
         F.when(dated, F.lit("dated")), F.when(soft, F.lit("soft_template")), F.when(close < 1.2, F.lit("low_overlap")), F.when(generic, F.lit("generic_template")), F.when(heavy, F.lit("template_heavy")),
         F.when(over, F.lit("overcommits")), F.when(unasked >= 1, F.lit("unasked_topic")), F.when(pitch, F.lit("pitch")), F.when(size > 80, F.lit("too_long")),
     )
-    issues = F.concat(trimmed["issues"], F.filter(flags, lambda x: x.isNotNull()))
+    issues = F.concat(x["trims"], F.filter(flags, lambda x: x.isNotNull()))
     return F.struct(F.when(reason.isNotNull(), REJECTED).otherwise(score).alias("score"), issues.alias("issues"), text.alias("text"), reason.alias("rejected"))
 
 
 def negative_score(context: Column | str, reply: Column | str, chosen: Column | str, mode: Mode = NORMAL, pack: Pack = DEFAULT) -> Column:
     """struct(score, issues) of a worse reply next to the chosen one."""
-    turns, text = col(context), strip(reply)
+    return let(strip(reply), lambda t: _negative(t, col(context), chosen, mode, pack))
+
+
+def _negative(text: Column, turns: Column, chosen: Column | str, mode: Mode, pack: Pack) -> Column:
     asked = F.element_at(turns, -1)
     tight, best = F.replace(text, F.lit(" "), F.lit("")), F.replace(strip(chosen), F.lit(" "), F.lit(""))
     copied, blocked, near = F.array_contains(turns, text), P.has_blocked(text, pack), keyword_overlap(asked, text, pack) > 0.15
@@ -163,7 +182,7 @@ def negative_score(context: Column | str, reply: Column | str, chosen: Column |
 
 def keywords(c: Column | str, pack: Pack = DEFAULT) -> Column:
     """Action words in the compact text."""
-    return found(compact(c), pack.actions)
+    return let(compact(c), lambda t: found(t, pack.actions))
 
 
 def keyword_score(a: Column | str, b: Column | str, pack: Pack = DEFAULT) -> Column:

@@ -46,7 +46,7 @@ def best_pairs(cands: DataFrame, mode: Mode = NORMAL, pack: Pack = DEFAULT) -> D
     """One row per context with an accepted positive and a negative: the pair's
     score is pos + max(0, 0.15 neg). Negatives are scored after the join, so only
     for contexts that have a positive."""
-    pos = best_positive(cands, pack).select("context_key", F.col("turns").alias("context"), F.col("reply").alias("chosen"), F.col("score").alias("pos_score"), F.col("issues").alias("chosen_issues"), F.col("line_no").alias("pos_line_no"), "category", "template", "pair_key", F.col("turns").getItem(F.size("turns") - 1).alias("asked"))
+    pos = best_positive(cands, pack).select("context_key", F.col("turns").alias("context"), F.col("reply").alias("chosen"), F.col("score").alias("pos_score"), F.col("issues").alias("chosen_issues"), F.col("line_no").alias("pos_line_no"), "category", "template", "pair_key", F.element_at("turns", -1).alias("asked"))
     neg = cands.where("label = 0").select("context_key", F.col("reply").alias("rejected"), F.col("line_no").alias("neg_line_no"))
     both = pos.join(neg, "context_key").withColumn("_neg", negative_score("context", "rejected", "chosen", mode, pack)).where(F.col("_neg.score") > REJECTED)
     order = [F.desc("_neg.score"), F.size("_neg.issues"), F.length("rejected"), F.asc("neg_line_no")]

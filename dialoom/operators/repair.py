@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoom.functions import predicates as P
-from dialoom.functions.clean import EDGE, col, compact, repair_clean, without_masks
+from dialoom.functions.clean import EDGE, col, compact, let, repair_clean, without_masks
 from dialoom.functions.rules import DEFAULT, Pack, any_of
 from dialoom.functions.scoring import keyword_score, repair_category
 
@@ -16,9 +16,9 @@ BUDGET, CLAUSES = 34, 2
 def split_clauses(c: Column | str) -> Column:
     """Clauses in order, equal ones (in compact form) once."""
     parts = F.transform(F.split(repair_clean(c), "[，。！？；!?,;\n]"), lambda x: F.regexp_replace(x, f"^{EDGE}+|{EDGE}+$", ""))
-    parts = F.filter(parts, lambda x: x != "")
-    keys = F.transform(parts, lambda x: F.replace(x, F.lit(" "), F.lit("")))
-    return F.filter(parts, lambda x, i: F.array_position(keys, F.replace(x, F.lit(" "), F.lit(""))) == i + 1)
+    tight = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    first = lambda xs: let(F.transform(xs, tight), lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, tight(x)) == i + 1))
+    return let(F.filter(parts, lambda x: x != ""), first)
 
 
 def _category_words(kind: Column, pack: Pack, text: Column) -> Column:
@@ -48,7 +48,6 @@ def repaired_positive(asked: Column, kind: Column, reply: Column, pack: Pack = D
     """struct(text, issues, score): up to CLAUSES clauses with a score above 0
     inside BUDGET characters, in the order of their scores; text is null if
     nothing can be saved."""
-    clauses = positive_clauses(asked, kind, reply, pack)
     zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("size"))
 
     def take(s: Column, x: Column) -> Column:
@@ -56,31 +55,39 @@ def repaired_positive(asked: Column, kind: Column, reply: Column, pack: Pack = D
         fits = (x["score"] > 0) & (n < CLAUSES) & ((n == 0) | (s["size"] + F.length(x["text"]) <= BUDGET))
         return F.struct(F.when(fits, F.concat(s["kept"], F.array(x["text"]))).otherwise(s["kept"]).alias("kept"), F.when(fits, s["size"] + F.length(x["text"])).otherwise(s["size"]).alias("size"))
 
-    kept = F.aggregate(clauses, zero, take, lambda s: s["kept"])
-    best = F.try_element_at(clauses, F.lit(1))
-    chosen = F.when(F.size(kept) > 0, kept).when(best["score"] >= 0, F.array(best["text"])).otherwise(F.array().cast("array<string>"))
-    text = without_masks(F.array_join(chosen, "，"))
-    whole = compact(reply)
-    flags = F.array(F.when(F.replace(text, F.lit(" "), F.lit("")) != whole, F.lit("trimmed_positive")), F.when(any_of(whole, pack.store), F.lit("store_specific_positive")), F.when(any_of(whole, pack.promise), F.lit("time_promise_positive")))
-    bad = (F.size(chosen) == 0) | P.is_low_info(text, pack) | P.is_bad(text, pack)
-    issues = F.when(F.size(chosen) == 0, F.array(F.lit("positive_not_salvageable"))).otherwise(F.filter(flags, lambda x: x.isNotNull()))
-    return F.struct(F.when(~F.coalesce(bad, F.lit(True)), text).alias("text"), issues.alias("issues"), (F.coalesce(best["score"], F.lit(0.0)) + F.length(text) / 10.0).alias("score"))
+    def choose(clauses: Column) -> Column:
+        best = F.try_element_at(clauses, F.lit(1))
+        chosen = let(F.aggregate(clauses, zero, take, lambda s: s["kept"]), lambda kept: F.when(F.size(kept) > 0, kept).when(best["score"] >= 0, F.array(best["text"])).otherwise(F.array().cast("array<string>")))
+        return F.struct(F.coalesce(best["score"], F.lit(0.0)).alias("best"), chosen.alias("chosen"))
+
+    def finish(x: Column) -> Column:
+        text, whole, none = x["text"], x["whole"], x["none"]
+        flags = F.array(F.when(F.replace(text, F.lit(" "), F.lit("")) != whole, F.lit("trimmed_positive")), F.when(any_of(whole, pack.store), F.lit("store_specific_positive")), F.when(any_of(whole, pack.promise), F.lit("time_promise_positive")))
+        bad = none | P.is_low_info(text, pack) | P.is_bad(text, pack)
+        issues = F.when(none, F.array(F.lit("positive_not_salvageable"))).otherwise(F.filter(flags, lambda i: i.isNotNull()))
+        return F.struct(F.when(~F.coalesce(bad, F.lit(True)), text).alias("text"), issues.alias("issues"), (x["best"] + F.length(text) / 10.0).alias("score"))
+
+    picked = let(positive_clauses(asked, kind, reply, pack), choose)
+    parts = let(picked, lambda p: F.struct(without_masks(F.array_join(p["chosen"], "，")).alias("text"), compact(reply).alias("whole"), (F.size(p["chosen"]) == 0).alias("none"), p["best"].alias("best")))
+    return let(parts, finish)
 
 
 def template_pick(asked: Column, kind: Column, pack: Pack = DEFAULT) -> Column:
     """A negative template: md5 of the compact question modulo their number."""
-    number = F.conv(F.substring(F.md5(compact(asked)), 1, 8), 16, 10).cast("long")
-    out = None
-    for name, texts in sorted(pack.negatives.items()):
-        value = F.element_at(F.array(*[F.lit(t) for t in texts]), (number % len(texts) + 1).cast("int"))
-        out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
-    return out
+
+    def pick(number: Column) -> Column:
+        out = None
+        for name, texts in sorted(pack.negatives.items()):
+            value = F.element_at(F.array(*[F.lit(t) for t in texts]), (number % len(texts) + 1).cast("int"))
+            out = F.when(kind == name, value) if out is None else out.when(kind == name, value)
+        return out
+
+    return let(F.conv(F.substring(F.md5(compact(asked)), 1, 8), 16, 10).cast("long"), pick)
 
 
 def needs_rewrite(asked: Column, rejected: Column, pack: Pack = DEFAULT) -> Column:
-    text = compact(rejected)
     near = keyword_score(asked, rejected, pack) >= 0.12
-    return P.is_low_info(rejected, pack) | (text == "") | text.isin(*P.MASKS) | (~near & ~any_of(text, pack.contact + pack.risky)) | (F.length(text) <= 6)
+    return P.is_low_info(rejected, pack) | let(compact(rejected), lambda t: (t == "") | t.isin(*P.MASKS) | (~near & ~any_of(t, pack.contact + pack.risky)) | (F.length(t) <= 6))
 
 
 def repaired_negative(asked: Column, kind: Column, rejected: Column, chosen: Column, pack: Pack = DEFAULT) -> Column:
@@ -94,15 +101,20 @@ def repaired_negative(asked: Column, kind: Column, rejected: Column, chosen: Col
         return s + F.when(size < 6, -1.0).when(size <= 28, 1.0).otherwise(0.0)
 
     scored = F.transform(split_clauses(rejected), lambda x, i: F.struct(score(x).alias("score"), (-F.length(x)).alias("short"), (-i).alias("early"), x.alias("text")))
-    best = F.try_element_at(F.reverse(F.array_sort(scored)), F.lit(1))
-    cut = F.when(best["score"] > 0, best["text"]).otherwise(repair_clean(rejected))
-    rewrite = needs_rewrite(asked, cut, pack) | (compact(cut) == compact(chosen))
-    text = F.when(rewrite, template_pick(asked, kind, pack)).otherwise(cut)
-    tight = compact(text)
-    bad = (tight == compact(chosen)) | P.is_low_info(text, pack) | (F.length(tight) < 6)
-    value = 6.0 * keyword_score(asked, text, pack) + F.when(any_of(tight, pack.contact), 4.0).otherwise(0.0) + F.when(any_of(tight, pack.risky + pack.promise), 3.0).otherwise(0.0) + F.when(any_of(tight, pack.actions), 1.0).otherwise(0.0) + F.when(rewrite, 2.0).otherwise(0.0)
-    issues = F.filter(F.array(F.when(rewrite, F.lit("rewritten_negative")), F.when(~rewrite & (best["score"] > 0), F.lit("trimmed_negative"))), lambda x: x.isNotNull())
-    return F.struct(F.when(~F.coalesce(bad, F.lit(True)), text).alias("text"), issues.alias("issues"), value.alias("score"))
+    best = let(F.reverse(F.array_sort(scored)), lambda c: F.try_element_at(c, F.lit(1)))
+    state = let(best, lambda b: F.struct((b["score"] > 0).alias("found"), F.when(b["score"] > 0, b["text"]).otherwise(repair_clean(rejected)).alias("cut")))
+    state = let(state, lambda x: F.struct(x["found"].alias("found"), x["cut"].alias("cut"), (needs_rewrite(asked, x["cut"], pack) | (compact(x["cut"]) == compact(chosen))).alias("rewrite")))
+    state = let(state, lambda x: F.struct(x["found"].alias("found"), x["rewrite"].alias("rewrite"), F.when(x["rewrite"], template_pick(asked, kind, pack)).otherwise(x["cut"]).alias("text")))
+    state = let(state, lambda x: F.struct(x["found"].alias("found"), x["rewrite"].alias("rewrite"), x["text"].alias("text"), compact(x["text"]).alias("tight")))
+
+    def finish(x: Column) -> Column:
+        text, tight, rewrite = x["text"], x["tight"], x["rewrite"]
+        bad = (tight == compact(chosen)) | P.is_low_info(text, pack) | (F.length(tight) < 6)
+        value = 6.0 * keyword_score(asked, text, pack) + F.when(any_of(tight, pack.contact), 4.0).otherwise(0.0) + F.when(any_of(tight, pack.risky + pack.promise), 3.0).otherwise(0.0) + F.when(any_of(tight, pack.actions), 1.0).otherwise(0.0) + F.when(rewrite, 2.0).otherwise(0.0)
+        issues = F.filter(F.array(F.when(rewrite, F.lit("rewritten_negative")), F.when(~rewrite & F.coalesce(x["found"], F.lit(False)), F.lit("trimmed_negative"))), lambda i: i.isNotNull())
+        return F.struct(F.when(~F.coalesce(bad, F.lit(True)), text).alias("text"), issues.alias("issues"), value.alias("score"))
+
+    return let(state, finish)
 
 
 def repair_pairs(df: DataFrame, context: str = "context", chosen: str = "chosen", rejected: str = "rejected", pack: Pack = DEFAULT) -> DataFrame:
