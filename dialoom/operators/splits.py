@@ -52,8 +52,9 @@ def _reverse(c: Column) -> Column:
 
 def split_stats(df: DataFrame, split: str = "split", category: str = "category", score: str = "score", rank: str = "rank") -> DataFrame:
     """Per split: rows, mean score, bounds of the rank and a histogram of categories."""
-    one = df.groupBy(split, category).agg(F.count("*").alias("n"), F.sum(score).alias("s"), F.min(rank).alias("lo"), F.max(rank).alias("hi"))
-    histogram = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(category), F.lit("")), "n"))))
+    kind = F.coalesce(F.col(category), F.lit("")).alias("_kind")
+    one = df.groupBy(split, kind).agg(F.count("*").alias("n"), F.sum(score).alias("s"), F.min(rank).alias("lo"), F.max(rank).alias("hi"))
+    histogram = F.map_from_entries(F.array_sort(F.collect_list(F.struct("_kind", "n"))))
     return one.groupBy(split).agg(F.sum("n").alias("rows"), F.bround(F.sum("s") / F.sum("n"), 4).alias("mean_score"), F.min("lo").alias("min_rank"), F.max("hi").alias("max_rank"), histogram.alias("categories"))
 
 

@@ -275,7 +275,7 @@ def split_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("categories", F.array_join(entries, ","))
 
 
-@query("SELECT doc_id, n <= greatest(1, (m * 0.05)::BIGINT) AS is_validation FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS n, count(*) OVER () - 10 AS m FROM documents)" .replace("(m * 0.05)::BIGINT", "floor((m + 10) * 0.05)::BIGINT"))
+@query("SELECT doc_id, n <= greatest(1, floor(m * 0.05)) AS is_validation FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) AS n, count(*) OVER () AS m FROM documents)")
 def hash_holdout(spark: SparkSession, d: str) -> DataFrame:
     return splits.holdout(table(spark, d, "documents"), "doc_id", 0.05).select("doc_id", "is_validation")
 
@@ -473,7 +473,7 @@ _BARE = lambda x: S.sub(f"coalesce({x}, '')", S.WS, "")
 
 @query(
     f"""SELECT repair_id, em AS exact_match, common, len(x) AS left_size, len(y) AS right_size, CASE WHEN common > 0 THEN round(2e6 * common / (len(x) + len(y)))::BIGINT ELSE 0 END AS char_f1
-    FROM (SELECT *, list_sum(list_transform(list_distinct(x), lambda c: least(len(list_filter(x, lambda e: e = c)), len(list_filter(y, lambda e: e = c)))))::INT AS common_ , coalesce(list_sum(list_transform(list_distinct(x), lambda c: least(len(list_filter(x, lambda e: e = c)), len(list_filter(y, lambda e: e = c))))), 0)::INT AS common
+    FROM (SELECT *, coalesce(list_sum(list_transform(list_distinct(x), lambda c: least(len(list_filter(x, lambda e: e = c)), len(list_filter(y, lambda e: e = c))))), 0)::INT AS common
     FROM (SELECT repair_id, ({S.strip("coalesce(chosen, '')")} = {S.strip("coalesce(rejected, '')")})::INT AS em, {_CHARS.format(_BARE('chosen'))} AS x, {_CHARS.format(_BARE('rejected'))} AS y FROM repair_group))"""
 )
 def char_f1(spark: SparkSession, d: str) -> DataFrame:
@@ -504,9 +504,9 @@ def metric_means(spark: SparkSession, d: str) -> DataFrame:
 _OUTCOME = "CASE WHEN chosen_logprob IS NULL OR rejected_logprob IS NULL OR isnan(chosen_logprob) OR isnan(rejected_logprob) OR isinf(chosen_logprob) OR isinf(rejected_logprob) THEN 'error' WHEN chosen_logprob > rejected_logprob THEN 'win' WHEN chosen_logprob = rejected_logprob THEN 'tie' ELSE 'loss' END"
 
 
-@query(f"SELECT id, {_OUTCOME} AS outcome, round(CASE WHEN {_OUTCOME} <> 'error' THEN chosen_logprob - rejected_logprob END * 10000)::BIGINT AS margin FROM preference_rows")
+@query(f"SELECT id, {_OUTCOME} AS outcome, round(CASE WHEN {_OUTCOME} <> 'error' THEN chosen_logprob - rejected_logprob END * 10000)::DOUBLE AS margin FROM preference_rows")
 def preference_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return reports.preference_rows(table(spark, d, "preference_rows")).select("id", "outcome", F.round(F.col("new_margin") * 10000).cast("long").alias("margin"))
+    return reports.preference_rows(table(spark, d, "preference_rows")).select("id", "outcome", F.round(F.col("new_margin") * 10000).alias("margin"))
 
 
 _SUMMARY = f"""SELECT run_name, count(*) AS rows, count(*) FILTER (o <> 'error') AS valid, round(coalesce(count(*) FILTER (o = 'win') / nullif(count(*) FILTER (o <> 'error'), 0)::DOUBLE, 0) * 1000000)::BIGINT AS accuracy,
