@@ -146,6 +146,7 @@ def copies(df: DataFrame, key: str = "line_no", **columns: str) -> DataFrame:
 
 
 def collapse(df: DataFrame, key: str = "line_no", **columns: str) -> DataFrame:
-    """One representative per set, the row with the smallest key, with `n_copies`."""
+    """One representative per set, the row with the smallest key, with `n_copies`
+    (in place of a column of that name)."""
     counts = copy_sets(df, key, **columns).groupBy("first").agg(F.count("*").alias("n_copies"))
-    return df.join(counts.withColumnRenamed("first", key), key)
+    return df.drop("n_copies").join(counts.withColumnRenamed("first", key), key)

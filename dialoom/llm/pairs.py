@@ -444,6 +444,8 @@ def defects(candidate: DataFrame, repair_group: DataFrame) -> DataFrame:
         for pdf in batches:
             found = pd.Series([judge.defect(a, r) for a, r in zip(pdf["asked"], pdf["reply"])], index=pdf.index, dtype=object)
             hit = found.notna()
+            if not hit.any():
+                continue
             yield pd.DataFrame({"record_kind": pdf["record_kind"][hit], "record_id": pdf["record_id"][hit], "field": pdf["field"][hit], "defect": found[hit]})
 
     return records.mapInPandas(run, "record_kind string, record_id long, field string, defect string")

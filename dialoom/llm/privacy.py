@@ -242,7 +242,8 @@ def personal_data(df: DataFrame, key: str = "line_no", context: str = "context",
                             keys.append(k)
                             turns_.append(i)
                             kinds.append(kind)
-            yield pd.DataFrame({key: keys, "turn_no": turns_, "kind": kinds})
+            if keys:
+                yield pd.DataFrame({key: keys, "turn_no": turns_, "kind": kinds})
 
     return df.select(key, context, response).mapInPandas(run, f"{key} long, turn_no int, kind string")
 
