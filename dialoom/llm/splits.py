@@ -34,6 +34,8 @@ Q, EDITS = 2, 0.2
 SPARE = 0.5
 #: Evaluation texts in one index; buckets of the frequency sketch (a power of two).
 BLOCK, SKETCH = 2048, 1 << 16
+#: Training texts that a task probes at most, about.
+TASK_TEXTS = 8192
 #: Bits of a fine and a coarse row.
 FINE, COARSE = 4096, 1024
 
@@ -197,8 +199,8 @@ def near_texts(texts: DataFrame) -> DataFrame:
     held = held.withColumn("block", block)
     ranges = {r.block: (r.lo, r.hi) for r in held.groupBy("block").agg(F.min(size).alias("lo"), F.max(size).alias("hi")).collect()}
     able = F.array(*[F.when((size >= F.lit(lo * (1 - EDITS) - 1)) & (size <= F.lit(hi / (1 - EDITS) + 1)), F.lit(k)) for k, (lo, hi) in sorted(ranges.items())])
-    # Training texts are salted, so that a block is worked on by many tasks.
-    salts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(ranges))
+    # Training texts are salted, so that a task has a bounded number of them.
+    salts = max(1, -(-texts.where("part = 'train'").count() // TASK_TEXTS))
     # Names of its own: both sides come from one table, and a cogroup tells columns by their origin.
     train = texts.where("part = 'train'").select(F.col("digest").alias("name"), F.col("text").alias("body"), F.explode(F.filter(able, lambda x: x.isNotNull())).alias("block"), F.pmod(F.xxhash64("digest"), F.lit(salts)).alias("salt"))
     held = held.select("digest", "text", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
