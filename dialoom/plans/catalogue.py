@@ -103,7 +103,20 @@ def reply_flags(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("line_no", *[c.alias(n) for n, c in flags.items()])
 
 
-@query()
+def _masked_sql() -> str:
+    full = "|".join(DEFAULT.fragments).replace("'", "''")
+    bare, mask = S.strip("r"), S.mask_key("r")
+    kinds = " + ".join(f"{S.any_of('r', words)}::INT" for words in (DEFAULT.shop_names, DEFAULT.operations, DEFAULT.policies))
+    first = f"({S.strip('f')} = '' OR regexp_matches(f, '^({'|'.join(DEFAULT.incomplete)})') OR {S.low_info('f')} OR length({S.strip('f')}) <= 4)"
+    return f"""SELECT line_no, {S.any_of('lower(r)', tuple(w.lower() for w in DEFAULT.blocked))} AS blocked,
+    contains(r, '<|im_') OR regexp_matches(r, '(?im)^\\s*(user|assistant|system)([^{S.WORD}]|$)') OR regexp_matches(r, '(?m)^\\s*(用户|客服|买家|卖家)\\s*[：:]') AS role_leak,
+    regexp_matches(r, '[\\x{{0600}}-\\x{{06ff}}\\x{{0e00}}-\\x{{0e7f}}\\x{{0400}}-\\x{{04ff}}\\x{{ac00}}-\\x{{d7af}}]') AS other_script, {kinds} AS store, coalesce(len(context), 0) >= 2 AND {first} AS incomplete,
+    (length({bare}) <= 3 OR regexp_matches({bare}, '^(?:{full})$') OR (length({bare}) <= 8 AND NOT {S.any_of(bare, DEFAULT.complete)})) AS fragment,
+    regexp_matches({mask}, '(?i)^(?:{'|'.join(DEFAULT.generic)})') AS generic, regexp_matches({mask}, '{'|'.join(DEFAULT.time_promise)}') AS time_promise,
+    (k = '' OR k IN ('<ID>', '<PHONE>', '<NUM>', '<YEAR>') OR {S.any_of('k', DEFAULT.contact)}) AS bad FROM (SELECT line_no, context, {_R} AS r, coalesce(context[1], '') AS f, {S.compact(_R)} AS k FROM candidate)"""
+
+
+@query(_masked_sql())
 def reply_flags_masked(spark: SparkSession, d: str) -> DataFrame:
     rows = _candidate(spark, d).select("line_no", "context", F.coalesce("response", F.lit("")).alias("r"))
     flags = {
@@ -238,7 +251,7 @@ def run_length_groups(spark: SparkSession, d: str) -> DataFrame:
     return grouping.run_groups(_candidate(spark, d), F.col("label"), within=["shop_id"]).select("shop_id", "run_id", "first_line", "last_line", "rows")
 
 
-@query()
+@query("SELECT min(line_no) AS first_line, count(*) AS rows, coalesce(arg_min_null(CASE WHEN label = 1 THEN response END, CASE WHEN label = 1 THEN line_no END), '') AS positive FROM candidate GROUP BY context")
 def context_lines(spark: SparkSession, d: str) -> DataFrame:
     return grouping.context_lines(_candidate(spark, d)).select("first_line", F.size("lines").alias("rows"), "positive")
 
@@ -371,7 +384,13 @@ def alpaca_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("line_no", chat.alpaca(F.lit(chat.TASK), chat.task_prompt("context"), F.col("response")).alias("r")).select("line_no", "r.*")
 
 
-@query()
+_OPEN = f"CASE WHEN ends_with({_LINES}, chr(10) || '客服：') THEN {_LINES} ELSE {_LINES} || chr(10) || '客服：' END"
+
+
+@query(
+    f"""SELECT line_no, turns, len(list_filter(regexp_split_to_array(p, '用户：|客服：')[2:], lambda e: {S.light_clean('e')} <> '')) AS parsed
+    FROM (SELECT line_no, len(context) AS turns, {S.light_clean(_OPEN)} AS p, {S.light_clean('response')} AS r FROM candidate WHERE len(context) > 0 AND response IS NOT NULL) WHERE r <> ''"""
+)
 def parse_turns_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     rows = _candidate(spark, d).where("size(context) > 0 and response is not null")
     made = rows.select("line_no", "context", chat.alpaca_to_messages(F.lit(chat.SYSTEM), chat.open_prompt("context"), "response").alias("messages"))
