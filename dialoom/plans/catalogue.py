@@ -72,15 +72,20 @@ def light_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", clean.light_clean("text").alias("clean"))
 
 
-@query()
+@query(f"SELECT doc_id, {S.clean_document('text')} AS clean, {S.normalize_masked_first('text')} AS masked FROM documents WHERE text IS NOT NULL")
 def clean_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", clean.clean_document("text").alias("clean"), clean.normalize_masked_first("text").alias("masked"))
 
 
-@query()
+@query(f"SELECT repair_id, {S.clean_output('rejected')} AS clean, {S.without_masks('chosen')} AS unmasked FROM repair_group")
 def clean_outputs(spark: SparkSession, d: str) -> DataFrame:
-    trimmed = clean.trim_tail(F.coalesce("rejected", F.lit("")))
-    return table(spark, d, "repair_group").select("repair_id", clean.clean_output("rejected").alias("clean"), clean.without_masks("chosen").alias("unmasked"), trimmed["text"].alias("trimmed"), F.size(trimmed["issues"]).alias("trims"))
+    return table(spark, d, "repair_group").select("repair_id", clean.clean_output("rejected").alias("clean"), clean.without_masks("chosen").alias("unmasked"))
+
+
+@query()
+def trimmed_tails(spark: SparkSession, d: str) -> DataFrame:
+    trimmed = clean.trim_tail(F.coalesce("response", F.lit("")))
+    return _candidate(spark, d).select("line_no", trimmed["text"].alias("trimmed"), F.size(trimmed["issues"]).alias("trims"))
 
 
 # Predicates, scores, categories

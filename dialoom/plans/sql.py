@@ -157,3 +157,52 @@ def keyword_overlap(a: str, b: str) -> str:
 
 def exact_edge(x: str) -> str:
     return sub(x, f"^{EDGE}+|{EDGE}+$", "")
+
+
+def clean_output(x: str, most: int = 56) -> str:
+    from dialoom.functions.clean import OUTPUT_MARKERS
+
+    text = plain_text(x)
+    for marker in OUTPUT_MARKERS:
+        text = f"split_part({text}, {q(marker)}, 1)"
+    text = strip(sub(strip(text), "(?is)\\n\\s*(user|assistant|system|用户|客服)\\s*[：:].*$", ""))
+    text = sub(text, "[\\x{0e00}-\\x{0e7f}]|[\\x{10000}-\\x{10ffff}]", "")
+    text = strip(squeeze(sub(text, "[A-Za-z]{4,}", "")))
+    return sub(f"left({text}, {most})", f"{WS}+$", "")
+
+
+def without_masks(x: str) -> str:
+    text = sub(repair_clean(x), "(?i)<(PHONE|ID|NUM|YEAR)>", "")
+    for before in ("一个", "不同", "每个"):
+        text = sub(text, f"(?i){before}{WS}*ID", f"{before}账号")
+    for _ in range(2):
+        text = sub(text, f"(?i)(^|[^{WORD}])ID($|[^{WORD}])", "\\1账号\\2")
+    return strip(exact_edge(sub(text, f"{WS}{{2,}}", " ")))
+
+
+def normalize_masked_first(x: str) -> str:
+    return strip(plain_marks(mask_numbers(plain_spaces(strip(x)))))
+
+
+def mark_spacing(x: str) -> str:
+    text = sub(strip(x), f"{WS}*:{WS}*", "：")
+    text = sub(text, f"{WS}+([，。！？；：、）】》〉])", "\\1")
+    text = sub(text, f"([（【《〈]){WS}+", "\\1")
+    text = sub(text, f"([0-9]){WS}*-{WS}*([0-9])", "\\1-\\2")
+    return strip(sub(text, " +", " "))
+
+
+def role_prefix(x: str) -> str:
+    text, out = strip(x), "CASE"
+    for words, name in ((USER_WORDS, "用户："), (AGENT_WORDS, "客服：")):
+        pattern = f"^({'|'.join(words)}){WS}*[：:]"
+        out += f" WHEN regexp_matches({text}, {q(pattern)}) THEN {q(name)} || {strip(sub(text, pattern + WS + '*', ''))}"
+    return out + f" ELSE {text} END"
+
+
+def clean_document(x: str) -> str:
+    text = newlines(normalize_masked_first(x))
+    text = f"regexp_replace({text}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    steps = f"list_filter(list_transform(string_split({text}, chr(10)), lambda l: {mark_spacing('l')}), lambda l: l <> '')"
+    joined = f"list_transform({steps}, lambda l: {join_han('l')})"
+    return strip(f"array_to_string(list_filter(list_transform({joined}, lambda l: {role_prefix('l')}), lambda l: l <> ''), chr(10))")
