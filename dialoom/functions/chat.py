@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from dialoom.functions.clean import SPACE, col, let, light_clean, plain_text, strip, without_task
+from dialoom.functions.clean import SPACE, TRAILING, col, let, light_clean, plain_text, strip, without_task
 
 MESSAGES = "array<struct<role:string,content:string>>"
 USER, AGENT = "用户：", "客服："
@@ -112,7 +112,7 @@ def terminated(c: Column, mode: str = "im_end", renew: bool = False) -> Column:
     bare = F.regexp_replace(c, f"({SPACE}|<\\|im_end\\|>|<\\|endoftext\\|>)+$", "")
     if renew:
         return F.concat(bare, F.lit(marks))
-    text = F.regexp_replace(c, f"{SPACE}+$", "")
+    text = F.regexp_replace(c, TRAILING, "")
     return F.when(text.endswith(END) | text.endswith(EOS), text).otherwise(F.concat(text, F.lit(marks)))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 #: Blanks of all kinds, the ones Python strips; U+001C-U+001F are not in \s.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Blanks at the end. The look-behind keeps long runs inside a text linear.
+TRAILING = f"(?<!{SPACE}){SPACE}+$"
 #: Marks at the edges of a reply.
 EDGE = r"[ ，。！？；!?,;]"
 #: Particles and greetings that a template key leaves out, in this order.
@@ -29,7 +31,7 @@ def let(c: Column, body) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without blanks of any kind at both ends."""
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col(c), f"^{SPACE}+|{TRAILING}", "")
 
 
 def squeeze(c: Column) -> Column:
@@ -109,8 +111,8 @@ def role_prefix(c: Column | str) -> Column:
 
 def mark_spacing(c: Column | str) -> Column:
     """Full-width colons, no blanks inside brackets and before marks."""
-    out = F.regexp_replace(strip(c), f"{SPACE}*:{SPACE}*", "：")
-    out = F.regexp_replace(out, f"{SPACE}+([，。！？；：、）】》〉])", "$1")
+    out = F.regexp_replace(strip(c), f"(?<!{SPACE}){SPACE}*:{SPACE}*", "：")
+    out = F.regexp_replace(out, f"(?<!{SPACE}){SPACE}+([，。！？；：、）】》〉])", "$1")
     out = F.regexp_replace(out, f"([（【《〈]){SPACE}+", "$1")
     out = F.regexp_replace(out, f"(\\d){SPACE}*-{SPACE}*(\\d)", "$1-$2")
     return strip(F.regexp_replace(out, " +", " "))
@@ -199,7 +201,7 @@ def clean_output(c: Column | str, most: int = 56) -> Column:
     text = strip(F.regexp_replace(strip(text), r"(?is)\n\s*(user|assistant|system|用户|客服)\s*[：:].*$", ""))
     text = F.regexp_replace(text, r"[฀-๿]|[\x{10000}-\x{10ffff}]", "")
     text = strip(squeeze(F.regexp_replace(text, "[A-Za-z]{4,}", "")))
-    return F.regexp_replace(F.left(text, F.lit(most)), f"{SPACE}+$", "") if most else text
+    return F.regexp_replace(F.left(text, F.lit(most)), TRAILING, "") if most else text
 
 
 def trim_tail(c: Column | str, repeated: str = "(请核对一下收货地址[，。！ ]*){2,}", tail: str = "[，。！ ]*请(您)?核对一下收货地址.*$") -> Column:
