@@ -47,7 +47,9 @@ WEIGHTS = np.array([1, 2, 4, 4, 4, 2, 2, 4, 4, 8, 1, 1.0])
 
 UNIT = re.compile(r"[㐀-鿿぀-ヿ가-힣]|[a-zÀ-ɏḀ-ỿЀ-ӿ]+(?:'[a-z]+)?|[฀-๿]+|\d+(?:[.,:]\d+)*")
 _LETTER = re.compile(r"[^\W_]")
-_TRAIL = re.compile(r"[\s。.…!?！？~,，、;；:：\-–—]+$")
+#: Marks and blanks at the end of a text; what tells how it ends lies in its last characters.
+_TRAIL = " \t\r\n\v\f。.…!?！？~,，、;；:：-–—"
+_LAST = 200
 
 #: Frequent function words of some languages in Latin letters.
 WORDS = {
@@ -65,7 +67,7 @@ for _name, _words in WORDS.items():
 _VIETNAMESE = re.compile(r"[ạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹđơư]")
 #: Product names and codes, order tags and addresses say nothing about language.
 _NAMES = re.compile(
-    r"[A-ZÀ-ÞĐ][A-Za-zÀ-ɏ'’-]*(?: Co)?\s?[A-Z]{2}-?\d+[A-Za-z]*|[㐀-鿿]{0,8}[A-Za-z]{2}-\d+[A-Za-z]*|[A-ZÀ-ÞĐ][A-Za-zÀ-ɏ'’-]{2,}(?: Co)?(?=[㐀-鿿])|[\w.+-]+\s?@\s?[\w.-]+|单号是|编号|订单尾号|我的订单|订单|就是\s*\w*那一单|\border\b|\b[A-Z]{2}\d{6,}\b"
+    r"[A-ZÀ-ÞĐ][A-Za-zÀ-ɏ'’-]{0,30}(?: Co)?\s?[A-Z]{2}-?\d+[A-Za-z]*|[㐀-鿿]{0,8}[A-Za-z]{2}-\d+[A-Za-z]*|[A-ZÀ-ÞĐ][A-Za-zÀ-ɏ'’-]{2,30}(?: Co)?(?=[㐀-鿿])|(?<![A-Za-z0-9.+_-])[A-Za-z0-9.+_-]{1,64}\s?@\s?[A-Za-z0-9.-]+|单号是|编号|订单尾号|我的订单|订单|就是\s*\w*那一单|\border\b|\b[A-Z]{2}\d{6,}\b"
 )
 _SPLIT = re.compile(r"[㐀-鿿]|[぀-ヿ]|[가-힣]|[Ѐ-ӿ]+|[฀-๿]|[A-Za-zÀ-ɏḀ-ỿ]+(?:'[a-z]+)?")
 
@@ -85,7 +87,8 @@ _PARTICLES = set("哦哈呢啦哟噢嘛")
 _CLOSED = re.compile(r"(?:[哦哈呢啦吗吧呀啊嘛哟噢぀-ヿ가-힣฀-๿]|[。!?！？]|(?<!\.)\.)[\s~～…)」』”\"']*$")
 #: The number of a list that does not follow.
 _LISTED = re.compile(r"[:：]\s*\d{1,2}\.$")
-_OPEN = re.compile(r"[(（「『“‘\[【《<][^)）」』”’\]】》>]*$|[-–—,，、:：(（「『“]\s*$|[:：]\s*\d{1,2}\.\s*$|(?:^|[\s,，。])先?把[㐀-鿿]{1,4}\W*$")
+_OPEN = re.compile(r"[-–—,，、:：(（「『“]\s*$|[:：]\s*\d{1,2}\.\s*$|(?:^|[\s,，。])先?把[㐀-鿿]{1,4}\W*$")
+_BRACKETS = ("(（「『“‘[【《<", ")）」』”’]】》>")
 _NAME_END = re.compile(r"(?:我叫|收件人写?|收件人[:：=]|名字是|name is)\s*\S{2,20}$|那一单\W*$|(?:店名叫|下就送)[㐀-鿿]{2,12}$|[A-Za-z]{0,2}\d{7,}\W*$", re.I)
 #: Three characters before a comma or closing mark inside a text: a phrase may end so.
 _BLANK_END = re.compile(r"([㐀-鿿])([㐀-鿿])([㐀-鿿])(?= [^\s…。,，])")
@@ -113,6 +116,12 @@ _REFUSED_PLAIN = [
 ]
 
 
+def is_open(shown: str) -> bool:
+    """Whether a text ends inside brackets, or on a mark that goes on."""
+    start = max(map(shown.rfind, _BRACKETS[0]))
+    return start > max(map(shown.rfind, _BRACKETS[1])) or _OPEN.search(shown[-_LAST:]) is not None
+
+
 def units_of(shown: str) -> list[str]:
     """Characters of Han, kana and Hangul, words of other scripts, "0" for figures."""
     return [u if u > ":" else "0" for u in UNIT.findall(shown.lower())]
@@ -126,7 +135,7 @@ def ending(units: list[str], size: int) -> int:
 def last_units(shown: str) -> tuple[list[str], bool]:
     """The last units before closing marks and particles, and whether there are any
     such marks. They lie within the last characters, blanks and marks aside."""
-    text = shown.rstrip()
+    text = shown.rstrip()[-_LAST:]
     closed = bool(_CLOSED.search(text)) and not _LISTED.search(text)
     units = units_of(text[-160:])
     while units and units[-1] in _PARTICLES:
@@ -220,7 +229,7 @@ class Reader:
     def known_end(self, shown: str) -> float:
         """1 for a closed text; else how usual it is that texts end so: the larger
         share of turns, and of closed texts, among all with this ending."""
-        text = shown.rstrip()
+        text = shown.rstrip()[-_LAST:]
         if _CLOSED.search(text) and not _LISTED.search(text):
             return 1.0
         units = last_units(shown)[0]
@@ -236,8 +245,8 @@ class Reader:
         of_asked, of_reply = overlap(question, units) if 0.6 * len(question) <= len(units) else (0.0, 0.0)
         end = self.known_end(shown)
         return [
-            1.0, min(1.0, end * 5), float(end < USUAL), float(bool(_OPEN.search(shown))), float(refused), of_asked, of_reply, float(of_asked > 0.85), float(of_asked > 0.85 and of_reply > 0.4),
-            float(differs(spoken, language(shown))), float(bool(_TRAIL.search(shown))), min(len(units), 60) / 60,
+            1.0, min(1.0, end * 5), float(end < USUAL), float(is_open(shown)), float(refused), of_asked, of_reply, float(of_asked > 0.85), float(of_asked > 0.85 and of_reply > 0.4),
+            float(differs(spoken, language(shown))), float(shown != shown.rstrip(_TRAIL)), min(len(units), 60) / 60,
         ]
 
     def example(self, asked: str, shown: str) -> Example:
@@ -430,10 +439,10 @@ class Judge:
         return x.dense[4] > 0 and not _SHOP.search(shown)
 
     def _truncated(self, shown: str, x: Example, asked: str | None) -> bool:
-        text = _TRAIL.sub("", shown)
-        if _OPEN.search(shown):
+        text = shown.rstrip(_TRAIL)
+        if is_open(shown):
             return True
-        if not x.dense[2] or _NAME_END.search(text):
+        if not x.dense[2] or _NAME_END.search(text[-_LAST:]):
             return False
         return not any(m.end() >= len(text) for p in (EMAIL, PHONE, ID18, ID9, PAPER, STREET, ADDRESS) for m in p.finditer(text))
 
