@@ -79,8 +79,12 @@ def join_han(c: Column) -> Column:
 
         return let((han(s["last"]) & (han(x) | number(x))) | (number(s["last"]) & han(x)), joined)
 
-    parts = F.filter(F.split(c, f"{SPACE}+"), lambda x: x != "")
-    return F.aggregate(parts, state, step, lambda s: F.concat(s["done"], s["last"]))
+    def folded(text: Column) -> Column:
+        parts = F.filter(F.split(text, f"{SPACE}+"), lambda x: x != "")
+        return F.aggregate(parts, state, step, lambda s: F.concat(s["done"], s["last"]))
+
+    # Most texts have no blank inside, and need no fold.
+    return let(c, lambda t: F.when(t.rlike(SPACE), folded(t)).otherwise(t))
 
 
 def clean_turn(c: Column | str) -> Column:
@@ -96,7 +100,11 @@ def mask_key(c: Column | str) -> Column:
 def template_key(c: Column | str) -> Column:
     """What replies of one template have in common. The deletions go one after
     the other: one may make the next possible."""
-    out = mask_key(c)
+    return template_of(mask_key(c))
+
+
+def template_of(out: Column) -> Column:
+    """The template key of a masked text."""
     for word in (*TEMPLATE_STOPS, " "):
         out = F.replace(out, F.lit(word), F.lit(""))
     return strip(F.regexp_replace(out, "[，。！？；：、,.!?;:'\"~～]", ""))

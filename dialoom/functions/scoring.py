@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 from dialoom.functions import predicates as P
-from dialoom.functions.clean import clean_turn, col, compact, let, mask_key, masked_context, strip, template_key, trim_tail
+from dialoom.functions.clean import col, compact, let, mask_key, strip, trim_tail
 from dialoom.functions.rules import DEFAULT, Pack, any_of, found, hits
 
 REJECTED = -999.0
@@ -202,11 +202,3 @@ def risk_score(reply: Column | str, context: Column | str | None = None, pack: P
     for word, weight in pack.risks:
         score = score + F.when(whole.contains(word), weight).otherwise(0.0)
     return score + F.when(F.length(text) > 24, 0.8).otherwise(0.0) + F.when(occurrences(text, "亲") >= 4, 0.5).otherwise(0.0)
-
-
-def candidate_columns(mode: Mode = NORMAL, pack: Pack = DEFAULT) -> dict[str, Column]:
-    """What the selector adds to `label, context, response`: scores, issues, keys
-    and the category. Bad replies get the context's score only."""
-    context = F.transform(F.coalesce("context", F.array().cast("array<string>")), lambda t: clean_turn(F.coalesce(t, F.lit(""))))
-    reply = clean_turn(F.coalesce("response", F.lit("")))
-    return {"turns": context, "reply": reply, "context_key": masked_context(context), "response_key": mask_key(reply), "template": template_key(reply)}

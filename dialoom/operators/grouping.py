@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from dialoom.functions import predicates as P
+from dialoom.functions.clean import clean_turn, mask_key, masked_context, template_of
 from dialoom.functions.rules import DEFAULT, Pack
-from dialoom.functions.scoring import NORMAL, REJECTED, Mode, candidate_columns, category, context_score, negative_score, positive_score
+from dialoom.functions.scoring import NORMAL, REJECTED, Mode, category, context_score, negative_score, positive_score
 
 #: Issues that keep a reply from being the best of its group.
 BLOCKING = ("dated", "generic_template", "template_heavy", "overcommits", "pitch", "too_long", "dedup_address_tail")
@@ -18,9 +19,15 @@ def candidates(df: DataFrame, mode: Mode = NORMAL, pack: Pack = DEFAULT) -> Data
     """Rows `line_no, label, context, response` with keys, scores and categories.
     A reply of label 0 keeps the context's score only: it is scored when it is
     compared with a chosen one."""
-    base = df.select("line_no", "label", *[c.alias(n) for n, c in candidate_columns(mode, pack).items()])
-    base = base.withColumn("asked", F.element_at("turns", -1)).where("size(turns) > 0 and reply <> ''")
-    base = base.withColumn("_context", context_score("turns", mode, pack)).withColumn("_reply", F.when(F.col("label") == 1, positive_score("turns", "reply", mode, pack)))
+    # Generators keep steps apart: each text is cleaned once, each reply scored
+    # once, though several columns and filters use the results.
+    turns = F.transform(F.coalesce("context", F.array().cast("array<string>")), lambda t: clean_turn(F.coalesce(t, F.lit(""))))
+    texts = F.filter(F.array(F.struct(turns.alias("turns"), clean_turn(F.coalesce("response", F.lit(""))).alias("reply"))), lambda x: (F.size(x["turns"]) > 0) & (x["reply"] != ""))
+    base = df.select("line_no", "label", F.explode(texts).alias("_t")).select("line_no", "label", "_t.*").withColumn("asked", F.element_at("turns", -1))
+    keys = F.array(F.struct(masked_context("turns").alias("context_key"), mask_key("reply").alias("response_key")))
+    base = base.select("*", F.explode(keys).alias("_k")).select("*", "_k.*").drop("_k").withColumn("template", template_of(F.col("response_key")))
+    scores = F.array(F.struct(context_score("turns", mode, pack).alias("context"), F.when(F.col("label") == 1, positive_score("turns", "reply", mode, pack)).alias("reply")))
+    base = base.select("*", F.explode(scores).alias("_s")).select("*", F.col("_s.context").alias("_context"), F.col("_s.reply").alias("_reply")).drop("_s")
     out = base.withColumn("pair_key", F.concat_ws(" => ", "context_key", "response_key")).withColumn("category", category("asked", "reply", pack))
     score = F.when(F.col("_context.score") <= REJECTED, REJECTED).when(F.col("label") != 1, F.col("_context.score")).when(F.col("_reply.score") <= REJECTED, REJECTED).otherwise(F.col("_context.score") + F.col("_reply.score"))
     issues = F.concat("_context.issues", F.coalesce("_reply.issues", F.array().cast("array<string>")))
@@ -48,7 +55,8 @@ def best_pairs(cands: DataFrame, mode: Mode = NORMAL, pack: Pack = DEFAULT) -> D
     for contexts that have a positive."""
     pos = best_positive(cands, pack).select("context_key", F.col("turns").alias("context"), F.col("reply").alias("chosen"), F.col("score").alias("pos_score"), F.col("issues").alias("chosen_issues"), F.col("line_no").alias("pos_line_no"), "category", "template", "pair_key", F.element_at("turns", -1).alias("asked"))
     neg = cands.where("label = 0").select("context_key", F.col("reply").alias("rejected"), F.col("line_no").alias("neg_line_no"))
-    both = pos.join(neg, "context_key").withColumn("_neg", negative_score("context", "rejected", "chosen", mode, pack)).where(F.col("_neg.score") > REJECTED)
+    scored = F.filter(F.array(negative_score("context", "rejected", "chosen", mode, pack)), lambda x: x["score"] > REJECTED)
+    both = pos.join(neg, "context_key").select("*", F.explode(scored).alias("_neg"))
     order = [F.desc("_neg.score"), F.size("_neg.issues"), F.length("rejected"), F.asc("neg_line_no")]
     both = both.withColumn("_n", F.row_number().over(W.partitionBy("context_key").orderBy(*order))).where("_n = 1")
     return both.withColumn("neg_score", F.col("_neg.score")).withColumn("rejected_issues", F.col("_neg.issues")).withColumn("score", F.col("pos_score") + F.greatest(F.lit(0.0), 0.15 * F.col("_neg.score"))).drop("_n", "_neg")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoom.functions import predicates as P
 from dialoom.functions.clean import EDGE, col, compact, let, repair_clean, without_masks
-from dialoom.functions.rules import DEFAULT, Pack, any_of
-from dialoom.functions.scoring import keyword_score, repair_category
+from dialoom.functions.rules import DEFAULT, Pack, any_of, found
+from dialoom.functions.scoring import keyword_score, overlap_of, repair_category
 
 #: Characters and clauses that a repaired reply may keep.
 BUDGET, CLAUSES = 34, 2
@@ -28,15 +28,25 @@ def _category_words(kind: Column, pack: Pack, text: Column) -> Column:
     return test
 
 
+def _question(asked: Column, pack: Pack, body) -> Column:
+    """`body` of a question's action words and whether it asks about time."""
+    parts = lambda t: F.struct(found(t, pack.actions).alias("words"), any_of(t, ("几", "多久", "什么时候", "发货", "到货")).alias("timely"))
+    return let(let(compact(asked), parts), body)
+
+
 def positive_clauses(asked: Column, kind: Column, reply: Column, pack: Pack = DEFAULT) -> Column:
     """array<struct(score, text, i)> of the reply's clauses, best first."""
+    return _question(asked, pack, lambda q: _positive_clauses(q, kind, reply, pack))
+
+
+def _positive_clauses(q: Column, kind: Column, reply: Column, pack: Pack) -> Column:
 
     def score(x: Column) -> Column:
         size, tight = F.length(x), F.replace(x, F.lit(" "), F.lit(""))
-        timely = any_of(compact(asked), ("几", "多久", "什么时候", "发货", "到货")) | kind.isin("shipping")
+        timely = q["timely"] | kind.isin("shipping")
         s = F.when(P.is_low_info(x, pack), -5.0).otherwise(0.0) + F.when(any_of(tight, pack.contact), -12.0).otherwise(0.0) + F.when(x.rlike("<(ID|PHONE|NUM|YEAR)>"), -7.0).otherwise(0.0)
         s = s + F.when(any_of(tight, pack.store), -3.5).otherwise(0.0) + F.when(any_of(tight, pack.promise) & ~timely, -2.0).otherwise(0.0)
-        s = s + F.when(any_of(tight, pack.risky) & ~kind.isin("refund", "shipping", "address"), -2.0).otherwise(0.0) + 8.0 * keyword_score(asked, x, pack)
+        s = s + F.when(any_of(tight, pack.risky) & ~kind.isin("refund", "shipping", "address"), -2.0).otherwise(0.0) + 8.0 * overlap_of(q["words"], found(tight, pack.actions))
         s = s + F.when(any_of(tight, pack.actions), 2.0).otherwise(0.0) + F.when(_category_words(kind, pack, tight), 2.0).otherwise(0.0)
         return s + F.when((size >= 6) & (size <= 26), 2.0).when(size <= 40, 1.0).otherwise(-1.5)
 
@@ -94,13 +104,13 @@ def repaired_negative(asked: Column, kind: Column, rejected: Column, chosen: Col
     """struct(text, issues, score): the riskiest clause on the topic, or a template
     where the reply says too little; text is null if it stays like the chosen one."""
 
-    def score(x: Column) -> Column:
+    def score(x: Column, q: Column) -> Column:
         size, tight = F.length(x), F.replace(x, F.lit(" "), F.lit(""))
         s = F.when(P.is_low_info(x, pack), -5.0).otherwise(0.0) + F.when(any_of(tight, pack.contact), 4.5).otherwise(0.0) + F.when(any_of(tight, pack.risky + pack.promise), 3.0).otherwise(0.0)
-        s = s + 6.0 * keyword_score(asked, x, pack) + F.when(_category_words(kind, pack, tight), 1.5).otherwise(0.0)
+        s = s + 6.0 * overlap_of(q["words"], found(tight, pack.actions)) + F.when(_category_words(kind, pack, tight), 1.5).otherwise(0.0)
         return s + F.when(size < 6, -1.0).when(size <= 28, 1.0).otherwise(0.0)
 
-    scored = F.transform(split_clauses(rejected), lambda x, i: F.struct(score(x).alias("score"), (-F.length(x)).alias("short"), (-i).alias("early"), x.alias("text")))
+    scored = _question(asked, pack, lambda q: F.transform(split_clauses(rejected), lambda x, i: F.struct(score(x, q).alias("score"), (-F.length(x)).alias("short"), (-i).alias("early"), x.alias("text"))))
     best = let(F.reverse(F.array_sort(scored)), lambda c: F.try_element_at(c, F.lit(1)))
     state = let(best, lambda b: F.struct((b["score"] > 0).alias("found"), F.when(b["score"] > 0, b["text"]).otherwise(repair_clean(rejected)).alias("cut")))
     state = let(state, lambda x: F.struct(x["found"].alias("found"), x["cut"].alias("cut"), (needs_rewrite(asked, x["cut"], pack) | (compact(x["cut"]) == compact(chosen))).alias("rewrite")))
@@ -122,9 +132,12 @@ def repair_pairs(df: DataFrame, context: str = "context", chosen: str = "chosen"
     gains both parts; issues are joined."""
     asked = repair_clean(F.element_at(col(context), -1))
     base = df.where(F.size(context) > 0).withColumn("_asked", asked).withColumn("repair_category", repair_category(F.col("_asked"), pack))
-    base = base.withColumn("_good", repaired_positive(F.col("_asked"), F.col("repair_category"), F.col(chosen), pack)).where("_good.text is not null")
-    base = base.withColumn("_bad", repaired_negative(F.col("_asked"), F.col("repair_category"), F.col(rejected), F.col("_good.text"), pack)).where("_bad.text is not null")
-    out = base.withColumn("repaired_chosen", F.col("_good.text")).withColumn("repaired_rejected", F.col("_bad.text"))
+    asked_, kind = F.col("_asked"), F.col("repair_category")
+    # Generators evaluate a side once; a filter on it would do so again.
+    saved = lambda c: F.explode(F.filter(F.array(c), lambda x: x["text"].isNotNull()))
+    base = base.select("*", saved(repaired_positive(asked_, kind, F.col(chosen), pack)).alias("_good"))
+    base = base.select("*", saved(repaired_negative(asked_, kind, F.col(rejected), F.col("_good.text"), pack)).alias("_bad"))
+    out = base.withColumns({"repaired_chosen": F.col("_good.text"), "repaired_rejected": F.col("_bad.text")})
     issues = F.array_distinct(F.concat(F.coalesce("issues", F.array().cast("array<string>")) if "issues" in df.columns else F.array().cast("array<string>"), "_good.issues", "_bad.issues"))
     score = (F.coalesce("score", F.lit(0.0)) if "score" in df.columns else F.lit(0.0)) + F.col("_good.score") + F.col("_bad.score")
     return out.withColumn("repair_issues", issues).withColumn("repair_score", score).drop("_asked", "_good", "_bad")

@@ -10,7 +10,7 @@ from dialoom.functions import chat, clean, metrics, predicates as P, scoring
 from dialoom.functions.rules import DEFAULT
 from dialoom.operators import grouping, joins, quota, repair, reports, splits
 from dialoom.plans import sql as S
-from dialoom.session import cut, table
+from dialoom.session import cut, spread, table
 from dialoom.sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def _candidate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "candidate")
 
 
+def _wide(spark: SparkSession, d: str, name: str = "candidate") -> DataFrame:
+    """A table for work that is heavy per row."""
+    return spread(table(spark, d, name))
+
+
 def _asked(name: str = "context"):
     return F.coalesce(F.element_at(name, -1), F.lit(""))
 
@@ -42,50 +47,50 @@ def _asked(name: str = "context"):
 
 @query(f"SELECT line_no, i - 1 AS turn_no, {S.clean_turn('t')} AS clean FROM (SELECT line_no, unnest(context) AS t, generate_subscripts(context, 1) AS i FROM candidate)")
 def clean_turns(spark: SparkSession, d: str) -> DataFrame:
-    turns = _candidate(spark, d).select("line_no", F.posexplode("context").alias("turn_no", "t"))
+    turns = _wide(spark, d).select("line_no", F.posexplode("context").alias("turn_no", "t"))
     return turns.select("line_no", F.col("turn_no").cast("long").alias("turn_no"), clean.clean_turn("t").alias("clean"))
 
 
 @query(f"SELECT line_no, {S.mask_key('response')} AS mask_key, {S.template_key('response')} AS template FROM candidate WHERE response IS NOT NULL")
 def reply_keys(spark: SparkSession, d: str) -> DataFrame:
-    return _candidate(spark, d).where("response is not null").select("line_no", clean.mask_key("response").alias("mask_key"), clean.template_key("response").alias("template"))
+    return _wide(spark, d).where("response is not null").select("line_no", clean.mask_key("response").alias("mask_key"), clean.template_key("response").alias("template"))
 
 
 @query(f"SELECT {S.template_key('response')} AS value, count(*) AS n FROM candidate WHERE response IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 80")
 def template_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidate(spark, d).where("response is not null")
+    rows = _wide(spark, d).where("response is not null")
     return quota.most_frequent(rows, clean.template_key("response"), 80)
 
 
 @query(f"SELECT group_id, array_to_string(list_transform(context, lambda t: {S.mask_key('t')}), ' || ') AS context_key FROM group_selection")
 def masked_contexts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "group_selection").select("group_id", clean.masked_context("context").alias("context_key"))
+    return _wide(spark, d, "group_selection").select("group_id", clean.masked_context("context").alias("context_key"))
 
 
 @query(f"SELECT repair_id, {S.repair_clean('chosen')} AS clean, {S.compact('chosen')} AS compact, {S.repair_key('chosen')} AS key FROM repair_group")
 def repair_texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "repair_group").select("repair_id", clean.repair_clean("chosen").alias("clean"), clean.compact("chosen").alias("compact"), clean.repair_key("chosen").alias("key"))
+    return _wide(spark, d, "repair_group").select("repair_id", clean.repair_clean("chosen").alias("clean"), clean.compact("chosen").alias("compact"), clean.repair_key("chosen").alias("key"))
 
 
 @query(f"SELECT doc_id, {S.light_clean('text')} AS clean FROM documents")
 def light_documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", clean.light_clean("text").alias("clean"))
+    return _wide(spark, d, "documents").select("doc_id", clean.light_clean("text").alias("clean"))
 
 
 @query(f"SELECT doc_id, {S.clean_document('text')} AS clean, {S.normalize_masked_first('text')} AS masked FROM documents WHERE text IS NOT NULL")
 def clean_documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", clean.clean_document("text").alias("clean"), clean.normalize_masked_first("text").alias("masked"))
+    return _wide(spark, d, "documents").where("text is not null").select("doc_id", clean.clean_document("text").alias("clean"), clean.normalize_masked_first("text").alias("masked"))
 
 
 @query(f"SELECT repair_id, {S.clean_output('rejected')} AS clean, {S.without_masks('chosen')} AS unmasked FROM repair_group")
 def clean_outputs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "repair_group").select("repair_id", clean.clean_output("rejected").alias("clean"), clean.without_masks("chosen").alias("unmasked"))
+    return _wide(spark, d, "repair_group").select("repair_id", clean.clean_output("rejected").alias("clean"), clean.without_masks("chosen").alias("unmasked"))
 
 
 @query()
 def trimmed_tails(spark: SparkSession, d: str) -> DataFrame:
     trimmed = clean.trim_tail(F.coalesce("response", F.lit("")))
-    return _candidate(spark, d).select("line_no", trimmed["text"].alias("trimmed"), F.size(trimmed["issues"]).alias("trims"))
+    return _wide(spark, d).select("line_no", trimmed["text"].alias("trimmed"), F.size(trimmed["issues"]).alias("trims"))
 
 
 # Predicates, scores, categories
@@ -100,7 +105,7 @@ _R, _A = "coalesce(response, '')", "coalesce(context[-1], '')"
     FROM (SELECT line_no, {_R} AS r, {_A} AS a FROM candidate)"""
 )
 def reply_flags(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidate(spark, d).select("line_no", F.coalesce("response", F.lit("")).alias("r"), _asked().alias("a"))
+    rows = _wide(spark, d).select("line_no", F.coalesce("response", F.lit("")).alias("r"), _asked().alias("a"))
     flags = {
         "strength": P.question_strength("a"), "garbage": P.is_garbage("r"), "low_info": P.is_low_info("r"), "dated": P.has_dated_campaign("r"), "soft": P.has_soft_template("r"), "pitch": P.is_pitch("r"),
         "shop_name": P.has_shop_name("r"), "overcommits": P.overcommits("r"), "hard_risk": P.has_hard_risk("r"), "refund_promise": P.promises_refund("r"), "high_risk": P.high_risk_hits("r"), "clauses": P.clause_count("r"),
@@ -123,7 +128,7 @@ def _masked_sql() -> str:
 
 @query(_masked_sql())
 def reply_flags_masked(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidate(spark, d).select("line_no", "context", F.coalesce("response", F.lit("")).alias("r"))
+    rows = _wide(spark, d).select("line_no", "context", F.coalesce("response", F.lit("")).alias("r"))
     flags = {
         "blocked": P.has_blocked("r"), "role_leak": P.has_role_leak("r"), "other_script": P.has_other_script("r"), "store": F.size(P.store_specific("r")), "incomplete": P.incomplete_start("context"), "fragment": P.is_fragment("r"),
         "generic": P.is_generic("r"), "time_promise": P.promises_time("r"), "bad": P.is_bad("r"),
@@ -138,7 +143,7 @@ def _unasked_sql() -> str:
 
 @query(_unasked_sql())
 def unasked_topics(spark: SparkSession, d: str) -> DataFrame:
-    return _candidate(spark, d).select("line_no", F.array_join(P.unasked_topics(_asked(), F.coalesce("response", F.lit(""))), ",").alias("topics"))
+    return _wide(spark, d).select("line_no", F.array_join(P.unasked_topics(_asked(), F.coalesce("response", F.lit(""))), ",").alias("topics"))
 
 
 @query(
@@ -147,7 +152,7 @@ def unasked_topics(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT context, {S.strip(_R)} AS r FROM candidate)) GROUP BY 1"""
 )
 def keep_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _candidate(spark, d).groupBy(P.keep_reason("context", F.coalesce("response", F.lit("")), 2).alias("reason")).agg(F.count("*").alias("n"))
+    return _wide(spark, d).groupBy(P.keep_reason("context", F.coalesce("response", F.lit("")), 2).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -155,7 +160,7 @@ def keep_reasons(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT line_no, {S.tokens('a')} AS x, {S.tokens('r')} AS y FROM (SELECT line_no, {_R} AS r, {_A} AS a FROM candidate))"""
 )
 def keyword_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidate(spark, d).select("line_no", scoring.overlap_tokens(_asked()).alias("x"), scoring.overlap_tokens(F.coalesce("response", F.lit(""))).alias("y"))
+    rows = _wide(spark, d).select("line_no", scoring.overlap_tokens(_asked()).alias("x"), scoring.overlap_tokens(F.coalesce("response", F.lit(""))).alias("y"))
     return rows.select("line_no", F.round(scoring.overlap_of(F.col("x"), F.col("y")) * 1000000).cast("long").alias("overlap"), F.size("x").alias("asked_tokens"), F.size("y").alias("reply_tokens"))
 
 
@@ -165,7 +170,7 @@ def keyword_overlaps(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT line_no, len(context) AS n, context[-1] AS a, {S.question_strength('context[-1]')} AS s, len(list_distinct(context)) / len(context)::DOUBLE AS u FROM candidate WHERE len(context) > 0)"""
 )
 def context_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidate(spark, d).where("size(context) > 0")
+    rows = _wide(spark, d).where("size(context) > 0")
     return rows.select("line_no", F.round(scoring.context_score("context")["score"] * 10000).cast("long").alias("score"))
 
 
@@ -174,12 +179,12 @@ def context_scores(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT line_no, {_R} AS r, {_A} AS a, {S.compact(_A)} AS k FROM candidate)"""
 )
 def categories(spark: SparkSession, d: str) -> DataFrame:
-    return _candidate(spark, d).select("line_no", scoring.category(_asked(), F.coalesce("response", F.lit(""))).alias("category"), scoring.repair_category(_asked()).alias("repair_category"))
+    return _wide(spark, d).select("line_no", scoring.category(_asked(), F.coalesce("response", F.lit(""))).alias("category"), scoring.repair_category(_asked()).alias("repair_category"))
 
 
 @query()
 def reply_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidate(spark, d).where("size(context) > 0 and response is not null")
+    rows = _wide(spark, d).where("size(context) > 0 and response is not null")
     modes = {"normal": scoring.NORMAL, "strict": scoring.Mode(strict=True), "sft": scoring.Mode(sft=True), "generic": scoring.Mode(generic=True)}
     return rows.select("line_no", *[scoring.positive_score("context", "response", m)["score"].alias(n) for n, m in modes.items()])
 
@@ -191,14 +196,14 @@ _RISK_SQL = f"""SELECT line_no, ({_RISK} + CASE WHEN length(r) > 24 THEN 0.8 ELS
 
 @query(f"SELECT line_no, round(risk * 1000)::BIGINT AS risk FROM ({_RISK_SQL})")
 def risk_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _candidate(spark, d).select("line_no", F.round(scoring.risk_score("response", "context") * 1000).cast("long").alias("risk"))
+    return _wide(spark, d).select("line_no", F.round(scoring.risk_score("response", "context") * 1000).cast("long").alias("risk"))
 
 
 # Grouping and selection
 
 
 def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cands = cut(grouping.candidates(_candidate(spark, d)))
+    cands = cut(grouping.candidates(_wide(spark, d)))
     return cands, cut(grouping.best_pairs(cands))
 
 
@@ -332,13 +337,13 @@ def scenario_cross_wrapper(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def repaired_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = repair.repair_pairs(table(spark, d, "repair_group"))
+    rows = repair.repair_pairs(_wide(spark, d, "repair_group"))
     return rows.select("repair_id", "repair_category", "repaired_chosen", "repaired_rejected", F.bround("repair_score", 4).alias("repair_score"), F.array_join("repair_issues", ",").alias("issues"))
 
 
 @query()
 def repaired_selection(spark: SparkSession, d: str) -> DataFrame:
-    rows = repair.repair_pairs(table(spark, d, "repair_group")).withColumns({"template": clean.repair_key("repaired_chosen"), "asked_key": clean.compact(_asked())})
+    rows = repair.repair_pairs(_wide(spark, d, "repair_group")).withColumns({"template": clean.repair_key("repaired_chosen"), "asked_key": clean.compact(_asked())})
     order = [F.desc("repair_score"), F.desc(F.coalesce(F.col("source") == "manual_round2", F.lit(False))), F.length("repaired_chosen"), F.asc("repair_id")]
     caps = {n: int(500 * s) for n, s in {"product": 0.3, "refund": 0.22, "shipping": 0.2, "promo": 0.15, "address": 0.05, "other": 0.2}.items()}
     return quota.diverse_repaired(rows, order, 500, caps, "template", "asked_key", "repair_category").select("repair_id", "rank", "pass_no", "repair_category")
@@ -397,7 +402,7 @@ _OPEN = f"CASE WHEN ends_with({_LINES}, chr(10) || '客服：') THEN {_LINES} EL
     FROM (SELECT line_no, len(context) AS turns, {S.light_clean(_OPEN)} AS p, {S.light_clean('response')} AS r FROM candidate WHERE len(context) > 0 AND response IS NOT NULL) WHERE r <> ''"""
 )
 def parse_turns_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidate(spark, d).where("size(context) > 0 and response is not null")
+    rows = _wide(spark, d).where("size(context) > 0 and response is not null")
     made = rows.select("line_no", "context", chat.alpaca_to_messages(F.lit(chat.SYSTEM), chat.open_prompt("context"), "response").alias("messages"))
     return made.where("messages is not null").select("line_no", F.size("context").alias("turns"), (F.size("messages") - 2).alias("parsed"))
 
@@ -413,12 +418,12 @@ _ML = "array_to_string(list_transform({0}, lambda m: '<|im_start|>' || m.role ||
     FROM (SELECT msg_id, t, {S.sub("t[len(t)].content", f"{S.WS}+$", "")} AS c FROM (SELECT msg_id, {_NORMAL} AS t FROM messages_sft) WHERE len(t) >= 2 AND t[len(t)].role = 'assistant')"""
 )
 def prompt_completion(spark: SparkSession, d: str) -> DataFrame:
-    return chat.convert_rows(table(spark, d, "messages_sft").select("msg_id", "messages")).select("msg_id", "prompt", "completion")
+    return chat.convert_rows(_wide(spark, d, "messages_sft").select("msg_id", "messages")).select("msg_id", "prompt", "completion")
 
 
 @query(f"SELECT msg_id, {_ML.format('t')} AS text, len(t) AS turns FROM (SELECT msg_id, {_NORMAL} AS t FROM messages_sft)")
 def chatml_render(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "messages_sft").select("msg_id", chat.normal_messages("messages").alias("t"))
+    rows = _wide(spark, d, "messages_sft").select("msg_id", chat.normal_messages("messages").alias("t"))
     return rows.select("msg_id", chat.chatml(F.col("t")).alias("text"), F.size("t").alias("turns"))
 
 
@@ -501,13 +506,13 @@ _BARE = lambda x: S.sub(f"coalesce({x}, '')", S.WS, "")
     FROM (SELECT repair_id, ({S.strip("coalesce(chosen, '')")} = {S.strip("coalesce(rejected, '')")})::INT AS em, {_CHARS.format(_BARE('chosen'))} AS x, {_CHARS.format(_BARE('rejected'))} AS y FROM repair_group))"""
 )
 def char_f1(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "repair_group").select("repair_id", metrics.exact_match("chosen", "rejected").alias("exact_match"), metrics.characters("chosen").alias("x"), metrics.characters("rejected").alias("y"))
+    rows = _wide(spark, d, "repair_group").select("repair_id", metrics.exact_match("chosen", "rejected").alias("exact_match"), metrics.characters("chosen").alias("x"), metrics.characters("rejected").alias("y"))
     rows = rows.withColumn("common", metrics.common_characters(F.col("x"), F.col("y")))
     return rows.select("repair_id", "exact_match", "common", F.size("x").alias("left_size"), F.size("y").alias("right_size"), F.round(metrics.f1_of(F.col("common"), F.size("x"), F.size("y")) * 1000000).cast("long").alias("char_f1"))
 
 
 def _evaluated(spark: SparkSession, d: str) -> DataFrame:
-    return reports.evaluated(table(spark, d, "repair_group").select("repair_id", F.col("rejected").alias("prediction"), F.col("chosen").alias("reference")))
+    return reports.evaluated(_wide(spark, d, "repair_group").select("repair_id", F.col("rejected").alias("prediction"), F.col("chosen").alias("reference")))
 
 
 @query()

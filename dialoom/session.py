@@ -60,6 +60,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where it has fewer partitions than there are cores: a
+    small file is one split, and work per row would run in one task. A table with
+    enough splits stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it in
     spark.checkpoint.dir; only where that is unset (tests, a single machine) a
