@@ -7,26 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dialoom.llm import balance, copies, encode, lookalike, pack, pairs, privacy, residue, spam, splits
-from dialoom.session import table
+from dialoom.session import spread, table
 
 #: Populations of problem 3 and their keys.
 POPULATIONS = {"candidate": "line_no", "group_selection": "group_id"}
 
 
+def _wide(spark: SparkSession, d: str, name: str = "candidate") -> DataFrame:
+    """A table for work that is heavy per row."""
+    return spread(table(spark, d, name))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.look_alike_pairs(table(spark, d, "candidate"))
+    return lookalike.look_alike_pairs(_wide(spark, d, "candidate"))
 
 
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.normalize_columns(table(spark, d, "candidate").select("line_no", "context", "response"), ["context", "response"])
+    return lookalike.normalize_columns(_wide(spark, d, "candidate").select("line_no", "context", "response"), ["context", "response"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return copies.copies(table(spark, d, "candidate"))
+    return copies.copies(_wide(spark, d, "candidate"))
 
 
 def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
-    return copies.collapse(table(spark, d, "candidate")).select("line_no", "n_copies")
+    return copies.collapse(_wide(spark, d, "candidate")).select("line_no", "n_copies")
 
 
 def _balanced(spark: SparkSession, d: str) -> list[balance.Balanced]:
@@ -50,7 +55,7 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _replies(spark: SparkSession, d: str) -> DataFrame:
-    return residue.reply_records(table(spark, d, "candidate"), table(spark, d, "repair_group"))
+    return residue.reply_records(_wide(spark, d, "candidate"), _wide(spark, d, "repair_group"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,36 +68,36 @@ def p4_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return privacy.personal_data(table(spark, d, "candidate"))
+    return privacy.personal_data(_wide(spark, d, "candidate"))
 
 
 def p5_sanitized(spark: SparkSession, d: str) -> DataFrame:
-    return privacy.sanitize(table(spark, d, "candidate"))
+    return privacy.sanitize(_wide(spark, d, "candidate"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.split_overlaps(table(spark, d, "messages_sft")).select("msg_id_a", "msg_id_b")
+    return splits.split_overlaps(_wide(spark, d, "messages_sft")).select("msg_id_a", "msg_id_b")
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "messages_sft")
+    records = _wide(spark, d, "messages_sft")
     return splits.overlap_report(records, splits.split_overlaps(records))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.defects(table(spark, d, "candidate"), table(spark, d, "repair_group"))
+    return pairs.defects(_wide(spark, d, "candidate"), _wide(spark, d, "repair_group"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode.encode_texts(table(spark, d, "documents"))
+    return encode.encode_texts(_wide(spark, d, "documents"))
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
-    return pack.pack_texts(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
+    return pack.pack_texts(_wide(spark, d, "documents"), table(spark, d, "pack_capacity"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam_pages(table(spark, d, "documents"))
+    return spam.spam_pages(_wide(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
