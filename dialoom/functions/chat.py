@@ -8,6 +8,7 @@ from dialoom.functions.clean import SPACE, TRAILING, col, let, light_clean, plai
 
 MESSAGES = "array<struct<role:string,content:string>>"
 USER, AGENT = "用户：", "客服："
+#: The task line, the default system prompt and the end marks.
 TASK = "请根据下面的电商客服历史对话，生成下一句合适的客服回复。"
 SYSTEM = "你是电商平台客服，请基于历史对话给出准确、礼貌、可执行的回复。"
 END, EOS = "<|im_end|>", "<|endoftext|>"

@@ -16,7 +16,8 @@ EDGE = r"[ ，。！？；!?,;]"
 TEMPLATE_STOPS = ("亲亲", "亲", "哦", "呢", "呀", "哈", "啦", "哟", "呐", "客官", "小二", "您好", "你好")
 #: Where a generated text is cut off.
 OUTPUT_MARKERS = ("<|im_end|>", "<|im_start|>user", "<|im_start|>assistant", "<|im_start|>system", "\nuser\n", "\nassistant\n", "\nsystem\n", "</s>", "<|endoftext|>")
-USER_WORDS, AGENT_WORDS = ("用户", "买家", "顾客"), ("客服", "商家", "卖家", "店家", "店小二", "小二")
+#: Names of the two speakers.
+USER_WORDS, AGENT_WORDS = ("用户", "买家", "顾客"), ("客服", "商家", "店主", "掌柜", "小二", "卖家")
 
 
 def col(c: Column | str) -> Column:
@@ -178,7 +179,7 @@ def repair_key(c: Column | str) -> Column:
 
 def without_masks(c: Column | str) -> Column:
     """A reply without masks, with account wording in place of "ID"."""
-    text = F.regexp_replace(repair_clean(c), "(?i)<(PHONE|ID|NUM|YEAR)>", "")
+    text = F.regexp_replace(repair_clean(c), f"(?i)(?:一个{SPACE}*)?<ID>|<PHONE>", "")
     for before in ("一个", "不同", "每个"):
         text = F.regexp_replace(text, f"(?i){before}{SPACE}*ID", f"{before}账号")
     text = F.regexp_replace(text, r"(?iU)\bID\b", "账号")
@@ -206,9 +207,9 @@ def clean_output(c: Column | str, most: int = 56) -> Column:
     text = plain_text(c)
     for marker in OUTPUT_MARKERS:
         text = F.substring_index(text, marker, 1)
-    text = strip(F.regexp_replace(strip(text), r"(?is)\n\s*(user|assistant|system|用户|客服)\s*[：:].*$", ""))
-    text = F.regexp_replace(text, r"[฀-๿]|[\x{10000}-\x{10ffff}]", "")
-    text = strip(squeeze(F.regexp_replace(text, "[A-Za-z]{4,}", "")))
+    text = strip(F.regexp_replace(strip(text), r"(?is)(?:^|\s)(?:user|assistant|system)\s*[\n:：].*$", ""))
+    text = F.regexp_replace(text, r"[\x{0e00}-\x{0e7f}\x{10000}-\x{10ffff}]", "")
+    text = strip(F.regexp_replace(F.regexp_replace(text, "[A-Za-z]{4,}", ""), f"{SPACE}+", " "))
     return F.regexp_replace(F.left(text, F.lit(most)), TRAILING, "") if most else text
 
 

@@ -94,6 +94,7 @@ def repair_category(asked: Column | str, pack: Pack = DEFAULT) -> Column:
 
 
 def _bands(size: Column, mode: Mode) -> Column:
+    # Most characters and points of each band.
     default = ((14, 1.8), (28, 3.4), (42, 3.0), (60, 1.8), (80, 0.5))
     strict = ((12, 2.2), (22, 3.8), (32, 3.0), (40, 1.5), (52, 0.2), (70, -1.8))
     out = None
@@ -102,6 +103,7 @@ def _bands(size: Column, mode: Mode) -> Column:
     return out.otherwise(mode.of(-2.5, -4.0))
 
 
+#: Points of each category, default and strict.
 _CATEGORY_TERMS = {"product_info": (-0.2, -0.6), "after_sale": (0.8, 0.8), "price_activity": (-0.8, -1.4), "courier_info": (-1.0, -1.6), "shipping_sla": (-1.0, -1.6), "other": (0.5, 0.4)}
 
 

@@ -18,13 +18,15 @@ from dialoom.session import cut
 
 #: Ranks that are walked at first; four times as many each time they are too few.
 WALK_ROWS = 200_000
-#: Shares of categories by mode; for other categories there is no cap.
+#: Shares of categories by mode; other categories have no cap.
 SHARES = {
-    "default": {"product_info": 0.26, "after_sale": 0.24, "other": 0.24, "price_activity": 0.10, "courier_info": 0.08, "shipping_sla": 0.08},
-    "strict": {"product_info": 0.30, "after_sale": 0.30, "other": 0.26, "price_activity": 0.06, "courier_info": 0.04, "shipping_sla": 0.04},
-    "generic": {"product_info": 0.28, "after_sale": 0.30, "other": 0.30, "price_activity": 0.04, "courier_info": 0.04, "shipping_sla": 0.04},
-    "sft": {"product_info": 0.32, "after_sale": 0.26, "other": 0.30, "price_activity": 0.04, "courier_info": 0.04, "shipping_sla": 0.04},
+    "sft": {"product_info": 0.26, "after_sale": 0.26, "price_activity": 0.08, "courier_info": 0.06, "shipping_sla": 0.06, "other": 0.28},
+    "generic": {"product_info": 0.28, "after_sale": 0.32, "price_activity": 0.04, "courier_info": 0.03, "shipping_sla": 0.03, "other": 0.30},
+    "strict": {"product_info": 0.20, "after_sale": 0.28, "price_activity": 0.08, "courier_info": 0.06, "shipping_sla": 0.06, "other": 0.32},
+    "default": {"product_info": 0.26, "after_sale": 0.24, "price_activity": 0.10, "courier_info": 0.08, "shipping_sla": 0.08, "other": 0.24},
 }
+#: Shares of the repair job's categories.
+REPAIR_SHARES = {"address": 0.14, "refund": 0.23, "shipping": 0.20, "promo": 0.14, "product": 0.16, "other": 0.25}
 
 
 def category_caps(top_k: int, strict: bool = False, generic: bool = False, sft: bool = False, shares: dict[str, dict[str, float]] = SHARES) -> dict[str, int]:

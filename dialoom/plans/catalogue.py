@@ -345,7 +345,7 @@ def repaired_pairs(spark: SparkSession, d: str) -> DataFrame:
 def repaired_selection(spark: SparkSession, d: str) -> DataFrame:
     rows = repair.repair_pairs(_wide(spark, d, "repair_group")).withColumns({"template": clean.repair_key("repaired_chosen"), "asked_key": clean.compact(_asked())})
     order = [F.desc("repair_score"), F.desc(F.coalesce(F.col("source") == "manual_round2", F.lit(False))), F.length("repaired_chosen"), F.asc("repair_id")]
-    caps = {n: int(500 * s) for n, s in {"product": 0.3, "refund": 0.22, "shipping": 0.2, "promo": 0.15, "address": 0.05, "other": 0.2}.items()}
+    caps = {n: int(500 * s) for n, s in quota.REPAIR_SHARES.items()}
     return quota.diverse_repaired(rows, order, 500, caps, "template", "asked_key", "repair_category").select("repair_id", "rank", "pass_no", "repair_category")
 
 

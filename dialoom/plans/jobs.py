@@ -40,11 +40,10 @@ def repair_job(spark: SparkSession, source: str, out: str, manual: str | None =
     have = repaired.count()
     if any(have < n for n in targets):
         raise ValueError(f"{have} repaired pairs are too few for {max(targets)}")
-    shares = {"product": 0.3, "refund": 0.22, "shipping": 0.2, "promo": 0.15, "address": 0.05, "other": 0.2}
     order = [F.desc("repair_score"), F.desc(F.col("source") == "manual_round2"), F.length("repaired_chosen"), F.asc(F.md5(F.concat_ws("\n", F.array_join("context", "\n"), "repaired_chosen")))]
     done = {}
     for n in targets:
-        picked = cut(quota.diverse_repaired(repaired, order, n, {k: int(n * s) for k, s in shares.items()}, "template", "asked_key", "repair_category"))
+        picked = cut(quota.diverse_repaired(repaired, order, n, {k: int(n * s) for k, s in quota.REPAIR_SHARES.items()}, "template", "asked_key", "repair_category"))
         rows = picked.select("rank", "context", F.col("repaired_chosen").alias("chosen"), F.col("repaired_rejected").alias("rejected"), F.col("repair_score").alias("score"), F.col("repair_category").alias("category"), "source", F.col("repair_issues").alias("issues"))
         writers.write_text(writers.raw_pairs(rows), f"{out}/{n}/pairs")
         writers.write_jsonl(writers.preview(rows.orderBy("rank")), f"{out}/{n}/preview")

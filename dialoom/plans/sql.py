@@ -165,14 +165,14 @@ def clean_output(x: str, most: int = 56) -> str:
     text = plain_text(x)
     for marker in OUTPUT_MARKERS:
         text = f"split_part({text}, {q(marker)}, 1)"
-    text = strip(sub(strip(text), "(?is)\\n\\s*(user|assistant|system|用户|客服)\\s*[：:].*$", ""))
-    text = sub(text, "[\\x{0e00}-\\x{0e7f}]|[\\x{10000}-\\x{10ffff}]", "")
-    text = strip(squeeze(sub(text, "[A-Za-z]{4,}", "")))
+    text = strip(sub(strip(text), "(?is)(?:^|\\s)(?:user|assistant|system)\\s*[\\n:：].*$", ""))
+    text = sub(text, "[\\x{0e00}-\\x{0e7f}\\x{10000}-\\x{10ffff}]", "")
+    text = strip(sub(sub(text, "[A-Za-z]{4,}", ""), f"{WS}+", " "))
     return sub(f"left({text}, {most})", f"{WS}+$", "")
 
 
 def without_masks(x: str) -> str:
-    text = sub(repair_clean(x), "(?i)<(PHONE|ID|NUM|YEAR)>", "")
+    text = sub(repair_clean(x), f"(?i)(?:一个{WS}*)?<ID>|<PHONE>", "")
     for before in ("一个", "不同", "每个"):
         text = sub(text, f"(?i){before}{WS}*ID", f"{before}账号")
     for _ in range(2):

@@ -39,7 +39,7 @@ def test_two_passes(spark):
     got = {r.id: r.pass_no for r in quota.diverse_topk(df, [F.desc("score")], 8, {"c": 4}, 2, 2, 1).collect()}
     # Pass 1: the category's 4 places; pass 2: templates up to 3, whatever the category.
     assert {i for i, p in got.items() if p == 1} == {0, 1, 2, 3} and len(got) == 8 and {i for i, p in got.items() if p == 2} == {4, 5, 6, 7}
-    assert quota.category_caps(50, strict=True, sft=True)["product_info"] == 16
+    assert quota.category_caps(50, strict=True, sft=True)["product_info"] == 13
 
 
 def test_ranked_is_a_permutation(spark):
