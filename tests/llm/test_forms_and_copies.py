@@ -50,6 +50,16 @@ def test_copies(spark):
     assert copies.copies(frame(spark, rows).where("false")).count() == 0
 
 
+def test_rare_cards_beside_a_hot_card(spark):
+    """Names of a rare card count, however often and in how many forms others stand."""
+    hot = [(i, ["[订单] 商品=杯|颜色=红|规格=L|数量=2|实付=9"], f"r{i}") for i in range(10, 400)]
+    other = [(1000 + i, [f"[订单] 商品=物{i}|颜色=蓝|规格=M|数量={i}|实付={i}"], "x") for i in range(100)]
+    rare = [(1, ["[订单] 商品=杯|颜色=红|收件人=甲|电话=5|地址=某处"], "ok"), (2, ["[订单] 地址：某处\n电话：5\n商品：杯\n收件人：甲\n颜色：红"], "ok")]
+    df = frame(spark, hot + other + rare)
+    assert set(copies.field_names(df)) >= {"收件人", "电话", "地址"}
+    assert {(r.first_line_no, r.copy_line_no) for r in copies.copies(df).collect()} == {(1, 2)}
+
+
 def test_a_set_over_many_partitions(spark):
     rows = [(i, ["same"], "text") for i in range(500)] + [(1000 + i, [f"t{i}"], "x") for i in range(200)] + [(2000, ["T0"], "x")]
     sets = copies.copy_sets(frame(spark, rows), partitions=16)
