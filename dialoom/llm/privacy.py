@@ -120,6 +120,7 @@ class Disclosure:
         double = sorted(p for p, n in pair.items() if n >= SEEN and p[0] not in names or n >= SEEN and p[1] not in given)
         heads = "|".join(map(re.escape, double + names))
         # Compound surnames may be made of common characters: the pair is the term.
+        self.given = set(given)
         self.name = re.compile(rf"(?:{heads})[{given}]{{1,3}}") if heads and given else None
         context, near = counts.get("context", {}), counts.get("near", {})
         every, protected = sum(context.values()) or 1, sum(near.values()) or 1
@@ -162,12 +163,16 @@ class Finder:
                     out.append(("address", *self._back((m.start() + lead, m.end()), at)))
         if self.terms.name is not None:
             out += [("name", *self._back(m.span(), at)) for m in self.terms.name.finditer(tight)]
-        if "收" in tight or "叫" in tight or "名下" in tight:
-            for m in SURE_NAME.finditer(_SPACES.sub("", shown) if at else shown):
-                if at is None:
-                    group = next(i for i, g in enumerate(m.groups(), 1) if g)
-                    if not m.group().startswith("我叫"):
-                        out.append(("name", *m.span(group)))
+        if "收" in tight or "联系人" in tight or "名下" in tight or "我叫" in tight:
+            # Line breaks end a field, so only the other blanks are left out here.
+            line, back = _SPACES.sub("", shown) if at else shown, None
+            for m in SURE_NAME.finditer(line):
+                # Someone may also be called for ("我叫他来拿"); a given name ends in its characters.
+                if m.group().startswith("我叫") and m.group()[-1] not in self.terms.given:
+                    continue
+                if back is None and len(line) < len(shown):
+                    back = [i for i, c in enumerate(shown) if not _SPACES.match(c)]
+                out.append(("name", *self._back(m.span(m.lastindex), back)))
         return out
 
     @staticmethod

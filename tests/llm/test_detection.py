@@ -48,6 +48,16 @@ def test_personal_data(spark):
     assert privacy.personal_data(df.where("false")).count() == 0 and privacy.sanitize(df.where("false")).count() == 0
 
 
+def test_sure_names_with_blanks(spark):
+    """Surnames that are seen once: only the field tells that it is a name."""
+    texts = ["[订单] 商品=杯|收件人=岑栀|数量=2", "【订单】\n商品：杯\n收件人：郁 淙\n数量：2", "登记在裘栀名下 收到了", "订单 联系人：阮澈\t，谢谢", "联系人：冼苒", "包裹 签收的是桑蘅本人", "你好 我叫简岑栀，谢谢"]
+    df = spark.createDataFrame([(i, [t], "好") for i, t in enumerate([*texts, "等下 我叫他来拿。", "今天已经发货请留意物流谢谢" * 30])], "line_no long, context array<string>, response string")
+    assert sorted((r.line_no, r.kind) for r in privacy.personal_data(df).collect()) == [(i, "name") for i in range(len(texts))]
+    masked = {r.line_no: r.context[0] for r in privacy.sanitize(df).collect()}
+    assert masked[0] == "[订单] 商品=杯|收件人=<NAME>|数量=2" and masked[1] == "【订单】\n商品:杯\n收件人:<NAME>\n数量:2" and masked[2] == "登记在<NAME>名下 收到了"
+    assert masked[3] == "订单 联系人:<NAME>\t,谢谢" and masked[4] == "联系人:<NAME>" and masked[5] == "包裹 签收的是<NAME>本人"
+
+
 @pytest.fixture(scope="module")
 def replies():
     from pathlib import Path
