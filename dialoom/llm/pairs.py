@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from dialoom.llm.forms import SIMPLE, Fold
 from dialoom.llm.privacy import ADDRESS, EMAIL, ID18, ID9, PAPER, PHONE, STREET
-from dialoom.llm.residue import BUCKETS, Residue, marker_names
+from dialoom.llm.residue import Residue, anchors, marker_names, reply_records
 
 #: Pairs that the classifier is fitted on (a bounded sample, by hash of the key).
 TRAIN_PAIRS = 4000
@@ -453,13 +453,15 @@ def defects(candidate: DataFrame, repair_group: DataFrame) -> DataFrame:
     turns = candidate.select(F.explode("context").alias("text"))
     ends = count_endings(turns, records.select(F.col("reply").alias("text")))
     model = train(candidate, ends)
-    names = marker_names(records.select(F.col("reply").alias("text")))
-    send = candidate.sparkSession.sparkContext.broadcast((model, ends, names))
+    # Residue as problem 4 tells it, from the same records; rejected replies add their names.
+    sketch, names = anchors(reply_records(candidate, repair_group))
+    names = sorted({*names, *marker_names(records.where("field = 'rejected'").select(F.col("reply").alias("text")))})
+    sketch = np.minimum(sketch, 2**31 - 1).astype(np.int32)
+    send = candidate.sparkSession.sparkContext.broadcast((model, ends, sketch, names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, ends, names = send.value
-        # Residue by its wording and names; no sketch of anchors is counted for it here.
-        judge = Judge(model, ends, Residue(np.zeros(BUCKETS, np.int8), names))
+        model, ends, sketch, names = send.value
+        judge = Judge(model, ends, Residue(sketch, names))
         for pdf in batches:
             found = pd.Series([judge.defect(a, r) for a, r in zip(pdf["asked"], pdf["reply"])], index=pdf.index, dtype=object)
             hit = found.notna()

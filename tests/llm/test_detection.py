@@ -82,6 +82,20 @@ def test_defects(spark, replies):
     assert pairs.defects(real.where("false"), empty.where("false")).count() == 0
 
 
+def test_defects_leave_out_slots(spark, replies):
+    """Residue that only its anchors tell is no defect, as in problem 4."""
+    real = spark.read.parquet(f"{replies}/candidate.parquet").select("line_no", "context", "response")
+    asked = ["麻烦问下，净重大概多少，15斤左右吗？"]
+    rows = [(10**9 + i, asked, f"配件编号是{chr(0x4e00 + 37 * i)}，可以先拍下，然后联") for i in range(40)]
+    made = spark.createDataFrame([*rows, (2 * 10**9, asked, "配件编号是【款式】，可以先拍下，然后联")], "line_no long, context array<string>, response string")
+    empty = spark.createDataFrame([], "repair_id long, context array<string>, chosen string, rejected string")
+    both = real.unionByName(made)
+    records = residue.reply_records(both, empty)
+    assert residue.residue(records).where("record_id = 2000000000").count() == 1
+    got = {r.record_id for r in pairs.defects(both, empty).where("record_id >= 1000000000").collect()}
+    assert got == {10**9 + i for i in range(40)}
+
+
 def test_held_out(spark, replies):
     """Synthetic defects of pairs that the classifier has not seen."""
     real = spark.read.parquet(f"{replies}/candidate.parquet")
