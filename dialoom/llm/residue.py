@@ -31,8 +31,6 @@ ANCHOR, SEEN = 3, 8
 #: A slot: the marker is the neighbour of an anchor in less than OPEN of its
 #: places; a marker that belongs to the text is so in more than FIXED.
 OPEN, FIXED = 0.5, 0.9
-#: Names learnt from unmistakable markers: at most this many, most frequent first.
-NAMES = 500
 
 #: This project's own masks.
 MASKS = {"id", "phone", "num", "year"}
@@ -124,7 +122,7 @@ def anchors(texts: DataFrame) -> tuple[np.ndarray, list[str]]:
     sketch = np.zeros(BUCKETS, np.int64)
     for row in parts.where("bucket >= 0").select("bucket", "n").toPandas().itertuples():
         sketch[row.bucket] = row.n
-    names = [r.name for r in parts.where("bucket < 0").orderBy(F.desc("n"), "name").limit(NAMES).collect()]
+    names = [r.name for r in parts.where("bucket < 0").orderBy("name").select("name").collect()]
     return sketch, names
 
 
@@ -136,17 +134,17 @@ def marker_names(texts: DataFrame) -> list[str]:
     """The variable names alone, from all rows of `text`."""
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold, names = Fold(), Counter()
+        fold, names = Fold(), set()
         for pdf in batches:
             for t in pdf["text"]:
                 names.update(strong_names(_BLANKS.sub("", fold(t))))
         if names:
-            yield pd.DataFrame({"name": list(names), "n": list(names.values())})
+            yield pd.DataFrame({"name": list(names)})
 
     width = "translate(text, '｛｝＄＜＞＃％＠＿［］：', '{}$<>#%@_[]:')"
     rows = texts.select("text").where(F.expr(width).rlike(MARKERS))
-    found = rows.mapInPandas(collect, "name string, n long").groupBy("name").agg(F.sum("n").alias("n"))
-    return [r.name for r in found.orderBy(F.desc("n"), "name").limit(NAMES).collect()]
+    found = rows.mapInPandas(collect, "name string").distinct()
+    return [r.name for r in found.orderBy("name").collect()]
 
 
 class Residue:

@@ -25,6 +25,15 @@ def test_residue(spark):
     assert residue.residue(df.where("false")).count() == 0
 
 
+def test_rare_names(spark):
+    """A name that is rarer than 500 others is recognised in a mistakable marker."""
+    texts = [f"值{{{{name{chr(97 + i // 26)}{chr(97 + i % 26)}}}}}元" for i in range(600)]
+    rows = [*enumerate(texts * 2), (5000, "值{{zz_rare}}元"), (5001, "谢谢[zz_rare]光临")]
+    df = spark.createDataFrame([("candidate", i, t) for i, t in rows], "record_kind string, record_id long, text string")
+    assert "zz_rare" in residue.marker_names(df)
+    assert residue.residue(df).where("record_id = 5001").count() == 1
+
+
 PERSONAL = [
     ("资料发我邮箱north.12@letters.test", {"email"}), ("发票寄到lan_7 at mailbox dot com dot example了", {"email"}), ("手机号是１６０５２４５４９６４", {"phone"}), ("电话一六八六八三二五一七一，到了打我", {"phone"}), ("Call me on +1 555-0111", {"phone"}), ("电话:(+44) 7700 900910", {"phone"}),
     ("身份证119901200107179393", {"idnum"}), ("证件是000-66-8169", {"idnum"}), ("改送到锦澜花园8栋1单元1023，柏台区三槐巷12号", {"address"}), ("Ship it to Flat 3, 12 Tern Hill, Pinder Falls", {"address"}), ("收件人：岑澈昀", {"name"}), ("My name is Saskia Quillane.", {"name"}),
