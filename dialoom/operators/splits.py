@@ -116,6 +116,6 @@ def replace_riskiest(df: DataFrame, key: str, risk: Column, synthetic: DataFrame
 
 
 def scenarios(dialogues: DataFrame, wrappers: DataFrame) -> DataFrame:
-    """Every dialogue in every wrapper; both are short lists of settings, of which
-    the smaller is sent."""
-    return dialogues.join(F.broadcast(wrappers.limit(1000)), F.lit(True))
+    """Every dialogue in every wrapper; which side is sent, if any, is left to
+    Catalyst."""
+    return dialogues.crossJoin(wrappers)

@@ -124,3 +124,10 @@ def test_reports(spark):
     pref = spark.createDataFrame([(1.0, 0.0, 2, 2), (0.0, 0.0, 1, 1), (float("nan"), 1.0, 1, 1), (None, 1.0, 1, 1)], "chosen_logprob double, rejected_logprob double, chosen_tokens int, rejected_tokens int")
     row = reports.preference_summary(reports.preference_rows(pref).withColumn("g", F.lit(1)), ["g"]).first()
     assert (row["rows"], row.valid, row.accuracy, row.tie_rate) == (4, 2, 0.5, 0.5)
+
+
+def test_scenarios_keep_all_wrappers(spark):
+    dialogues = spark.createDataFrame([("a",), ("b",)], "dialogue string")
+    wrappers = spark.range(1200).withColumnRenamed("id", "wrapper")
+    assert splits.scenarios(dialogues, wrappers).distinct().count() == 2400
+    assert splits.scenarios(dialogues, wrappers.where("false")).count() == 0
