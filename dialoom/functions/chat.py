@@ -203,3 +203,35 @@ def padded(prompt: Column, completion: Column, width: int, pad: int = 0, ignore:
     gap = F.greatest(F.lit(0), F.lit(width) - F.size(ids))
     labels = F.concat(F.transform(prompt, lambda _: F.lit(ignore)), completion, F.array_repeat(F.lit(ignore), gap))
     return F.struct(F.concat(ids, F.array_repeat(F.lit(pad), gap)).alias("input_ids"), labels.alias("labels"), F.concat(F.transform(ids, lambda _: F.lit(1)), F.array_repeat(F.lit(0), gap)).alias("attention"))
+
+
+def dialogue_turns(wrapper: Column, before: Column, last_user: Column) -> Column:
+    """Messages of a made-up dialogue: wrapper, turns before, and the user's last one."""
+    return F.concat(wrapper, before, F.array(message("user", last_user))).cast(MESSAGES)
+
+
+def turns_sample(turns: Column, output: Column, prompt: str = SYSTEM) -> Column:
+    """struct(instruction, input, output) of a dialogue whose last turn is the user's;
+    null for any other."""
+    lines = F.transform(turns, lambda m: F.concat(F.when(m["role"] == "user", USER).otherwise(AGENT), m["content"]))
+    made = alpaca(F.lit(prompt), F.concat_ws("\n", F.lit(TASK), F.lit(""), F.array_join(lines, "\n"), F.lit(AGENT)), output)
+    return F.when(F.try_element_at(turns, F.lit(-1))["role"] == "user", made)
+
+
+def turns_messages(turns: Column, output: Column, prompt: str = SYSTEM) -> Column:
+    """The same as messages: system, turns, answer."""
+    made = F.concat(F.array(message("system", F.lit(prompt))), turns, F.array(message("assistant", output))).cast(MESSAGES)
+    return F.when(F.try_element_at(turns, F.lit(-1))["role"] == "user", made)
+
+
+def preference_prompt(text: Column, messages: Column, input_: Column, prompt: str = SYSTEM, replace: bool = True) -> Column:
+    """The prompt of a preference row: its text if there is one, else its messages
+    without a closing answer, else its input; null if it has none of them."""
+
+    def made(turns: Column) -> Column:
+        n = F.size(turns)
+        before = F.when(F.try_element_at(turns, F.lit(-1))["role"] == "assistant", F.slice(turns, 1, F.greatest(n - 1, F.lit(0)))).otherwise(turns)
+        single = F.array(message("user", plain_text(input_)))
+        return F.when(plain_text(text) != "", plain_text(text)).when(F.size(before) > 0, chatml(with_system(before, prompt, replace), True)).when(plain_text(input_) != "", chatml(with_system(single, prompt), True))
+
+    return let(normal_messages(messages), made)

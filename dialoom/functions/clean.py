@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 #: Blanks of all kinds, the ones Python strips; U+001C-U+001F are not in \s.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same one by one.
+BLANKS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Blanks at the end. The look-behind keeps long runs inside a text linear.
 TRAILING = f"(?<!{SPACE}){SPACE}+$"
 #: Marks at the edges of a reply.
@@ -32,7 +34,7 @@ def let(c: Column, body) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without blanks of any kind at both ends."""
-    return F.regexp_replace(col(c), f"^{SPACE}+|{TRAILING}", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -88,14 +90,20 @@ def join_han(c: Column) -> Column:
     return let(c, lambda t: F.when(t.rlike(SPACE), folded(t)).otherwise(t))
 
 
+#: What cleaning of a turn can change: blanks, marks with a plain form, two marks
+#: in a row, eight figures in a row. Most turns have none of it.
+CHANGES = SPACE[:-1] + r"“”‘’—–…\\]|[，。！？；、,.!?;:]{2}|\p{Nd}{8}"
+
+
 def clean_turn(c: Column | str) -> Column:
     """A turn as the selector compares it."""
-    return strip(squeeze(join_han(normalize(c))))
+    return let(col(c), lambda t: F.when(t.rlike(CHANGES), strip(squeeze(join_han(normalize(t))))).otherwise(t))
 
 
 def mask_key(c: Column | str) -> Column:
     """A turn with years and numbers masked, for grouping."""
-    return F.regexp_replace(F.regexp_replace(clean_turn(c), "20[12][0-9]年?", "<YEAR>"), r"(?U)\d+", "<NUM>")
+    masked = lambda t: F.regexp_replace(F.regexp_replace(t, "20[12][0-9]年?", "<YEAR>"), r"(?U)\d+", "<NUM>")
+    return let(clean_turn(c), lambda t: F.when(t.rlike(r"\p{Nd}"), masked(t)).otherwise(t))
 
 
 def template_key(c: Column | str) -> Column:

@@ -12,9 +12,14 @@ CLAUSE_MARKS = "[，。！？；!?;,]"
 MASKS = ("<ID>", "<PHONE>", "<NUM>", "<YEAR>")
 
 
+def tight(c: Column | str) -> Column:
+    """Without blanks: a word broken by a blank is still that word."""
+    return F.replace(col(c), F.lit(" "), F.lit(""))
+
+
 def question_strength(c: Column | str, pack: Pack = DEFAULT) -> Column:
     """1 for a question mark, and 1 for each question word."""
-    return col(c).rlike("[?？]").cast("int") + hits(col(c), pack.questions)
+    return let(tight(c), lambda t: t.rlike("[?？]").cast("int") + hits(t, pack.questions))
 
 
 def has_blocked(c: Column | str, pack: Pack = DEFAULT) -> Column:
@@ -23,27 +28,26 @@ def has_blocked(c: Column | str, pack: Pack = DEFAULT) -> Column:
 
 def is_garbage(c: Column | str) -> Column:
     """Empty, a lone mask, marks only, or Latin text without Han."""
-    return let(strip(c), lambda t: (t == "") | t.isin(*MASKS) | t.rlike(r"(?U)^[\W_]+$") | (t.rlike("[A-Za-z]{2,}") & ~t.rlike(HAN)))
+    return let(tight(c), lambda t: (t == "") | t.isin(*MASKS) | t.rlike(r"(?U)^[\W_]+$") | (t.rlike("[A-Za-z]{2,}") & ~t.rlike(HAN)))
 
 
 def is_low_info(c: Column | str, pack: Pack = DEFAULT) -> Column:
     """In the list of empty replies, up to 4 characters, or up to 8 without an action."""
-    bare = lambda t: F.regexp_replace(t, f"^{CLAUSE_MARKS}+|{CLAUSE_MARKS}+$", "")
-    return let(F.replace(strip(c), F.lit(" "), F.lit("")), lambda t: bare(t).isin(*pack.low_info) | (F.length(t) <= 4) | ((F.length(t) <= 8) & ~any_of(t, pack.actions)))
+    return let(tight(c), lambda t: t.isin(*pack.low_info) | (F.length(t) <= 4) | ((F.length(t) <= 8) & ~any_of(t, pack.actions)))
 
 
 def has_dated_campaign(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    return any_of(col(c), pack.temporal)
+    return any_of(tight(c), pack.temporal)
 
 
 def has_soft_template(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    return any_of(col(c), pack.soft)
+    return any_of(tight(c), pack.soft)
 
 
 def has_role_leak(c: Column | str) -> Column:
     """Tokens or speakers of another turn."""
     text = col(c)
-    return text.contains("<|im_") | text.rlike("(?im)^\\s*(user|assistant|system)\\b") | text.rlike("(?m)^\\s*(用户|客服|买家|卖家)\\s*[：:]")
+    return F.lower(text).contains("<|im_") | text.rlike("(?im)^\\s*(user|assistant|system)\\b") | text.rlike("(?m)^\\s*(用户|客服|买家|卖家)\\s*[：:]")
 
 
 def has_other_script(c: Column | str) -> Column:
@@ -51,64 +55,66 @@ def has_other_script(c: Column | str) -> Column:
 
 
 def clause_count(c: Column | str) -> Column:
-    return F.size(F.filter(F.split(col(c), "[，。！？；!?;]"), lambda x: strip(x) != ""))
+    return F.size(F.filter(F.split(tight(c), "[，。！？；!?;]"), lambda x: x != ""))
 
 
 def unasked_topics(asked: Column | str, reply: Column | str, pack: Pack = DEFAULT) -> Column:
     """Topics that the reply brings up and the question does not."""
-    flags = [F.when(any_of(col(reply), own) & ~any_of(col(asked), wide), F.lit(name)) for name, own, wide in pack.expansions]
-    return F.filter(F.array(*flags), lambda x: x.isNotNull())
+
+    def flags(x: Column) -> Column:
+        tests = [F.when(any_of(x["reply"], own) & ~any_of(x["asked"], wide), F.lit(name)) for name, own, wide in pack.expansions]
+        return F.filter(F.array(*tests), lambda t: t.isNotNull())
+
+    return let(F.struct(tight(asked).alias("asked"), tight(reply).alias("reply")), flags)
 
 
 def is_pitch(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    return any_of(col(c), pack.pitch)
+    return any_of(tight(c), pack.pitch)
 
 
 def has_shop_name(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    return any_of(col(c), pack.shop_names)
+    return any_of(tight(c), pack.shop_names)
 
 
 def store_specific(c: Column | str, pack: Pack = DEFAULT) -> Column:
     """Which of shop_name, operation, policy a text has."""
-    text = col(c)
     kinds = (("shop_name", pack.shop_names), ("operation", pack.operations), ("policy", pack.policies))
-    return F.filter(F.array(*[F.when(any_of(text, words), F.lit(name)) for name, words in kinds]), lambda x: x.isNotNull())
+    return let(tight(c), lambda t: F.filter(F.array(*[F.when(any_of(t, words), F.lit(name)) for name, words in kinds]), lambda x: x.isNotNull()))
 
 
 def incomplete_start(context: Column | str, pack: Pack = DEFAULT) -> Column:
     """The first of two or more turns starts in the middle of something."""
-    first = F.element_at(col(context), 1)
-    weak = (strip(first) == "") | first.rlike(f"^({pattern(pack.incomplete)})") | is_low_info(first, pack) | (F.length(strip(first)) <= 4)
+    weak = let(tight(F.try_element_at(col(context), F.lit(1))), lambda t: t.rlike(f"^({pattern(pack.incomplete)})") | is_low_info(t, pack))
     return (F.size(col(context)) >= 2) & F.coalesce(weak, F.lit(True))
 
 
 def is_fragment(c: Column | str, pack: Pack = DEFAULT) -> Column:
     full = f"^(?:{'|'.join(pack.fragments)})$"
-    return let(strip(c), lambda t: (F.length(t) <= 3) | t.rlike(full) | ((F.length(t) <= 8) & ~any_of(t, pack.complete)))
+    return let(tight(c), lambda t: (F.length(t) <= 3) | t.rlike(full) | ((F.length(t) <= 8) & ~any_of(t, pack.complete)))
 
 
-def is_generic(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    return mask_key(c).rlike(f"(?iu)^(?:{'|'.join(pack.generic)})")
+def is_generic(c: Column | str, pack: Pack = DEFAULT, masked: Column | None = None) -> Column:
+    return (mask_key(c) if masked is None else masked).rlike(f"(?iu)^(?:{'|'.join(pack.generic)})")
 
 
 def overcommits(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    return any_of(col(c), pack.overcommit)
+    return any_of(tight(c), pack.overcommit)
 
 
 def has_hard_risk(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    return any_of(col(c), pack.hard_risk)
+    return any_of(tight(c), pack.hard_risk)
 
 
 def promises_refund(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    return any_of(col(c), pack.refund_promise)
+    return any_of(tight(c), pack.refund_promise)
 
 
-def promises_time(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    return mask_key(c).rlike("|".join(pack.time_promise))
+def promises_time(c: Column | str, pack: Pack = DEFAULT, masked: Column | None = None) -> Column:
+    return (mask_key(c) if masked is None else masked).rlike("|".join(pack.time_promise))
 
 
 def high_risk_hits(c: Column | str, pack: Pack = DEFAULT) -> Column:
-    return hits(col(c), pack.high_risk)
+    return let(tight(c), lambda t: hits(t, pack.high_risk))
 
 
 def keep_reason(context: Column | str, reply: Column | str, least_turns: int = 1, least_chars: int = 6, pack: Pack = DEFAULT) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.sql import Column, functions as F
 
@@ -56,6 +57,7 @@ class Pack:
     generic: tuple[str, ...] = ("您好[，,]", "亲[，,]?好的", "感谢(等待|您的)", "收到[，,]")
     high_risk: tuple[str, ...] = ("运费", "补发", "补偿", "差价", "恢复原价", "到手价")
     helpful: tuple[str, ...] = ("帮您", "给您", "您看", "建议", "可以看到")
+    weak_asked: tuple[str, ...] = ("<ID>", "<NUM>", r"\d+", "地址", "质量")
     fragments: tuple[str, ...] = ("[a-zA-Z]+", r"\d+", "(好|行|嗯|哦)+", "[，。！？,.!?]+.{0,2}")
     complete: tuple[str, ...] = ("的", "了", "吗", "呢", "吧", "哦", "哈", "行", "好")
     contact: tuple[str, ...] = ("微信", "电话", "加我", "QQ", "邮箱", "@")
@@ -86,6 +88,8 @@ class Pack:
     )
     #: (word, weight) in context or reply
     risks: tuple[tuple[str, float], ...] = (("补偿", 2.0), ("退款", 1.5), ("差价", 1.2), ("保证", 2.0), ("当天", 0.8), ("免运费", 0.6), ("券", 0.5), ("无理由", 1.0))
+    #: (word, weight) in the input of an instruction row
+    input_risks: tuple[tuple[str, float], ...] = (("地址", 0.6), ("退款", 0.8), ("投诉", 1.0))
     negatives: dict[str, tuple[str, ...]] = field(
         default_factory=lambda: {
             "refund": ("退款的事您自己看页面说明吧。", "这个我们不负责，您再等等看。"),
@@ -98,4 +102,14 @@ class Pack:
     )
 
 
+def load_pack(text: str) -> Pack:
+    """A pack from JSON with any of its fields; the others keep their defaults."""
+    known = {f.name for f in fields(Pack)}
+    data = json.loads(text)
+    if set(data) - known:
+        raise ValueError(f"no such list: {', '.join(sorted(set(data) - known))}")
+    fixed = lambda x: tuple(map(fixed, x)) if isinstance(x, list) else {k: fixed(v) for k, v in x.items()} if isinstance(x, dict) else x
+    return Pack(**{k: fixed(v) for k, v in data.items()})
+
+
 DEFAULT = Pack()

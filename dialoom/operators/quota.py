@@ -1,15 +1,18 @@
 """Selection under caps: each accepted row uses one place of each of its keys.
 
 A row is accepted if none of its keys is at its cap, in rank order, so a row
-that one cap rejects uses no place of another. `greedy` walks a narrow table in
-one ordered stream, whose state is bounded by the accepted rows, and stops at k,
-so only the top ranks are read; `peel` reaches the same decisions for all rows
-in parallel rounds."""
+that one cap rejects uses no place of another. `accepted` walks a narrow stream
+of the best WALK_ROWS rows; what is left over loses, in parallel, every row with
+a key that is full by then (counters only grow, so such a row can never be
+accepted), and the best of the rest are walked next. A category that can not be
+filled therefore never sends the table through one task. Which cap dropped a row
+follows from the ranks at which keys became full."""
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -54,122 +57,150 @@ def _walk(keys: list[str], caps: list[str], stop: int | None):
         taken = 0
         for pdf in batches:
             out = []
-            for row in zip(*[pdf[k] for k in keys], *[pdf[c] for c in caps]):
+            for rank, held, *row in zip(pdf["rank"], pdf["held"], *[pdf[k] for k in keys], *[pdf[c] for c in caps]):
                 if stop is not None and taken >= stop:
                     break
                 names, limits = row[: len(keys)], row[len(keys) :]
-                full = next((i for i, (n, m) in enumerate(zip(names, limits)) if not pd.isna(m) and used[i][n] >= m), -1)
-                if full < 0:
+                if held or not any(not pd.isna(m) and counter[n] >= m for counter, n, m in zip(used, names, limits)):
                     taken += 1
                     for counter, n in zip(used, names):
                         counter[n] += 1
-                out.append(full)
-            yield pd.DataFrame({"rank": pdf["rank"].iloc[: len(out)], "drop_key": out})
+                    if not held:
+                        out.append(rank)
+            yield pd.DataFrame({"rank": pd.Series(out, dtype="int64")})
 
     return run
 
 
-def greedy(df: DataFrame, keys: list[str], caps: list[str], stop: int | None = None) -> DataFrame:
-    """`rank, drop_key`: -1 for accepted rows, else the number of the first full
-    key. `caps` are columns with each row's caps (null: none). Rows after the
-    `stop`-th accepted one are left out."""
-    narrow = df.select("rank", *[F.col(k).cast("string").alias(k) for k in keys], *[F.col(c).cast("double").alias(c) for c in caps])
-    return narrow.repartition(1).sortWithinPartitions("rank").mapInPandas(_walk(keys, caps, stop), "rank long, drop_key int")
-
-
-def peel(df: DataFrame, keys: list[str], caps: list[str], rounds: int = 50) -> DataFrame:
-    """The same decisions in rounds of running sums. A row is rejected once the
-    accepted rows before it fill a cap; it is accepted once even all undecided
-    rows before it could not. The first undecided row always decides."""
-    state = cut(df.select("rank", *[F.col(k).cast("string").alias(k) for k in keys], *[F.col(c).cast("double").alias(c) for c in caps]).withColumn("state", F.lit(0)))
-    for _ in range(rounds):
-        full, free, first = F.lit(False), F.lit(True), F.lit(-1)
-        frame = state
-        for i, (k, c) in enumerate(zip(keys, caps)):
-            before = W.partitionBy(k).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-            frame = frame.withColumn(f"_a{i}", F.coalesce(F.sum((F.col("state") == 1).cast("int")).over(before), F.lit(0)))
-            frame = frame.withColumn(f"_p{i}", F.coalesce(F.sum((F.col("state") >= 0).cast("int")).over(before), F.lit(0)))
-            over = F.coalesce(F.col(f"_a{i}") >= F.col(c), F.lit(False))
-            full, free = full | over, free & F.coalesce(F.col(f"_p{i}") < F.col(c), F.lit(True))
-            first = F.when((first < 0) & over, i).otherwise(first)
-        decided = F.when(F.col("state") != 0, F.col("state")).when(full, -1).when(free, 1).otherwise(0)
-        frame = frame.withColumn("_new", decided)
-        state = cut(frame.select("rank", *keys, *caps, F.col("_new").alias("state"), *[f"_a{i}" for i in range(len(keys))])).drop(*[f"_a{i}" for i in range(len(keys))])
-        if state.where("state = 0").isEmpty():
-            break
-    frame, first = state, F.lit(-1)
-    for i, (k, c) in enumerate(zip(keys, caps)):
-        before = W.partitionBy(k).orderBy("rank").rowsBetween(W.unboundedPreceding, -1)
-        frame = frame.withColumn(f"_a{i}", F.coalesce(F.sum((F.col("state") == 1).cast("int")).over(before), F.lit(0)))
-        first = F.when((first < 0) & F.coalesce(F.col(f"_a{i}") >= F.col(c), F.lit(False)), i).otherwise(first)
-    return frame.select("rank", F.when(F.col("state") == 1, -1).otherwise(first).alias("drop_key"))
-
-
-def capped(df: DataFrame, keys: list[str], caps: list[str], stop: int) -> DataFrame:
-    """Decisions up to the `stop`-th accepted rank, from as few ranks as that takes."""
-    most = WALK_ROWS
+def _limit(category: str, caps: dict[str, int], rest: int) -> Column:
+    """A category's cap; `rest` for those without one."""
+    out = F.lit(float(rest))
+    for name, cap in sorted(caps.items()):
+        out = F.when(F.col(category) == name, float(cap)).otherwise(out)
+    return out
+
+
+def _full(rows: DataFrame, keys: list[str], caps: list[str], i: int) -> DataFrame:
+    """Values of key i that are full, and the rank of the row that filled them."""
+    place = F.row_number().over(W.partitionBy(keys[i]).orderBy("rank"))
+    return rows.select(keys[i], caps[i], "rank", place.alias("_n")).where(F.col("_n") >= F.col(caps[i])).groupBy(keys[i]).agg(F.min("rank").alias(f"_full{i}"))
+
+
+def accepted(df: DataFrame, keys: list[str], caps: list[str], stop: int, held: DataFrame | None = None) -> DataFrame:
+    """`rank, keys, caps` of the accepted rows, `stop` at most. `caps` are columns
+    with the cap of a row's key (null: none), the same for equal keys. `held` are
+    rows that use places from the start (and count for `stop`); they come back too.
+    What is kept between walks is bounded by `stop`."""
+    narrow = lambda d: d.select("rank", *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], *[F.col(c).cast("double").alias(c) for c in caps])
+    done = narrow(held) if held is not None else narrow(df).where("false")
+    possible = reduce(lambda a, c: a & (F.col(c).isNull() | (F.col(c) > 0)), caps, F.lit(True))
+    state = narrow(df).where(possible).withColumn("_at", F.col("rank"))
     while True:
-        part = cut(greedy(df.where(F.col("rank") <= most), keys, caps, stop))
-        if part.where("drop_key < 0").count() >= stop or df.where(F.col("rank") > most).isEmpty():
-            return part
-        most *= 4
+        part = done.withColumn("held", F.lit(True)).unionByName(state.where(F.col("_at") <= WALK_ROWS).drop("_at").withColumn("held", F.lit(False)))
+        stream = part.repartition(1).sortWithinPartitions(F.desc("held"), "rank")
+        picked = stream.mapInPandas(_walk(keys, caps, stop), "rank long")
+        done = cut(done.unionByName(narrow(df).join(picked, "rank", "left_semi")))
+        rest = state.where(F.col("_at") > WALK_ROWS)
+        if done.count() >= stop or rest.isEmpty():
+            return done
+        for i, k in enumerate(keys):
+            rest = rest.join(_full(done, keys, caps, i).select(k), k, "left_anti")
+        state = ranked(rest.drop("_at").withColumnRenamed("rank", "_old"), [F.asc("_old")]).withColumnRenamed("rank", "_at").withColumnRenamed("_old", "rank")
+        if state.isEmpty():
+            return done
+
+
+def decide(df: DataFrame, keys: list[str], caps: list[str], done: DataFrame, stop: int) -> DataFrame:
+    """`rank, drop_key` of the rows of `df` up to the last one that was looked at:
+    -1 for the rows in `done`, else the number of the first full key."""
+    last = done.agg(F.when(F.count("*") >= stop, F.max("rank")).alias("_last"))
+    rows = df.select("rank", *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys], *[F.col(c).cast("double").alias(c) for c in caps]).join(F.broadcast(last)).where("_last is null or rank <= _last")
+    rows = rows.join(done.select("rank", F.lit(-1).alias("_in")), "rank", "left")
+    first = F.lit(None).cast("int")
+    for i, k in enumerate(keys):
+        rows = rows.join(_full(done, keys, caps, i), k, "left")
+        first = F.coalesce(first, F.when((F.col(f"_full{i}") < F.col("rank")) | (F.col(caps[i]) <= 0), i))
+    return rows.select("rank", F.coalesce("_in", first).alias("drop_key"))
 
 
 def diverse_topk(pairs: DataFrame, order: list[Column], top_k: int, caps: dict[str, int], template_cap: int = 5, question_cap: int = 2, pair_cap: int = 1, category: str = "category", template: str = "template", question: str = "asked_key", pair: str = "pair_key") -> DataFrame:
     """Two passes over pairs in rank order. Pass 1 caps category, template,
     question and pair and stops at k; pass 2 walks what pass 1 rejected with caps
-    of one more and without the category. Adds rank and pass_no."""
-    limit = F.create_map(*[F.lit(x) for item in sorted(caps.items()) for x in item]) if caps else None
+    of one more and without the category. An empty or missing key counts as one
+    value of its own, a missing category as "other", a category without a cap may
+    take all k. Adds rank and pass_no."""
+    picked, _, _ = _two_passes(pairs, order, top_k, caps, template_cap, question_cap, pair_cap, category, template, question, pair)
+    return picked
+
+
+def topk_counters(pairs: DataFrame, order: list[Column], top_k: int, caps: dict[str, int], template_cap: int = 5, question_cap: int = 2, pair_cap: int = 1, category: str = "category", template: str = "template", question: str = "asked_key", pair: str = "pair_key") -> DataFrame:
+    """`reason, n` of a selection by `diverse_topk`: rows dropped by each cap in
+    either pass up to the last accepted row, rows selected in each."""
+    picked, one, two = _two_passes(pairs, order, top_k, caps, template_cap, question_cap, pair_cap, category, template, question, pair)
+    names = ["drop_category", "drop_template", "drop_question", "drop_pair"]
+    parts = [drop_reasons(one, names), picked.groupBy(F.concat(F.lit("selected_pass_"), F.col("pass_no").cast("string")).alias("reason")).agg(F.count("*").alias("n"))]
+    if two is not None:
+        parts.append(drop_reasons(two, [f"{n}_relaxed" for n in names[1:]]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _two_passes(pairs: DataFrame, order: list[Column], top_k: int, caps: dict[str, int], template_cap: int, question_cap: int, pair_cap: int, category: str, template: str, question: str, pair: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The selected rows, the decisions of pass 1, and those of pass 2 about what
+    pass 1 rejected (none if pass 1 was enough)."""
     rows = cut(ranked(pairs, order))
-    keyed = rows.withColumn("_c0", limit[F.col(category)].cast("double") if limit is not None else F.lit(None).cast("double"))
+    kind = F.when(F.trim(category) == "", None).otherwise(F.col(category))
+    keyed = rows.select("rank", F.coalesce(kind, F.lit("other")).alias("_k0"), *[F.coalesce(k, F.lit("")).alias(f"_k{i}") for i, k in enumerate((template, question, pair), 1)])
+    keyed = keyed.withColumn("_c0", _limit("_k0", caps, top_k))
     for i, cap in enumerate((template_cap, question_cap, pair_cap), 1):
         keyed = keyed.withColumn(f"_c{i}", F.lit(float(cap)))
-    keys = [category, template, question, pair]
-    one = capped(keyed, keys, ["_c0", "_c1", "_c2", "_c3"], top_k)
-    chosen = one.where("drop_key < 0").orderBy("rank").limit(top_k)
-    done = cut(rows.join(chosen.select("rank"), "rank", "left_semi").withColumn("pass_no", F.lit(1)))
-    n = done.count()
+    keyed = cut(keyed)
+    keys = ["_k0", "_k1", "_k2", "_k3"]
+    limits = ["_c0", "_c1", "_c2", "_c3"]
+    chosen = accepted(keyed, keys, limits, top_k)
+    one = decide(keyed, keys, limits, chosen, top_k)
+    n = chosen.count()
+    first = rows.join(chosen.select("rank"), "rank", "left_semi").withColumn("pass_no", F.lit(1))
     if n >= top_k:
-        return done
-    # Pass 2 starts from the places that pass 1 used: accepted rows go first.
-    # Fewer than k were accepted, so every row has been walked.
-    rest = keyed.join(one.where("drop_key >= 0").select("rank"), "rank", "left_semi").withColumn("_again", F.col("rank"))
-    first = keyed.join(chosen.select("rank"), "rank", "left_semi").withColumn("_again", F.lit(None).cast("long"))
-    both = ranked(first.unionByName(rest).drop("rank"), [F.asc_nulls_first("_again"), *order])
+        return cut(first), one, None
+    # Pass 2 starts from the places that pass 1 used. Fewer than k were accepted, so
+    # every row has been decided.
     for i, cap in enumerate((template_cap, question_cap, pair_cap), 1):
-        both = both.withColumn(f"_c{i}", F.when(F.col("_again").isNull(), F.lit(None)).otherwise(float(cap + 1)))
-    both = cut(both)
-    two = capped(both, keys[1:], ["_c1", "_c2", "_c3"], top_k).where("drop_key < 0")
-    more = both.where("_again is not null").join(two.select("rank"), "rank", "left_semi").orderBy("_again").limit(top_k - n).select(F.col("_again").alias("rank"))
-    return done.unionByName(rows.join(more, "rank", "left_semi").withColumn("pass_no", F.lit(2)))
+        keyed = keyed.withColumn(f"_c{i}", F.lit(float(cap + 1)))
+    rest = keyed.join(chosen.select("rank"), "rank", "left_anti")
+    # Walks count places from 1; held rows come first whatever their rank.
+    held = keyed.join(chosen.select("rank"), "rank", "left_semi").withColumn("rank", -F.col("rank"))
+    order_ = cut(ranked(rest.withColumnRenamed("rank", "_old"), [F.asc("_old")]))
+    both = accepted(order_, keys[1:], limits[1:], top_k, held)
+    two = decide(order_, keys[1:], limits[1:], both, top_k)
+    more = order_.join(both.select("rank"), "rank", "left_semi").select(F.col("_old").alias("rank"))
+    return cut(first.unionByName(rows.join(more, "rank", "left_semi").withColumn("pass_no", F.lit(2)))), one, two
 
 
-def drop_reasons(one: DataFrame, names: list[str], last_rank: int | None = None) -> DataFrame:
-    """How many rows each cap dropped, up to the last accepted rank."""
-    rows = one.where("drop_key >= 0")
-    if last_rank is not None:
-        rows = rows.where(F.col("rank") <= last_rank)
-    return rows.groupBy(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("drop_key") + 1).alias("reason")).count()
+def drop_reasons(one: DataFrame, names: list[str]) -> DataFrame:
+    """`reason, n`: how many of the walked rows each cap dropped."""
+    return one.where("drop_key >= 0").groupBy(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("drop_key") + 1).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def diverse_repaired(groups: DataFrame, order: list[Column], top_k: int, caps: dict[str, int], template: str, question: str, category: str = "category", question_cap: int = 2) -> DataFrame:
+def diverse_repaired(groups: DataFrame, order: list[Column], top_k: int, caps: dict[str, int], template: str, question: str, category: str = "category", question_cap: int = 2, same: tuple[str, ...] = ()) -> DataFrame:
     """The repair job's selection: caps of template (3, 4 or 5 by k), question and
-    category, then the best of the rest whatever their caps."""
+    category, then the best of the rest whatever their caps. The fill takes a pair
+    (the columns `same`) once, and none that is selected already."""
     template_cap = 3 if top_k <= 5000 else 4 if top_k <= 10_000 else 5
-    limit = F.create_map(*[F.lit(x) for item in sorted(caps.items()) for x in item])
     rows = cut(ranked(groups, order))
-    keyed = rows.withColumn("_c0", F.lit(float(template_cap))).withColumn("_c1", F.lit(float(question_cap))).withColumn("_c2", limit[F.col(category)].cast("double"))
-    chosen = cut(capped(keyed, [template, question, category], ["_c0", "_c1", "_c2"], top_k).where("drop_key < 0").orderBy("rank").limit(top_k))
+    keyed = rows.withColumn("_c0", F.lit(float(template_cap))).withColumn("_c1", F.lit(float(question_cap))).withColumn("_c2", _limit(category, caps, top_k))
+    chosen = accepted(keyed, [template, question, category], ["_c0", "_c1", "_c2"], top_k).select("rank")
     n = chosen.count()
-    fill = rows.join(chosen, "rank", "left_anti").orderBy("rank").limit(max(0, top_k - n)).select("rank")
-    picked = chosen.select("rank", F.lit(1).alias("pass_no")).unionByName(fill.withColumn("pass_no", F.lit(2)))
+    if n >= top_k:
+        return rows.join(chosen.withColumn("pass_no", F.lit(1)), "rank")
+    # Of each pair the first rank, from one aggregate over digests of the keys.
+    digest = F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(same)])), 256) if same else F.col("rank").cast("string")
+    marked = rows.select("rank", digest.alias("_d")).join(chosen.withColumn("_in", F.lit(True)), "rank", "left")
+    free = marked.groupBy("_d").agg(F.min("rank").alias("rank"), F.max(F.coalesce("_in", F.lit(False))).alias("_in")).where("not _in")
+    fill = free.select("rank").orderBy("rank").limit(top_k - n)
+    picked = chosen.withColumn("pass_no", F.lit(1)).unionByName(fill.withColumn("pass_no", F.lit(2)))
     return rows.join(picked, "rank")
 
 
-def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    return df.orderBy(*order).limit(n)
-
-
 def most_frequent(df: DataFrame, key: Column, n: int, name: str = "value") -> DataFrame:
     """The n most frequent values, ties by value."""
     return df.groupBy(key.alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(n)

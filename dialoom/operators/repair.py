@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoom.functions import predicates as P
-from dialoom.functions.clean import EDGE, col, compact, let, repair_clean, without_masks
+from dialoom.functions.clean import EDGE, col, compact, context_key, let, repair_clean, repair_key, without_masks
 from dialoom.functions.rules import DEFAULT, Pack, any_of, found
 from dialoom.functions.scoring import keyword_score, overlap_of, repair_category
 
@@ -143,6 +143,21 @@ def repair_pairs(df: DataFrame, context: str = "context", chosen: str = "chosen"
     return out.withColumn("repair_issues", issues).withColumn("repair_score", score).drop("_asked", "_good", "_bad")
 
 
+#: Columns of `with_keys` that tell a pair from others.
+SAME = ("context_key", "template", "rejected_key")
+
+
+def with_keys(df: DataFrame) -> DataFrame:
+    """Repaired pairs with what the selection compares: reply and question with
+    masked figures, the context, the rejected reply."""
+    return df.withColumns({"template": repair_key("repaired_chosen"), "asked_key": repair_key(F.element_at("context", -1)), "rejected_key": repair_key("repaired_rejected"), "context_key": context_key("context")})
+
+
+def order(last: list[Column]) -> list[Column]:
+    """Rank of repaired pairs: score, hand-made ones, the shorter reply, then `last`."""
+    return [F.desc("repair_score"), F.desc(F.coalesce(F.col("source") == "manual_round2", F.lit(False))), F.asc(F.length(compact("repaired_chosen"))), *last]
+
+
 def distributions(df: DataFrame, category: str = "category", source: str = "source", issues: str = "issues", n: int = 100) -> DataFrame:
     """`kind, value, n`: categories, sources and the n most frequent issues."""
     simple = [df.groupBy(F.lit(k).alias("kind"), F.coalesce(F.col(k), F.lit("")).alias("value")).agg(F.count("*").alias("n")) for k in (category, source)]

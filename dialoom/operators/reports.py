@@ -99,3 +99,19 @@ def artifacts(files: DataFrame) -> DataFrame:
 def checked_summary(summary: DataFrame) -> DataFrame:
     """The gate after a run: stage post_train and equal adapter hashes."""
     return summary.withColumn("gate", F.when(F.coalesce("stage", F.lit("")) != "post_train", "stage").when(~F.col("adapter_sha256").eqNullSafe(F.col("latest_sha256")), "hash").otherwise("ok"))
+
+
+def stamp() -> Column:
+    """The time of the query as `yyyymmdd_HHMMSS`, for names of runs and backups."""
+    return F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")
+
+
+def run_steps(matrix: DataFrame, done: DataFrame, names: list[str] | None = None, mode: str = "all", key: str = "run") -> DataFrame:
+    """`matrix` with `step` for each run (all those of `names`, or all) and each step
+    of the mode (train, eval, collect, all of them), and `skip` where `done`
+    (`key, step, seconds`) has it already; `seconds` is what it took."""
+    steps = {"all": ["train", "eval", "collect"]}.get(mode, [mode])
+    rows = matrix.where(F.col(key).isin(*names)) if names else matrix
+    rows = rows.withColumn("step", F.explode(F.array(*[F.lit(x) for x in steps])))
+    known = done.groupBy(key, "step").agg(F.max("seconds").alias("seconds"))
+    return rows.join(known, [key, "step"], "left").withColumn("skip", F.col("seconds").isNotNull())

@@ -9,16 +9,28 @@ from dialoom.operators.quota import ranked
 from dialoom.session import cut
 
 PATTERN = ("train", "train", "train", "dev", "test")
+#: Groups whose first ranks are sent to all tasks; with more of them both sides are joined by group.
+GROUPS = 100_000
 
 
 def shuffle_key(key: Column | str, seed: int | str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), (F.col(key) if isinstance(key, str) else key).cast("string")))
 
 
+def place_in(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """`name`: the row's place in its group, from 1, with the group's size as
+    `{name}_of`. Rows are ranked over (group, order) in range partitions, so that a
+    group of any size is no single task; nulls are a group."""
+    rows = cut(ranked(df, [F.asc_nulls_first(group), *order]))
+    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min("rank").alias("_first"), F.count("*").alias(f"{name}_of"))
+    out = rows.withColumnRenamed("rank", name).join(F.broadcast(first) if first.limit(GROUPS + 1).count() <= GROUPS else first, F.col(group).eqNullSafe(F.col("_group")))
+    return out.withColumn(name, F.col(name) - F.col("_first") + 1).drop("_group", "_first")
+
+
 def pattern_split(df: DataFrame, category: str, order: list[Column], pattern: tuple[str, ...] = PATTERN) -> DataFrame:
     """`split` by the row's place in its category, going round the pattern."""
-    place = (F.row_number().over(W.partitionBy(category).orderBy(*order)) - 1) % len(pattern)
-    return df.withColumn("split", F.element_at(F.array(*[F.lit(p) for p in pattern]), (place + 1).cast("int")))
+    place = (F.col("_place") - 1) % len(pattern)
+    return place_in(df, category, order, "_place").withColumn("split", F.element_at(F.array(*[F.lit(p) for p in pattern]), (place + 1).cast("int"))).drop("_place", "_place_of")
 
 
 def balance_splits(df: DataFrame, sizes: dict[str, int], order: list[Column], split: str = "split") -> DataFrame:
@@ -29,25 +41,21 @@ def balance_splits(df: DataFrame, sizes: dict[str, int], order: list[Column], sp
     if sum(counts.values()) != sum(sizes.values()):
         raise ValueError(f"the sizes sum to {sum(sizes.values())}, the table has {sum(counts.values())} rows")
     surplus = {s: counts.get(s, 0) - n for s, n in sizes.items() if counts.get(s, 0) > n}
-    places = [s for s, n in sizes.items() for _ in range(max(0, n - counts.get(s, 0)))]
-    if not places:
+    gaps = [(s, n - counts.get(s, 0)) for s, n in sizes.items() if n > counts.get(s, 0)]
+    if not gaps:
         return df
-    back = F.row_number().over(W.partitionBy(split).orderBy(*[_reverse(o) for o in order]))
-    extra = F.create_map(*[F.lit(x) for item in sorted(surplus.items()) for x in item])
     before, total = {}, 0
     for s, n in sorted(surplus.items()):
         before[s], total = total, total + n
-    offset = F.create_map(*[F.lit(x) for item in sorted(before.items()) for x in item])
-    targets = F.array(*[F.lit(p) for p in places])
-    moved = df.withColumn("_back", back)
-    at = (offset[F.col(split)] + F.col("_back")).cast("int")
-    return moved.withColumn(split, F.when(F.col("_back") <= F.coalesce(extra[F.col(split)], F.lit(0)), F.element_at(targets, at)).otherwise(F.col(split))).drop("_back")
-
-
-def _reverse(c: Column) -> Column:
-    text = c._jc.toString()
-    name = text.split(" ")[0]
-    return F.asc(name) if " DESC" in text else F.desc(name)
+    pick = lambda m: F.create_map(*[F.lit(x) for item in sorted(m.items()) for x in item])[F.col(split)]
+    # The last row of a split has number 1; moved rows fill one gap after the other.
+    back = F.col("_place_of") - F.col("_place") + 1
+    at, target, end = pick(before) + back, F.lit(None).cast("string"), 0
+    for s, n in gaps:
+        end += n
+        target = F.coalesce(target, F.when(at <= end, F.lit(s)))
+    moved = back <= F.coalesce(pick(surplus), F.lit(0))
+    return place_in(df, split, order, "_place").withColumn(split, F.when(moved, target).otherwise(F.col(split))).drop("_place", "_place_of")
 
 
 def split_stats(df: DataFrame, split: str = "split", category: str = "category", score: str = "score", rank: str = "rank") -> DataFrame:
@@ -59,24 +67,24 @@ def split_stats(df: DataFrame, split: str = "split", category: str = "category",
 
 
 def exact_head(df: DataFrame, key: str, n: int, seed: int | str) -> DataFrame:
-    """n rows, the first by hash; ties by key. TakeOrdered keeps n rows per task."""
-    return df.orderBy(shuffle_key(key, seed), key).limit(n)
+    """n rows, the first by hash; ties by key. Ranked in range partitions: n may be
+    a share of the table."""
+    return ranked(df.withColumn("_h", shuffle_key(key, seed)), [F.asc("_h"), F.asc(key)]).where(F.col("rank") <= n).drop("_h", "rank")
 
 
 def holdout(df: DataFrame, key: str, ratio: float, seed: int | str = 42) -> DataFrame:
     """`is_validation`: exactly max(1, int(rows * ratio)) rows by hash order."""
+    rows = ranked(df.withColumn("_h", shuffle_key(key, seed)), [F.asc("_h"), F.asc(key)])
     n = max(1, int(df.count() * ratio))
-    picked = exact_head(df.select(key), key, n, seed).withColumn("is_validation", F.lit(True))
-    return df.join(picked, key, "left").withColumn("is_validation", F.coalesce("is_validation", F.lit(False)))
+    return rows.withColumn("is_validation", F.col("rank") <= n).drop("_h", "rank")
 
 
 def add_noise(df: DataFrame, key: str, ratio: float, seed: int | str = 42, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Chosen and rejected swapped on exactly round(rows * ratio) rows (half to
     even); stamps noise_ratio, noise_swapped, source_index (place by key from 0)."""
     n = round(df.count() * ratio)
-    picked = exact_head(df.select(key), key, n, seed).withColumn("noise_swapped", F.lit(True))
-    index = ranked(df.select(key), [F.asc(key)]).select(key, (F.col("rank") - 1).alias("source_index"))
-    out = df.join(picked, key, "left").join(index, key).withColumn("noise_swapped", F.coalesce("noise_swapped", F.lit(False)))
+    rows = ranked(df.withColumn("_h", shuffle_key(key, seed)), [F.asc("_h"), F.asc(key)]).withColumn("noise_swapped", F.col("rank") <= n).drop("_h", "rank")
+    out = ranked(rows, [F.asc(key)]).withColumn("source_index", F.col("rank") - 1).drop("rank")
     a, b = F.when(F.col("noise_swapped"), F.col(rejected)).otherwise(F.col(chosen)), F.when(F.col("noise_swapped"), F.col(chosen)).otherwise(F.col(rejected))
     return out.withColumn("_a", a).withColumn("_b", b).withColumn(chosen, F.col("_a")).withColumn(rejected, F.col("_b")).drop("_a", "_b").withColumn("noise_ratio", F.lit(ratio))
 
@@ -110,8 +118,8 @@ def replace_riskiest(df: DataFrame, key: str, risk: Column, synthetic: DataFrame
     """The rows of the highest risk (ties: the later row) make room for as many
     synthetic ones."""
     n = synthetic.count()
-    worst = cut(df.select(key, risk.alias("_risk")).orderBy(F.desc("_risk"), F.desc(key)).limit(n).select(key))
-    kept = df.join(F.broadcast(worst) if n <= 100_000 else worst, key, "left_anti")
+    worst = cut(ranked(df.select(key, risk.alias("_risk")), [F.desc("_risk"), F.desc(key)]).where(F.col("rank") <= n).select(key))
+    kept = df.join(worst, key, "left_anti")
     return kept.unionByName(synthetic, allowMissingColumns=True)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dialoom.functions import chat, clean, metrics, predicates as P, scoring
 from dialoom.functions.rules import DEFAULT
 from dialoom.operators import grouping, joins, quota, repair, reports, splits
-from dialoom.plans import sql as S
+from dialoom.plans import selection_sql as Q, sql as S
 from dialoom.session import cut, spread, table
 from dialoom.sources import writers
 
@@ -87,7 +87,7 @@ def clean_outputs(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d, "repair_group").select("repair_id", clean.clean_output("rejected").alias("clean"), clean.without_masks("chosen").alias("unmasked"))
 
 
-@query()
+@query(f"SELECT line_no, text AS trimmed, trims FROM ({Q.trimmed('SELECT line_no, ' + chr(99) + 'oalesce(response, ' + chr(39) * 2 + ') AS r FROM candidate', 'r')})")
 def trimmed_tails(spark: SparkSession, d: str) -> DataFrame:
     trimmed = clean.trim_tail(F.coalesce("response", F.lit("")))
     return _wide(spark, d).select("line_no", trimmed["text"].alias("trimmed"), F.size(trimmed["issues"]).alias("trims"))
@@ -99,10 +99,10 @@ _R, _A = "coalesce(response, '')", "coalesce(context[-1], '')"
 
 
 @query(
-    f"""SELECT line_no, {S.question_strength('a')} AS strength, {S.garbage('r')} AS garbage, {S.low_info('r')} AS low_info, {S.any_of('r', DEFAULT.temporal)} AS dated, {S.any_of('r', DEFAULT.soft)} AS soft,
-    {S.any_of('r', DEFAULT.pitch)} AS pitch, {S.any_of('r', DEFAULT.shop_names)} AS shop_name, {S.any_of('r', DEFAULT.overcommit)} AS overcommits, {S.any_of('r', DEFAULT.hard_risk)} AS hard_risk, {S.any_of('r', DEFAULT.refund_promise)} AS refund_promise,
-    {S.hits('r', DEFAULT.high_risk)} AS high_risk, len(list_filter(regexp_split_to_array(r, '[，。！？；!?;]'), lambda e: {S.strip('e')} <> '')) AS clauses
-    FROM (SELECT line_no, {_R} AS r, {_A} AS a FROM candidate)"""
+    f"""SELECT line_no, {S.question_strength('a')} AS strength, {S.garbage('r')} AS garbage, {S.low_info('r')} AS low_info, {S.any_of('t', DEFAULT.temporal)} AS dated, {S.any_of('t', DEFAULT.soft)} AS soft,
+    {S.any_of('t', DEFAULT.pitch)} AS pitch, {S.any_of('t', DEFAULT.shop_names)} AS shop_name, {S.any_of('t', DEFAULT.overcommit)} AS overcommits, {S.any_of('t', DEFAULT.hard_risk)} AS hard_risk, {S.any_of('t', DEFAULT.refund_promise)} AS refund_promise,
+    {S.hits('t', DEFAULT.high_risk)} AS high_risk, len(list_filter(regexp_split_to_array(t, '[，。！？；!?;]'), lambda e: e <> '')) AS clauses
+    FROM (SELECT line_no, {_R} AS r, {S.tight(_R)} AS t, {_A} AS a FROM candidate)"""
 )
 def reply_flags(spark: SparkSession, d: str) -> DataFrame:
     rows = _wide(spark, d).select("line_no", F.coalesce("response", F.lit("")).alias("r"), _asked().alias("a"))
@@ -115,15 +115,15 @@ def reply_flags(spark: SparkSession, d: str) -> DataFrame:
 
 def _masked_sql() -> str:
     full = "|".join(DEFAULT.fragments).replace("'", "''")
-    bare, mask = S.strip("r"), S.mask_key("r")
-    kinds = " + ".join(f"{S.any_of('r', words)}::INT" for words in (DEFAULT.shop_names, DEFAULT.operations, DEFAULT.policies))
-    first = f"({S.strip('f')} = '' OR regexp_matches(f, '^({'|'.join(DEFAULT.incomplete)})') OR {S.low_info('f')} OR length({S.strip('f')}) <= 4)"
+    mask = S.mask_key("r")
+    kinds = " + ".join(f"{S.any_of('t', words)}::INT" for words in (DEFAULT.shop_names, DEFAULT.operations, DEFAULT.policies))
+    first = f"(regexp_matches(f, '^({'|'.join(DEFAULT.incomplete)})') OR {S.low_info('f')})"
     return f"""SELECT line_no, {S.any_of('lower(r)', tuple(w.lower() for w in DEFAULT.blocked))} AS blocked,
-    contains(r, '<|im_') OR regexp_matches(r, '(?im)^\\s*(user|assistant|system)([^{S.WORD}]|$)') OR regexp_matches(r, '(?m)^\\s*(用户|客服|买家|卖家)\\s*[：:]') AS role_leak,
+    contains(lower(r), '<|im_') OR regexp_matches(r, '(?im)^\\s*(user|assistant|system)([^{S.WORD}]|$)') OR regexp_matches(r, '(?m)^\\s*(用户|客服|买家|卖家)\\s*[：:]') AS role_leak,
     regexp_matches(r, '[\\x{{0600}}-\\x{{06ff}}\\x{{0e00}}-\\x{{0e7f}}\\x{{0400}}-\\x{{04ff}}\\x{{ac00}}-\\x{{d7af}}]') AS other_script, {kinds} AS store, coalesce(len(context), 0) >= 2 AND {first} AS incomplete,
-    (length({bare}) <= 3 OR regexp_matches({bare}, '^(?:{full})$') OR (length({bare}) <= 8 AND NOT {S.any_of(bare, DEFAULT.complete)})) AS fragment,
+    (length(t) <= 3 OR regexp_matches(t, '^(?:{full})$') OR (length(t) <= 8 AND NOT {S.any_of('t', DEFAULT.complete)})) AS fragment,
     regexp_matches({mask}, '(?i)^(?:{'|'.join(DEFAULT.generic)})') AS generic, regexp_matches({mask}, '{'|'.join(DEFAULT.time_promise)}') AS time_promise,
-    (k = '' OR k IN ('<ID>', '<PHONE>', '<NUM>', '<YEAR>') OR {S.any_of('k', DEFAULT.contact)}) AS bad FROM (SELECT line_no, context, {_R} AS r, coalesce(context[1], '') AS f, {S.compact(_R)} AS k FROM candidate)"""
+    (k = '' OR k IN ('<ID>', '<PHONE>', '<NUM>', '<YEAR>') OR {S.any_of('k', DEFAULT.contact)}) AS bad FROM (SELECT line_no, context, {_R} AS r, {S.tight(_R)} AS t, {S.tight("coalesce(context[1], '')")} AS f, {S.compact(_R)} AS k FROM candidate)"""
 
 
 @query(_masked_sql())
@@ -137,8 +137,8 @@ def reply_flags_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unasked_sql() -> str:
-    flags = ", ".join(f"CASE WHEN {S.any_of('r', own)} AND NOT {S.any_of('a', wide)} THEN {S.q(name)} END" for name, own, wide in DEFAULT.expansions)
-    return f"SELECT line_no, array_to_string(list_filter([{flags}], lambda e: e IS NOT NULL), ',') AS topics FROM (SELECT line_no, {_R} AS r, {_A} AS a FROM candidate)"
+    flags = ", ".join(f"CASE WHEN {S.any_of('t', own)} AND NOT {S.any_of('b', wide)} THEN {S.q(name)} END" for name, own, wide in DEFAULT.expansions)
+    return f"SELECT line_no, array_to_string(list_filter([{flags}], lambda e: e IS NOT NULL), ',') AS topics FROM (SELECT line_no, {S.tight(_R)} AS t, {S.tight(_A)} AS b FROM candidate)"
 
 
 @query(_unasked_sql())
@@ -165,28 +165,44 @@ def keyword_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT line_no, round((0.5 * least(n, 8) + CASE WHEN n % 2 = 1 THEN 1.0 ELSE -0.8 END + CASE WHEN s > 0 THEN 1.2 ELSE -1.8 END + CASE WHEN length({S.strip('a')}) <= 3 THEN -2.2 ELSE 0 END
-    + 0.8 * u + CASE WHEN u < 0.6 THEN -0.8 ELSE 0 END) * 10000)::BIGINT AS score
-    FROM (SELECT line_no, len(context) AS n, context[-1] AS a, {S.question_strength('context[-1]')} AS s, len(list_distinct(context)) / len(context)::DOUBLE AS u FROM candidate WHERE len(context) > 0)"""
+    f"""SELECT line_no, round(c_score * 10000)::BIGINT AS score, round(CASE WHEN {' OR '.join(f"len(list_filter(turns, lambda e: {S.any_of(S.tight('e'), w)})) > 0" for w in (DEFAULT.shop_names, DEFAULT.operations, DEFAULT.policies))}
+    OR (len(turns) >= 2 AND (regexp_matches({S.tight('turns[1]')}, '^({'|'.join(DEFAULT.incomplete)})') OR {S.low_info('turns[1]')})) THEN -999 ELSE c_score END * 10000)::BIGINT AS generic_score, c_issues AS issues
+    FROM ({Q.steps("SELECT line_no, context AS turns, context[-1] AS asked FROM candidate WHERE len(context) > 0", Q.context_terms())})"""
 )
 def context_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _wide(spark, d).where("size(context) > 0")
-    return rows.select("line_no", F.round(scoring.context_score("context")["score"] * 10000).cast("long").alias("score"))
+    own, generic = scoring.context_score("context"), scoring.context_score("context", scoring.Mode(generic=True))
+    return rows.select("line_no", F.round(own["score"] * 10000).cast("long").alias("score"), F.round(generic["score"] * 10000).cast("long").alias("generic_score"), F.size(own["issues"]).alias("issues"))
 
 
 @query(
     f"""SELECT line_no, {S.first_category(DEFAULT.categories, lambda w: f"({S.any_of('r', w)} OR {S.any_of('a', w)})")} AS category, {S.first_category(DEFAULT.repair_categories, lambda w: S.any_of('k', w))} AS repair_category
-    FROM (SELECT line_no, {_R} AS r, {_A} AS a, {S.compact(_A)} AS k FROM candidate)"""
+    FROM (SELECT line_no, {S.tight(_R)} AS r, {S.tight(_A)} AS a, {S.compact(_A)} AS k FROM candidate)"""
 )
 def categories(spark: SparkSession, d: str) -> DataFrame:
     return _wide(spark, d).select("line_no", scoring.category(_asked(), F.coalesce("response", F.lit(""))).alias("category"), scoring.repair_category(_asked()).alias("repair_category"))
 
 
-@query()
+_MODES = {"normal": scoring.NORMAL, "strict": scoring.Mode(strict=True), "sft": scoring.Mode(sft=True), "generic": scoring.Mode(generic=True), "strict_sft": scoring.Mode(strict=True, sft=True)}
+_SCORED = "SELECT line_no, context AS turns, context[-1] AS asked, response AS reply FROM candidate WHERE len(context) > 0 AND response IS NOT NULL"
+
+
+@query("SELECT line_no, " + ", ".join(f"{n}.s AS {n}, {n}.i AS {n}_issues" for n in _MODES) + " FROM " + " JOIN ".join(f"(SELECT line_no, round(score * 10000)::BIGINT AS s, n_issues AS i FROM ({Q.positive(_SCORED, m)})) {n}" + (" USING (line_no)" if i else "") for i, (n, m) in enumerate(_MODES.items())))
 def reply_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _wide(spark, d).where("size(context) > 0 and response is not null")
-    modes = {"normal": scoring.NORMAL, "strict": scoring.Mode(strict=True), "sft": scoring.Mode(sft=True), "generic": scoring.Mode(generic=True)}
-    return rows.select("line_no", *[scoring.positive_score("context", "response", m)["score"].alias(n) for n, m in modes.items()])
+    scored = rows.select("line_no", F.explode(F.array(F.struct(*[scoring.positive_score("context", "response", m).alias(n) for n, m in _MODES.items()]))).alias("s"))
+    return scored.select("line_no", *[F.round(F.col(f"s.{n}.score") * 10000).cast("long").alias(n) for n in _MODES], *[F.size(f"s.{n}.issues").alias(f"{n}_issues") for n in _MODES])
+
+
+_WORSE = "SELECT group_id, context AS turns, context[-1] AS asked, rejected AS reply, chosen AS best FROM group_selection WHERE len(context) > 0 AND chosen IS NOT NULL AND rejected IS NOT NULL"
+
+
+@query(f"SELECT group_id, a.s AS normal, a.i AS issues, b.s AS strict FROM (SELECT group_id, round(score * 10000)::BIGINT AS s, n_issues AS i FROM ({Q.negative(_WORSE)})) a JOIN (SELECT group_id, round(score * 10000)::BIGINT AS s FROM ({Q.negative(_WORSE, scoring.Mode(strict=True))})) b USING (group_id)")
+def worse_reply_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _wide(spark, d, "group_selection").where("size(context) > 0 and chosen is not null and rejected is not null")
+    score = lambda m: scoring.negative_score("context", "rejected", "chosen", m)
+    scored = rows.select("group_id", F.explode(F.array(F.struct(score(scoring.NORMAL).alias("a"), score(scoring.Mode(strict=True)).alias("b")))).alias("s"))
+    return scored.select("group_id", F.round(F.col("s.a.score") * 10000).cast("long").alias("normal"), F.size("s.a.issues").alias("issues"), F.round(F.col("s.b.score") * 10000).cast("long").alias("strict"))
 
 
 _RISK = " + ".join(f"CASE WHEN contains(w, {S.q(word)}) THEN {weight} ELSE 0 END" for word, weight in DEFAULT.risks)
@@ -194,9 +210,16 @@ _RISK_SQL = f"""SELECT line_no, ({_RISK} + CASE WHEN length(r) > 24 THEN 0.8 ELS
     FROM (SELECT line_no, {_R} AS r, array_to_string(context, chr(10)) || chr(10) || {_R} AS w FROM candidate)"""
 
 
-@query(f"SELECT line_no, round(risk * 1000)::BIGINT AS risk FROM ({_RISK_SQL})")
+_ROW_RISK = " + ".join([f"CASE WHEN contains(r, {S.q(w)}) THEN {v} ELSE 0 END" for w, v in DEFAULT.risks] + [f"CASE WHEN contains(a, {S.q(w)}) THEN {v} ELSE 0 END" for w, v in DEFAULT.input_risks])
+
+
+@query(
+    f"""SELECT line_no, round(risk * 1000)::BIGINT AS risk, round(row_risk * 1000)::BIGINT AS row_risk FROM ({_RISK_SQL}) JOIN (SELECT line_no, ({_ROW_RISK} + CASE WHEN length(r) > 24 THEN 0.8 ELSE 0 END + CASE WHEN length(r) - length(replace(r, '亲', '')) >= 4 THEN 0.5 ELSE 0 END)::DOUBLE AS row_risk
+    FROM (SELECT line_no, {_R} AS r, {_A} AS a FROM candidate)) USING (line_no)"""
+)
 def risk_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _wide(spark, d).select("line_no", F.round(scoring.risk_score("response", "context") * 1000).cast("long").alias("risk"))
+    risk, row = scoring.risk_score("response", "context"), scoring.record_risk(_asked(), "response")
+    return _wide(spark, d).select("line_no", F.round(risk * 1000).cast("long").alias("risk"), F.round(row * 1000).cast("long").alias("row_risk"))
 
 
 # Grouping and selection
@@ -207,34 +230,51 @@ def _pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return cands, cut(grouping.best_pairs(cands))
 
 
-@query()
+@query(f"WITH {Q.best_pairs()} SELECT context_key, chosen, rejected, category, round(score * 10000)::BIGINT AS score, pos_line_no, neg_line_no, first_line FROM best")
 def best_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d)[1].select("context_key", "chosen", "rejected", "category", F.bround("score", 4).alias("score"), "pos_line_no", "neg_line_no")
+    return _pairs(spark, d)[1].select("context_key", "chosen", "rejected", "category", F.round(F.col("score") * 10000).cast("long").alias("score"), "pos_line_no", "neg_line_no", "first_line")
 
 
-@query()
+@query(
+    f"""WITH {Q.best_pairs()} SELECT count(*) AS context_groups, count(*) FILTER (p = 0) AS no_positive, count(*) FILTER (p > 0 AND n = 0) AS no_negative, (SELECT count(*) FROM best) AS kept,
+    count(*) FILTER (p > 0 AND n > 0) - (SELECT count(*) FROM best) AS rejected FROM firsts"""
+)
 def group_stats(spark: SparkSession, d: str) -> DataFrame:
     return grouping.group_stats(*_pairs(spark, d))
 
 
 def best_reply_pairs(spark: SparkSession, d: str, top_k: int = 200) -> DataFrame:
     """Clean, score, pair, select: the flagship."""
-    pairs = _pairs(spark, d)[1].withColumn("asked_key", clean.mask_key("asked"))
-    order = [F.desc("score"), F.desc(F.size("context")), F.length("chosen"), F.asc("pos_line_no")]
-    picked = quota.diverse_topk(pairs, order, top_k, quota.category_caps(top_k))
+    picked = quota.diverse_topk(_pairs(spark, d)[1], grouping.pair_order(), top_k, quota.category_caps(top_k))
     return picked.select("rank", "pass_no", "category", "context", "chosen", "rejected", F.bround("score", 4).alias("score"), "pos_line_no", "neg_line_no")
 
 
-@query()
+_RANKED_PAIRS = f"""SELECT row_number() OVER (ORDER BY score DESC, len(context) DESC, length(chosen), first_line) AS rank, category AS k0, {S.template_key('chosen')} AS k1, {S.mask_key('asked')} AS k2, {S.template_key(S.mask_key('asked') + " || ' || ' || chosen")} AS k3, pos_line_no, neg_line_no, chosen, rejected FROM best"""
+
+
+@query(f"WITH RECURSIVE {Q.best_pairs()}, {Q.two_passes(_RANKED_PAIRS, 200, quota.category_caps(200))} SELECT p.rank, p.pass_no, r.k0 AS category, r.chosen, r.rejected, r.pos_line_no, r.neg_line_no FROM picked p JOIN r USING (rank)")
 def selected_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return best_reply_pairs(spark, d)
+    return best_reply_pairs(spark, d).select("rank", "pass_no", "category", "chosen", "rejected", "pos_line_no", "neg_line_no")
+
+
+def _capped_groups(spark: SparkSession, d: str) -> tuple:
+    rows = table(spark, d, "group_selection").withColumns({"template": clean.template_key(F.coalesce("chosen", F.lit(""))), "asked_key": clean.mask_key(_asked())})
+    rows = rows.withColumns({"pair_key": grouping.pair_key("asked_key", F.coalesce("chosen", F.lit(""))), "category": F.lower(F.trim("category"))})
+    return rows, [F.desc("score"), F.asc("group_id")], 300, quota.category_caps(300)
 
 
-@query()
+_RANKED_GROUPS = f"""SELECT group_id, row_number() OVER (ORDER BY score DESC, group_id) AS rank, coalesce(nullif(lower(trim(category)), ''), 'other') AS k0, {S.template_key("coalesce(chosen, '')")} AS k1, {S.mask_key(_A)} AS k2, {S.template_key(S.mask_key(_A) + " || ' || ' || coalesce(chosen, '')")} AS k3 FROM group_selection"""
+_TOP_GROUPS = f"WITH RECURSIVE {Q.two_passes(_RANKED_GROUPS, 300, quota.category_caps(300))}"
+
+
+@query(f"{_TOP_GROUPS} SELECT group_id, rank, pass_no FROM picked JOIN r USING (rank)")
 def quota_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "group_selection").withColumns({"template": clean.template_key("chosen"), "asked_key": clean.mask_key(_asked()), "pair_key": F.concat_ws(" => ", _asked(), "chosen")})
-    rows = rows.withColumn("category", F.coalesce(F.lower(F.trim("category")), F.lit("")))
-    return quota.diverse_topk(rows, [F.desc("score"), F.asc("group_id")], 300, quota.category_caps(300)).select("group_id", "rank", "pass_no", "category")
+    return quota.diverse_topk(*_capped_groups(spark, d)).select("group_id", "rank", "pass_no")
+
+
+@query(f"{_TOP_GROUPS} {Q.counters(['drop_category', 'drop_template', 'drop_question', 'drop_pair'])}")
+def quota_drops(spark: SparkSession, d: str) -> DataFrame:
+    return quota.topk_counters(*_capped_groups(spark, d))
 
 
 @query("SELECT count(*) AS total_lines, count(*) FILTER (label IS NULL) AS parse_failed, count(*) FILTER (label = 0) AS label_0, count(*) FILTER (label = 1) AS label_1 FROM candidate")
@@ -335,18 +375,20 @@ def scenario_cross_wrapper(spark: SparkSession, d: str) -> DataFrame:
 # Repair
 
 
-@query()
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    return repair.with_keys(repair.repair_pairs(_wide(spark, d, "repair_group")))
+
+
+@query(f"WITH {Q.repaired()} SELECT repair_id, kind AS repair_category, text AS repaired_chosen, worse AS repaired_rejected, round(repair_score * 10000)::BIGINT AS repair_score, array_to_string(list_sort(list_distinct(all_issues)), ',') AS issues FROM repaired")
 def repaired_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = repair.repair_pairs(_wide(spark, d, "repair_group"))
-    return rows.select("repair_id", "repair_category", "repaired_chosen", "repaired_rejected", F.bround("repair_score", 4).alias("repair_score"), F.array_join("repair_issues", ",").alias("issues"))
+    return rows.select("repair_id", "repair_category", "repaired_chosen", "repaired_rejected", F.round(F.col("repair_score") * 10000).cast("long").alias("repair_score"), F.array_join(F.array_sort("repair_issues"), ",").alias("issues"))
 
 
-@query()
+@query(Q.repaired_selection(300))
 def repaired_selection(spark: SparkSession, d: str) -> DataFrame:
-    rows = repair.repair_pairs(_wide(spark, d, "repair_group")).withColumns({"template": clean.repair_key("repaired_chosen"), "asked_key": clean.compact(_asked())})
-    order = [F.desc("repair_score"), F.desc(F.coalesce(F.col("source") == "manual_round2", F.lit(False))), F.length("repaired_chosen"), F.asc("repair_id")]
-    caps = {n: int(500 * s) for n, s in quota.REPAIR_SHARES.items()}
-    return quota.diverse_repaired(rows, order, 500, caps, "template", "asked_key", "repair_category").select("repair_id", "rank", "pass_no", "repair_category")
+    caps = {n: int(300 * s) for n, s in quota.REPAIR_SHARES.items()}
+    return quota.diverse_repaired(_repaired(spark, d), repair.order([F.asc("repair_id")]), 300, caps, "template", "asked_key", "repair_category", same=repair.SAME).select("repair_id", "rank", "pass_no", "repair_category")
 
 
 def _pick_sql() -> str:
@@ -442,12 +484,49 @@ def completion_suffixes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "repair_group").where("chosen is not null").select("repair_id", chat.terminated(F.col("chosen")).alias("a"), chat.terminated(F.col("chosen"), "both").alias("b"))
 
 
-@query()
+def _preference_sql() -> str:
+    head = f"^(?i)(用户|买家|user|客服|卖家|assistant|系统|system){S.WS}*[：:]"
+    start, word, body, line = f"regexp_matches({S.strip('l')}, {S.q(head)})", f"lower(regexp_extract({S.strip('l')}, {S.q(head)}, 1))", S.strip(S.sub(S.strip("l"), head, "")), S.strip("l")
+    role = f"CASE WHEN {word} IN ('客服', '卖家', 'assistant') THEN 'assistant' WHEN {word} IN ('系统', 'system') THEN 'system' ELSE 'user' END"
+    text = f"array_to_string(list_transform(list_filter(string_split({S.plain_text('p')}, chr(10)), lambda l: {line} <> ''), lambda l, i: CASE WHEN {start} THEN chr(2) || {role} || chr(1) || {body} WHEN i = 1 THEN chr(2) || 'user' || chr(1) || {line} ELSE chr(10) || {line} END), '')"
+    turns = f"list_filter(list_transform(string_split({text}, chr(2))[2:], lambda m: {{'role': split_part(m, chr(1), 1), 'content': {S.strip('split_part(m, chr(1), 2)')}}}), lambda m: m.content <> '')"
+    done = lambda c: f"CASE WHEN ends_with({c}, '<|im_end|>') OR ends_with({c}, '<|endoftext|>') THEN {c} ELSE {c} || '<|im_end|>' END"
+    system = f"CASE WHEN t[1].role = 'system' THEN list_concat([{_SYSTEM}], t[2:]) ELSE list_concat([{_SYSTEM}], t) END"
+    return f"""SELECT repair_id, {_ML.format(f'({system})')} || '<|im_start|>assistant' || chr(10) AS prompt, {done('c')} AS chosen, {done('j')} AS rejected
+    FROM (SELECT repair_id, {turns} AS t, c, j FROM (SELECT repair_id, {_LINES} AS p, {S.plain_text('chosen')} AS c, {S.plain_text('rejected')} AS j FROM repair_group)) WHERE c <> '' AND j <> '' AND c <> j AND t[len(t)].role = 'user'"""
+
+
+@query(_preference_sql())
 def preference_texts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "repair_group").select("repair_id", chat.prompt_lines("context").alias("prompt"), "chosen", "rejected")
     return chat.convert_preferences(rows)
 
 
+@query(f"SELECT repair_id, p AS prompt, CASE WHEN ends_with(c, '<|im_end|>') OR ends_with(c, '<|endoftext|>') THEN c ELSE c || '<|im_end|>' END AS completion FROM (SELECT repair_id, {S.plain_text(_LINES)} AS p, {S.plain_text('chosen')} AS c FROM repair_group) WHERE p <> '' AND c <> ''")
+def completion_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "repair_group").select("repair_id", chat.prompt_lines("context").alias("prompt"), F.col("chosen").alias("completion"))
+    return chat.convert_rows(rows)
+
+
+@query(
+    f"""SELECT msg_id, CASE WHEN len(t) > 0 THEN {_ML.format(f"list_concat([{_SYSTEM}], list_filter(t, lambda m, i: NOT (i = 1 AND m.role = 'system')))")} || '<|im_start|>assistant' || chr(10) WHEN s <> '' THEN {_ML.format(f"list_concat([{_SYSTEM}], [{{'role': 'user', 'content': s}}])")} || '<|im_start|>assistant' || chr(10) END AS prompt
+    FROM (SELECT msg_id, {S.plain_text('source')} AS s, CASE WHEN t[len(t)].role = 'assistant' THEN t[1:len(t) - 1] ELSE t END AS t FROM (SELECT msg_id, source, {_NORMAL} AS t FROM messages_sft))"""
+)
+def preference_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _wide(spark, d, "messages_sft").select("msg_id", chat.preference_prompt(F.lit(""), F.col("messages"), F.col("source")).alias("prompt"))
+
+
+@query(
+    f"""SELECT line_no, {S.q(chat.SYSTEM)} AS instruction, {S.q(chat.TASK)} || chr(10) || chr(10) || '客服：' || city || chr(10) || '用户：' || a || chr(10) || '客服：' AS input, response AS output, 4 AS messages
+    FROM (SELECT line_no, shop_id, context[-1] AS a, response FROM candidate WHERE len(context) > 0 AND response IS NOT NULL) JOIN (SELECT shop_id, city FROM shop WHERE city IS NOT NULL) USING (shop_id)"""
+)
+def made_dialogues(spark: SparkSession, d: str) -> DataFrame:
+    rows = _candidate(spark, d).where("size(context) > 0 and response is not null").join(table(spark, d, "shop").where("city is not null").select("shop_id", "city"), "shop_id")
+    turns = chat.dialogue_turns(F.array(chat.message("assistant", F.col("city"))), F.array().cast(chat.MESSAGES), _asked())
+    made = rows.select("line_no", chat.turns_sample(turns, F.col("response")).alias("r"), F.size(chat.turns_messages(turns, F.col("response"))).alias("messages"))
+    return made.select("line_no", "r.*", "messages")
+
+
 @query("SELECT line_no, label::VARCHAR || chr(9) || array_to_string(context, chr(9)) || chr(9) || response AS line FROM candidate WHERE response IS NOT NULL AND context IS NOT NULL")
 def raw_lines(spark: SparkSession, d: str) -> DataFrame:
     return _candidate(spark, d).where("response is not null and context is not null").select("line_no", writers.raw_line("label", "context", "response").alias("line"))
@@ -472,10 +551,12 @@ def align_two_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH a0 AS (SELECT group_id, pos_line_no, neg_line_no, row_number() OVER (PARTITION BY pos_line_no, neg_line_no ORDER BY group_id) AS n FROM group_selection), b0 AS (SELECT repair_id, pos_line_no, neg_line_no, row_number() OVER (PARTITION BY pos_line_no, neg_line_no ORDER BY repair_id) AS n FROM repair_group),
-    m0 AS (SELECT group_id, repair_id, 0 AS level FROM a0 JOIN b0 USING (pos_line_no, neg_line_no, n)),
-    a1 AS (SELECT group_id, pos_line_no, row_number() OVER (PARTITION BY pos_line_no ORDER BY group_id) AS n FROM group_selection WHERE group_id NOT IN (SELECT group_id FROM m0)), b1 AS (SELECT repair_id, pos_line_no, row_number() OVER (PARTITION BY pos_line_no ORDER BY repair_id) AS n FROM repair_group WHERE repair_id NOT IN (SELECT repair_id FROM m0))
-    SELECT * FROM m0 UNION ALL SELECT group_id, repair_id, 1 FROM a1 JOIN b1 USING (pos_line_no, n)"""
+    """WITH RECURSIVE items AS (SELECT group_id, row_number() OVER (ORDER BY group_id) AS n, pos_line_no AS p, neg_line_no AS q FROM group_selection),
+    fine AS (SELECT n, list(repair_id ORDER BY repair_id) AS f FROM items JOIN repair_group r ON r.pos_line_no = p AND r.neg_line_no = q GROUP BY 1), wide AS (SELECT n, list(repair_id ORDER BY repair_id) AS w FROM items JOIN repair_group r ON r.pos_line_no = p GROUP BY 1),
+    both_ AS MATERIALIZED (SELECT n, group_id, coalesce(f, []) AS f, coalesce(w, []) AS w FROM items LEFT JOIN fine USING (n) LEFT JOIN wide USING (n)),
+    walk AS (SELECT 0::BIGINT AS n, 0::BIGINT AS group_id, []::BIGINT[] AS used, NULL::BIGINT AS a, NULL::BIGINT AS b UNION ALL
+      SELECT n, group_id, CASE WHEN coalesce(a, b) IS NULL THEN used ELSE list_append(used, coalesce(a, b)) END, a, b FROM (SELECT i.n, i.group_id, used, list_filter(i.f, lambda e: NOT list_contains(used, e))[1] AS a, list_filter(i.w, lambda e: NOT list_contains(used, e))[1] AS b FROM walk JOIN both_ i ON i.n = walk.n + 1))
+    SELECT group_id, coalesce(a, b) AS repair_id, CASE WHEN a IS NULL THEN 1 ELSE 0 END AS level FROM walk WHERE coalesce(a, b) IS NOT NULL"""
 )
 def cascade_match(spark: SparkSession, d: str) -> DataFrame:
     return joins.cascade(table(spark, d, "group_selection"), table(spark, d, "repair_group"), [["pos_line_no", "neg_line_no"], ["pos_line_no"]], "group_id", "repair_id")
@@ -515,19 +596,33 @@ def _evaluated(spark: SparkSession, d: str) -> DataFrame:
     return reports.evaluated(_wide(spark, d, "repair_group").select("repair_id", F.col("rejected").alias("prediction"), F.col("chosen").alias("reference")))
 
 
-@query()
+_METRICS = f"""WITH RECURSIVE texts AS MATERIALIZED (SELECT repair_id, ({S.strip("coalesce(chosen, '')")} = {S.strip("coalesce(rejected, '')")})::INT AS em, {_CHARS.format(_BARE('rejected'))} AS x, {_CHARS.format(_BARE('chosen'))} AS y FROM repair_group),
+    lcs AS (SELECT repair_id, x, y, 0 AS i, list_transform(y, lambda e: 0) AS row_ FROM texts UNION ALL
+      SELECT repair_id, x, y, i + 1, list_transform(y, lambda e, j: greatest(row_[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda k: y[k] = x[i + 1]), lambda k: coalesce(row_[k - 1], 0) + 1)), 0))) FROM lcs WHERE i < len(x)),
+    longest AS (SELECT repair_id, coalesce(arg_max(row_[len(y)], i), 0) AS l FROM lcs GROUP BY 1),
+    counted AS (SELECT texts.*, l, len(x) AS n, len(y) AS m, coalesce(list_sum(list_transform(list_distinct(x), lambda c: least(len(list_filter(x, lambda e: e = c)), len(list_filter(y, lambda e: e = c))))), 0)::INT AS common FROM texts JOIN longest USING (repair_id)),
+    scored AS (SELECT repair_id, em AS exact_match, round_even(CASE WHEN common > 0 THEN 2 * (common / n::DOUBLE) * (common / m::DOUBLE) / (common / n::DOUBLE + common / m::DOUBLE) ELSE 0 END, 6) AS char_f1,
+      round_even(CASE WHEN n > 0 AND m > 0 THEN (1 + 1.44::DOUBLE) * (l / n::DOUBLE) * (l / m::DOUBLE) / (l / m::DOUBLE + 1.44::DOUBLE * (l / n::DOUBLE) + 1e-12) ELSE 0 END, 6) AS rouge_l FROM counted)"""
+_MILLIONTHS = "round(char_f1 * 1000000)::BIGINT AS char_f1, round(rouge_l * 1000000)::BIGINT AS rouge_l"
+
+
+def _millionths(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(F.col(n) * 1000000).cast("long") for n in names})
+
+
+@query(f"{_METRICS} SELECT repair_id, {_MILLIONTHS}, exact_match FROM scored")
 def rouge_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _evaluated(spark, d).select("repair_id", "char_f1", "rouge_l", "exact_match")
+    return _millionths(_evaluated(spark, d).select("repair_id", "char_f1", "rouge_l", "exact_match"), "char_f1", "rouge_l")
 
 
-@query()
+@query(f"{_METRICS} SELECT repair_id, {_MILLIONTHS}, exact_match FROM (SELECT * FROM scored ORDER BY char_f1, rouge_l, exact_match, repair_id LIMIT 100)")
 def bad_cases(spark: SparkSession, d: str) -> DataFrame:
-    return reports.bad_cases(_evaluated(spark, d), 100, "repair_id").select("repair_id", "char_f1", "rouge_l", "exact_match")
+    return _millionths(reports.bad_cases(_evaluated(spark, d), 100, "repair_id").select("repair_id", "char_f1", "rouge_l", "exact_match"), "char_f1", "rouge_l")
 
 
-@query()
+@query(f"{_METRICS} SELECT count(*) AS rows, {', '.join(f'round(avg({n}) * 100000)::BIGINT AS {n}' for n in ('exact_match', 'char_f1', 'rouge_l'))} FROM scored")
 def metric_means(spark: SparkSession, d: str) -> DataFrame:
-    return reports.metric_means(_evaluated(spark, d))
+    return reports.metric_means(_evaluated(spark, d)).withColumns({n: F.round(F.col(n) * 100000).cast("long") for n in ("exact_match", "char_f1", "rouge_l")})
 
 
 _OUTCOME = "CASE WHEN chosen_logprob IS NULL OR rejected_logprob IS NULL OR isnan(chosen_logprob) OR isnan(rejected_logprob) OR isinf(chosen_logprob) OR isinf(rejected_logprob) THEN 'error' WHEN chosen_logprob > rejected_logprob THEN 'win' WHEN chosen_logprob = rejected_logprob THEN 'tie' ELSE 'loss' END"
@@ -555,11 +650,11 @@ def baseline_deltas(spark: SparkSession, d: str) -> DataFrame:
     return out.select("run_name", "accuracy", "accuracy_delta", "tie_rate_delta")
 
 
-@query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity) * 100)::BIGINT AS loss, sum(l_quantity)::BIGINT AS tokens FROM lineitem GROUP BY 1")
+@query("SELECT l_returnflag, round(sum(l_extendedprice * l_quantity) / sum(l_quantity) * 100)::BIGINT AS loss, round(sum(l_linenumber) / sum(l_quantity) * 1000000)::BIGINT AS accuracy, sum(l_quantity)::BIGINT AS tokens FROM lineitem GROUP BY 1")
 def token_weighted_mean(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("loss"), F.col("l_quantity").alias("tokens"), F.lit(0.0).alias("correct"))
+    rows = table(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("loss"), F.col("l_quantity").alias("tokens"), F.col("l_linenumber").alias("correct"))
     out = reports.weighted_loss(rows, by=["l_returnflag"])
-    return out.select("l_returnflag", F.round(F.col("loss") * 100).cast("long").alias("loss"), F.col("tokens").cast("long").alias("tokens"))
+    return out.select("l_returnflag", F.round(F.col("loss") * 100).cast("long").alias("loss"), F.round(F.col("token_accuracy") * 1000000).cast("long").alias("accuracy"), F.col("tokens").cast("long").alias("tokens"))
 
 
 @query("SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) * 10000)::BIGINT AS smoothed FROM events")
@@ -568,21 +663,42 @@ def moving_average(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "user_id", F.round(reports.moving_average("value", "event_id", 5, ["user_id"]) * 10000).cast("long").alias("smoothed"))
 
 
-@query("SELECT event_type, max(floor(try_cast(value AS DOUBLE)))::BIGINT AS peak_mb FROM events GROUP BY 1")
+@query("SELECT event_type, max(floor(try_cast(value AS DOUBLE)))::BIGINT AS peak_mb, quantile_disc(floor(try_cast(value AS DOUBLE)), 0.95)::BIGINT AS p95_mb FROM events GROUP BY 1")
 def telemetry_peak(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select("event_type", F.col("value").cast("string").alias("memory_used_mb"))
-    return reports.telemetry_peaks(rows, ["event_type"]).select("event_type", "peak_mb")
+    return reports.telemetry_peaks(rows, ["event_type"])
 
 
-@query("SELECT repair_id FROM repair_group WHERE contains(lower(concat_ws(' ', chosen, rejected)), 'lex')")
+@query("SELECT repair_id FROM repair_group WHERE contains(lower(concat_ws(' ', source, chosen, rejected)), 'lex')")
 def keyword_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "repair_group").where(P.mentions(["chosen", "rejected"], "LEX")).select("repair_id")
+    return table(spark, d, "repair_group").where(P.mentions(["source", "chosen", "rejected"], "LEX")).select("repair_id")
 
 
-@query("SELECT kind, value, n FROM (SELECT 'category' AS kind, category AS value, count(*) AS n FROM group_selection GROUP BY 2)")
+@query(
+    f"""WITH k AS (SELECT category, {S.template_key("coalesce(chosen, '')")} AS t, {S.mask_key(_A)} AS q FROM group_selection) SELECT 'category' AS kind, category AS value, count(*) AS n FROM k GROUP BY 2
+    UNION ALL (SELECT 'template', t, count(*) AS n FROM k GROUP BY 2 ORDER BY n DESC, t LIMIT 80) UNION ALL (SELECT 'question', q, count(*) AS n FROM k GROUP BY 2 ORDER BY n DESC, q LIMIT 80)"""
+)
 def selection_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "group_selection").withColumns({"template": F.lit(""), "asked_key": F.lit("")})
-    return writers.selection_stats(rows).where("kind = 'category'")
+    rows = _wide(spark, d, "group_selection").withColumns({"template": clean.template_key(F.coalesce("chosen", F.lit(""))), "asked_key": clean.mask_key(_asked())})
+    return writers.selection_stats(rows)
+
+
+@query(
+    f"SELECT c.*, CASE WHEN run_name = 'dpo_mix' THEN round((b.a - accuracy) / b.a * 1000) WHEN run_name = 'sft_base' THEN 0 END::DOUBLE AS saving FROM (SELECT run_name, accuracy FROM ({_SUMMARY})) c, (SELECT accuracy AS a FROM ({_SUMMARY}) WHERE run_name = 'sft_base') b"
+)
+def run_saving(spark: SparkSession, d: str) -> DataFrame:
+    out = joins.saving(preference_summary(spark, d).select("run_name", "accuracy"), "run_name", "dpo_mix", "sft_base", "accuracy")
+    return out.withColumn("saving", F.round(F.col("saving") * 10))
+
+
+@query(
+    """SELECT s.run_name, s.step, d.seconds, d.seconds IS NOT NULL AS skip FROM (SELECT DISTINCT run_name, unnest(['train', 'eval', 'collect']) AS step FROM preference_rows WHERE run_name IN ('sft_base', 'dpo_mix')) s
+    LEFT JOIN (SELECT run_name, 'eval' AS step, max(chosen_tokens) AS seconds FROM preference_rows WHERE error IS NULL GROUP BY 1) d USING (run_name, step)"""
+)
+def run_steps(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "preference_rows")
+    done = rows.where("error is null").select("run_name", F.lit("eval").alias("step"), F.col("chosen_tokens").alias("seconds"))
+    return reports.run_steps(rows.select("run_name").distinct(), done, ["sft_base", "dpo_mix"], key="run_name")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -124,19 +124,21 @@ def found(x: str, words: tuple[str, ...]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN contains({x}, {q(w)}) THEN {q(w)} END" for w in words) + "], lambda e: e IS NOT NULL)"
 
 
+def tight(x: str) -> str:
+    return f"replace({x}, ' ', '')"
+
+
 def question_strength(x: str, pack: Pack = DEFAULT) -> str:
-    return f"(regexp_matches({x}, '[?？]')::INT + {hits(x, pack.questions)})"
+    return f"(regexp_matches({tight(x)}, '[?？]')::INT + {hits(tight(x), pack.questions)})"
 
 
 def low_info(x: str, pack: Pack = DEFAULT) -> str:
-    text = f"replace({strip(x)}, ' ', '')"
-    mark = "[，。！？；!?;,]"
-    bare = sub(text, f"^{mark}+|{mark}+$", "")
-    return f"({bare} IN ({', '.join(map(q, pack.low_info))}) OR length({text}) <= 4 OR (length({text}) <= 8 AND NOT {any_of(text, pack.actions)}))"
+    text = tight(x)
+    return f"({text} IN ({', '.join(map(q, pack.low_info))}) OR length({text}) <= 4 OR (length({text}) <= 8 AND NOT {any_of(text, pack.actions)}))"
 
 
 def garbage(x: str) -> str:
-    text = strip(x)
+    text = tight(x)
     return f"({text} = '' OR {text} IN ('<ID>', '<PHONE>', '<NUM>', '<YEAR>') OR regexp_matches({text}, '^[^\\p{{L}}\\p{{Nl}}\\p{{M}}\\p{{Nd}}\\x{{200c}}\\x{{200d}}]+$') OR (regexp_matches({text}, '[A-Za-z]{{2,}}') AND NOT regexp_matches({text}, {q(HAN)})))"
 
 

@@ -24,6 +24,7 @@ LOCAL_CONF = {
 }
 
 _SHIPPED: set[str] = set()
+_TABLES: dict[str, list[str]] = {}
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", app: str = "dialoom") -> SparkSession:
@@ -76,6 +77,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         made = tempfile.mkdtemp(prefix="dialoom-")
         context.setCheckpointDir(made)
@@ -86,12 +89,18 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and go on from there, so that
     neither a lost executor nor a second use runs its plan again."""
-    path = f"{shared_folder(df.sparkSession)}/dialoom-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/dialoom-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def bytes_of(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of `df`, for choosing a join strategy."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+def drop_cuts(spark: SparkSession) -> int:
+    """Remove the tables that `cut` has written in this application, and return
+    their number. To be called once no result that reads them is needed."""
+    paths = _TABLES.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

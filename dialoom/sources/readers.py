@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from dialoom.functions.clean import clean_document, clean_turn, context_key, repair_clean, strip, without_agent
+from dialoom.operators.quota import ranked
 from dialoom.session import cut
 
 ALPACA = "instruction string, input string, output string"
 MESSAGES = "messages array<struct<role:string,content:string>>"
 PREVIEW = "score double, category string, context array<string>, chosen string, rejected string, chosen_issues array<string>, rejected_issues array<string>, pos_line_no bigint, neg_line_no bigint"
-PREDICTIONS = "results array<struct<id:int,source_index:int,prompt:string,prediction:string,reference:string,messages:array<struct<role:string,content:string>>>>"
+PREDICTION = "id int, source_index int, prompt string, prediction string, reference string, messages array<struct<role:string,content:string>>"
 TRAINER_LOG = "log_history array<struct<step:int,epoch:double,loss:double,eval_loss:double,learning_rate:double,mean_token_accuracy:double>>"
 TELEMETRY = "timestamp string, index string, name string, memory_used_mb string, memory_total_mb string, utilization_gpu_pct string, power_draw_w string"
 
@@ -65,13 +66,13 @@ def read_dialogues_strict(spark: SparkSession, path: str, clean=repair_clean) ->
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON arrays or JSONL, told by the name; `results` inside an object is taken
-    out."""
+    """JSON arrays or JSONL, told by the name; rows inside an object's `results` are
+    taken out, whatever the schema."""
     if path.rstrip("/*").endswith(".jsonl"):
         return spark.read.schema(schema).json(path)
-    if schema == PREDICTIONS:
-        return spark.read.option("multiLine", True).schema(PREDICTIONS).json(path).selectExpr("inline(results)")
-    return spark.read.option("multiLine", True).schema(schema).json(path)
+    names = spark.createDataFrame([], schema).columns
+    rows = spark.read.option("multiLine", True).schema(f"{schema}, results array<struct<{schema}>>").json(path)
+    return rows.select(F.inline(F.coalesce("results", F.array(F.struct(*names)))))
 
 
 def read_ranked(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -90,8 +91,13 @@ def with_meta(groups: DataFrame, meta: DataFrame, key: str = "run_key", shifted:
     """Groups with their preview data; defaults are score 0 and no line numbers.
     `shifted` looks each run up under the key of the run after it (the last under
     its own), as an older program did."""
-    look = F.coalesce(F.lead(key).over(W.orderBy(order)), F.col(key)) if shifted else F.col(key)
-    return groups.withColumn("_look", look).join(meta.withColumnRenamed("context_key", "_look"), "_look", "left").withColumn("source_score", F.coalesce("source_score", F.lit(0.0))).drop("_look")
+    rows = groups.withColumn("_look", F.col(key))
+    if shifted:
+        # Ranked in range partitions, then joined with the run after it: no global window.
+        rows = cut(ranked(groups, [F.asc(order)]))
+        after = rows.select((F.col("rank") - 1).alias("rank"), F.col(key).alias("_next"))
+        rows = rows.join(after, "rank", "left").withColumn("_look", F.coalesce("_next", key)).drop("rank", "_next")
+    return rows.join(meta.withColumnRenamed("context_key", "_look"), "_look", "left").withColumn("source_score", F.coalesce("source_score", F.lit(0.0))).drop("_look")
 
 
 def read_manual(spark: SparkSession, path: str | None) -> DataFrame:

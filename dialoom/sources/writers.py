@@ -91,3 +91,16 @@ def first_rows(df: DataFrame, order: list[Column], n: int = 2) -> DataFrame:
 def run_summary(df: DataFrame, **settings: str) -> DataFrame:
     """One row of counts and settings."""
     return df.agg(F.count("*").alias("rows")).withColumns({k: F.lit(v) for k, v in settings.items()} or {"stage": F.lit("pre_train")})
+
+
+def backup(spark, paths: list[str], root: str, stamp: str) -> str:
+    """Copies of those of the paths that exist, in a folder named by the stamp; the
+    folder. Outputs never replace inputs here, so this is for keeping a state."""
+    hadoop = spark._jvm.org.apache.hadoop
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folder = f"{root}/backup_{stamp}"
+    for path in paths:
+        source, target = hadoop.fs.Path(path), hadoop.fs.Path(f"{folder}/{path.rstrip('/').rsplit('/', 1)[-1]}")
+        if source.getFileSystem(conf).exists(source):
+            hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, target.getFileSystem(conf), target, False, True, conf)
+    return folder

@@ -21,16 +21,34 @@ def sequential(rows, caps, stop=None):
     return out
 
 
-def test_quota_is_sequential(spark):
+def test_quota_is_sequential(spark, monkeypatch):
     for seed in range(3):
         rnd = random.Random(seed)
         rows = [(i, rnd.choice("abc"), rnd.choice("wxyz"), str(rnd.randint(0, 20))) for i in range(1, 120)]
         df = spark.createDataFrame(rows, "rank long, k0 string, k1 string, k2 string").withColumns({"c0": F.lit(30.0), "c1": F.lit(12.0), "c2": F.lit(2.0)})
         keys, caps = ["k0", "k1", "k2"], ["c0", "c1", "c2"]
-        want = sequential(rows, (30, 12, 2))
-        assert {r.rank: r.drop_key for r in quota.greedy(df, keys, caps).collect()} == want
-        assert {r.rank: r.drop_key for r in quota.peel(df, keys, caps).collect()} == want
-        assert {r.rank: r.drop_key for r in quota.greedy(df, keys, caps, 9).collect()} == sequential(rows, (30, 12, 2), 9)
+        # Walks of any length give the same decisions.
+        for walk, stop in ((200, 200), (7, 200), (25, 9)):
+            monkeypatch.setattr(quota, "WALK_ROWS", walk)
+            done = quota.accepted(df, keys, caps, stop)
+            got = {r.rank: r.drop_key for r in quota.decide(df, keys, caps, done, stop).collect()}
+            assert got == sequential(rows, (30, 12, 2), stop)
+
+
+def test_missing_category_is_other(spark):
+    rows = [(i, float(-i), c, f"t{i}", f"q{i}", f"p{i}") for i, c in enumerate([None, " ", "other", "x", None])]
+    df = spark.createDataFrame(rows, "id int, score double, category string, template string, asked_key string, pair_key string")
+    got = {r.id: r.pass_no for r in quota.diverse_topk(df, [F.desc("score")], 4, {"other": 2}).collect()}
+    assert got == {0: 1, 1: 1, 3: 1, 2: 2}
+    counters = {r.reason: r.n for r in quota.topk_counters(df, [F.desc("score")], 4, {"other": 2}).collect()}
+    assert counters == {"drop_category": 2, "selected_pass_1": 3, "selected_pass_2": 1}
+
+
+def test_fill_takes_a_pair_once(spark):
+    rows = [(i, float(-i), k, "q", "c") for i, k in enumerate("aabbc")]
+    df = spark.createDataFrame(rows, "id int, score double, t string, q string, category string")
+    got = {r.id: r.pass_no for r in quota.diverse_repaired(df, [F.desc("score")], 5, {}, "t", "q", same=("t",)).collect()}
+    assert got == {0: 1, 1: 1, 2: 2, 4: 2}  # two of a question; of b and c one each
 
 
 def test_two_passes(spark):
@@ -69,6 +87,27 @@ def test_runs_and_last_write(spark):
     assert {(p.k, p.chosen, p.rejected) for p in pairs} == {("A", "r4", "r1"), ("B", "r2", "r3")}
 
 
+def test_runs_over_partitions(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice([1, 2, None]), rnd.choice("AAB")) for i in range(300)]
+    df = spark.createDataFrame(rows, "line_no long, g int, k string").repartition(5)
+    for within in (None, ["g"]):
+        want, state = {}, {}
+        for i, g, k in rows:
+            key = g if within else 0
+            n, last = state.get(key, (0, object()))
+            state[key] = (n + (k != last), k)
+            want[i] = state[key][0]
+        assert {r.line_no: r.run_id for r in grouping.run_ids(df, F.col("k"), "line_no", within).collect()} == want
+
+
+def test_trimmed_texts_go_on(spark):
+    ctx = ["退款多久到账呢？"]
+    rows = [(1, 1, ctx, "退款一般三天内到账，已经帮您登记退款了，请核对一下收货地址"), (2, 0, [" ", *ctx], "这个问题不清楚，您看着办吧，请核对一下收货地址")]
+    pairs = grouping.best_pairs(grouping.candidates(spark.createDataFrame(rows, "line_no long, label int, context array<string>, response string"))).collect()
+    assert pairs[0].chosen == "退款一般三天内到账，已经帮您登记退款了" and pairs[0].rejected == "这个问题不清楚，您看着办吧" and pairs[0].first_line == 1
+
+
 def test_splits_and_noise(spark):
     df = spark.range(103).withColumns({"category": F.when(F.col("id") % 4 == 0, "a").otherwise("b"), "score": F.col("id").cast("double"), "chosen": F.lit("c"), "rejected": F.lit("r")})
     split = splits.pattern_split(df, "category", [F.desc("score"), F.asc("id")])
@@ -108,6 +147,12 @@ def test_cascade_and_baseline(spark):
     b = spark.createDataFrame([(10, "x", "p"), (11, "z", "w")], "j int, h string, r string")
     got = {(r.i, r.j, r.level) for r in joins.cascade(a, b, [["h", "r"], ["h"]], "i", "j").collect()}
     assert got == {(1, 10, 0), (3, 11, 1)}
+    assert joins.cascade(a, b, [["h", "r"], ["h"]], "i", "j", complete=True).count() == 0
+    # Row 1 has no partner at the first level and takes the one that row 2 would match best.
+    c = spark.createDataFrame([(10, "x", "q")], "j int, h string, r string")
+    assert {(r.i, r.j, r.level) for r in joins.cascade(a, c, [["h", "r"], ["h"]], "i", "j").collect()} == {(1, 10, 1)}
+    one = spark.createDataFrame([("s", 6.0), ("l", 8.0), ("z", 1.0)], "run string, m double")
+    assert {r.run: r.saving for r in joins.saving(one, "run", "s", "l", "m").collect()} == {"s": 25.0, "l": 0.0, "z": None}
     runs = spark.createDataFrame([("base", 0.0, 2.0), ("x", 1.0, 3.0), ("y", None, 1.0)], "run string, a double, b double")
     out = {r.run: (r.a_delta, r.b_delta) for r in joins.against_baseline(runs, "run", "base", ["a", "b"]).collect()}
     assert out == {"base": (0.0, 0.0), "x": (1.0, 1.0), "y": (None, -1.0)}

@@ -37,7 +37,7 @@ def test_json(spark, tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"meta": {}, "results": [{"id": 1, "prompt": "q"}]}))
     (tmp_path / "b.jsonl").write_text('{"score": 1.5, "context": ["a"]}\n\n{"score": 2.5, "context": ["a"]}\n')
     assert readers.read_records(spark, str(tmp_path / "a.json"), readers.ALPACA).first().output == "y"
-    assert readers.read_records(spark, str(tmp_path / "p.json"), readers.PREDICTIONS).first().prompt == "q"
+    assert readers.read_records(spark, str(tmp_path / "p.json"), readers.PREDICTION).first().prompt == "q"
     ranked = readers.read_ranked(spark, str(tmp_path / "b.jsonl"), readers.PREVIEW)
     assert sorted(r.selection_rank for r in ranked.collect()) == [1, 3]
     assert readers.preview_meta(ranked).first().source_score == 2.5
