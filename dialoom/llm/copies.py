@@ -24,7 +24,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from dialoom.llm.forms import Fold
-from dialoom.llm.lookalike import fold_for
 from dialoom.session import cut
 
 #: Deleted before comparing: punctuation, blanks, controls and these signs.
@@ -82,11 +81,11 @@ class Canon:
 
 def canonical_records(df: DataFrame, key: str, context: str, response: str) -> DataFrame:
     """`key, hash, canon`: the comparison form and a hash to spread it evenly."""
-    send = df.sparkSession.sparkContext.broadcast((fold_for(df, [context, response]), field_names(df, context)))
+    # Which texts get one form depends on shapes alone; scores decide its spelling only.
+    send = df.sparkSession.sparkContext.broadcast(field_names(df, context))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, names = send.value
-        canon = Canon(Fold(counts), names)
+        canon = Canon(Fold(), send.value)
         for pdf in batches:
             forms = [canon.record(c, r) for c, r in zip(pdf[context], pdf[response])]
             yield pd.DataFrame({key: pdf[key], "canon": forms})

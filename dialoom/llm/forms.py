@@ -39,6 +39,13 @@ _KEPT_CONTROLS = "\t\n\r\v\f\x85"
 _IGNORED = [0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, 0xFEFF, *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), *range(0xE0000, 0xE1000)]
 
 
+def _digraph(ch: str) -> bool:
+    """A letter that is two Latin letters side by side, like the digraphs of Croatian."""
+    plain = unicodedata.normalize("NFKD", ch)
+    letters = [c for c in plain if c.isalpha()]
+    return len(letters) == 2 and "LATIN" in unicodedata.name(ch, "") and all("LATIN" in unicodedata.name(c, "") for c in letters)
+
+
 def _simple_map() -> dict[int, str | None]:
     """Per code point: deleted, a plain blank, or the same shape elsewhere."""
     out: dict[int, str | None] = {}
@@ -57,7 +64,8 @@ def _simple_map() -> dict[int, str | None]:
             tag, _, rest = unicodedata.decomposition(ch).partition(" ")
             if tag in ("<wide>", "<narrow>"):
                 out[code] = unicodedata.normalize("NFKC", ch)
-            elif 0x2E80 <= code < 0x2FE0 and tag == "<compat>":
+            elif tag == "<compat>" and (0x2E80 <= code < 0x2FE0 or unicodedata.name(ch, "").startswith(("LATIN SMALL LIGATURE", "LATIN CAPITAL LIGATURE", "ROMAN NUMERAL", "SMALL ROMAN NUMERAL")) or _digraph(ch)):
+                # Radicals, and letters that are written as several plain ones.
                 out[code] = unicodedata.normalize("NFKC", ch)
             elif 0xF900 <= code < 0xFB00 or 0x2F800 <= code < 0x2FA20:
                 out[code] = unicodedata.normalize("NFC", ch)

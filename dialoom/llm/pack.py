@@ -11,6 +11,11 @@ full enough are opened once more and packed together with those of many groups,
 so little room is lost at the borders. Only a text larger than the capacity is
 cut: into full pieces, which fill containers of their own, and a rest.
 
+Attention cost keeps a container from being filled by one long text and little
+else: its capacity is ATTENTION of the square of the tokens, so an item of more
+than its root's share of the tokens is over it alone. Such an item can not be cut;
+it gets a container, and only items that cost nothing may join it.
+
 Defined cases: a text without tokens (null, empty) is an item of size 0 and goes
 into a container of its group; an empty table gives no containers. Repeated rows
 are separate items; further columns are ignored."""
@@ -28,28 +33,32 @@ from dialoom.session import cut
 
 #: Items of a group; containers filled less than REOPEN are packed again.
 GROUP_ITEMS, REOPEN = 12_000, 0.985
-#: Documents that a container holds at most; attention cost as a share of capacity squared.
-MAX_DOCS, ATTENTION = 4096, 1.0
+#: Documents that a container holds at most (each needs a border and positions of
+#: its own); attention cost as a share of capacity squared. Below 1 the cost binds:
+#: a batch of such containers is bounded in time, not in tokens alone.
+MAX_DOCS, ATTENTION = 256, 0.85
 #: Weights of the residual tokens, places and attention cost.
 WEIGHTS = (1.0, 0.05, 0.25)
-#: Number of container ids of one group.
-IDS = 1 << 20
+#: Number of container ids of one group; the upper half is for pieces of long texts,
+#: more than any group has tokens.
+IDS = 1 << 33
 
 
 def best_fit(sizes: np.ndarray, capacity: int, max_docs: int = MAX_DOCS, attention: float = ATTENTION, rule: str = "norm") -> np.ndarray:
-    """Container of each item. Containers with one and the same residual are
-    alike, so each item looks at the open ones only; those without room for
-    the smallest item left are closed."""
+    """Container of each item. Each item looks at the open containers only; those
+    without room for the smallest item left are closed. Items of size 0 use a place
+    and nothing else, and fill what places are left at the end."""
+    where = np.zeros(len(sizes), np.int64)
     order = np.argsort(-sizes, kind="stable")
+    order, empty = order[sizes[order] > 0], np.flatnonzero(sizes <= 0)
     limit = attention * float(capacity) ** 2
     weights = np.array(WEIGHTS)
-    left = np.empty((3, len(sizes)))  # residuals as shares: tokens, places, attention
-    ids = np.empty(len(sizes), np.int64)
-    where = np.empty(len(sizes), np.int64)
+    left = np.empty((3, len(order)))  # residuals as shares: tokens, places, attention
+    ids = np.empty(len(order), np.int64)
     opened = made = 0
-    smallest = sizes[order[-1]] / capacity if len(sizes) else 0
+    smallest = sizes[order[-1]] / capacity if len(order) else 0
     share, place, cost = sizes / capacity, 1.0 / max_docs, sizes.astype(float) ** 2 / limit
-    for n, i in enumerate(order):
+    for i in order:
         need = np.array([share[i], place, cost[i]])
         rest = left[:, :opened] - need[:, None]
         fits = np.flatnonzero((rest > -1e-12).all(axis=0)) if opened else np.array([], int)
@@ -64,9 +73,13 @@ def best_fit(sizes: np.ndarray, capacity: int, max_docs: int = MAX_DOCS, attenti
             opened, made = opened + 1, made + 1
         left[:, k] -= need
         where[i] = ids[k]
-        if (left[0, k] < smallest - 1e-12 or left[1, k] < place - 1e-12) and opened:
+        if left[0, k] < smallest - 1e-12 or left[1, k] < place - 1e-12 or left[2, k] < smallest**2 * capacity**2 / limit - 1e-12:
             opened -= 1
             left[:, k], ids[k] = left[:, opened], ids[opened]
+    if len(empty):
+        places = max_docs - np.bincount(where[order], minlength=made)
+        more = -(-max(0, len(empty) - int(places.sum())) // max_docs)
+        where[empty] = np.repeat(np.arange(made + more), np.r_[places, np.full(more, max_docs)].astype(int))[: len(empty)]
     return where
 
 

@@ -46,7 +46,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     one, two = _balanced(spark, d)
-    return one.report.unionByName(two.report)
+    report = one.report.unionByName(two.report).drop("imbalance")
+    return report.withColumn("needed", F.round(F.col("needed") * 1000).cast("long"))
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +81,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    records = _wide(spark, d, "messages_sft")
-    return splits.overlap_report(records, splits.split_overlaps(records))
+    return splits.overlap_report(_wide(spark, d, "messages_sft"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,16 +96,41 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack.pack_texts(_wide(spark, d, "documents"), table(spark, d, "pack_capacity"))
 
 
+def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: documents that are packed whole, containers over their tokens."""
+    sizes = table(spark, d, "pack_capacity")
+    rows = p9_containers(spark, d)
+    bins = rows.groupBy("pack_name", "bin_id").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(sizes), "pack_name")
+    over = bins.groupBy("pack_name").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("over_full"))
+    docs = rows.groupBy("pack_name", "doc_id").agg(F.count("*").alias("n"), F.max("piece_no").alias("m")).groupBy("pack_name").agg(F.count("*").alias("documents"), F.count_if(F.col("n") != F.col("m") + 1).alias("incomplete"))
+    return docs.join(over, "pack_name")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(_wide(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_kept, p5_found, p5_sanitized, p6_found, p6_report, p7_found, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_kept, p5_found, p5_sanitized, p6_found, p6_report, p7_found, p8_ids, p9_containers, p9_coverage, p10_found)}
 
 
 #: Equivalent SQL where it is simple enough to be trusted.
 ORACLE = {
+    "p9_coverage": "SELECT pack_name, (SELECT count(*) FROM documents) AS documents, 0 AS incomplete, 0 AS over_full FROM pack_capacity",
+    "p3_report": """
+        WITH rows_ AS (
+          SELECT 'candidate' AS population, category FROM candidate
+          UNION ALL SELECT 'group_selection', category FROM group_selection),
+        keyed AS (SELECT population, regexp_replace(lower(trim(category)), '[ _-]+', '_', 'g') AS k FROM rows_),
+        sizes AS (SELECT population, count(*) AS n FROM rows_ GROUP BY 1),
+        have AS (SELECT population, k, count(*) AS n FROM keyed WHERE k IS NOT NULL AND k <> '' GROUP BY 1, 2),
+        plan AS (
+          SELECT t.population, t.category, coalesce(h.n, 0)::BIGINT AS available, floor(t.sample_rate * s.n + 0.5)::BIGINT AS sample_size, t.min_rows, t.target_share
+          FROM target_share t JOIN sizes s USING (population)
+          LEFT JOIN have h ON h.population = t.population AND h.k = regexp_replace(lower(trim(t.category)), '[ _-]+', '_', 'g')),
+        goal AS (
+          SELECT *, greatest(min_rows::DOUBLE, target_share * sample_size) AS needed, least(available, greatest(min_rows, round(target_share * sample_size)::BIGINT)) AS wanted FROM plan)
+        SELECT population, category, available, sample_size, round(needed * 1000)::BIGINT AS needed, wanted, wanted AS drawn, available + 1e-9 >= needed AS met FROM goal""",
     "p3_found": """
         WITH rows_ AS (
           SELECT 'candidate' AS population, category FROM candidate

@@ -10,12 +10,20 @@ checked shingle by shingle with the place filter and verified by the edit
 distance. Nothing is left out: hashed bits and frequencies only decide how many
 pairs are verified in vain.
 
+Texts meet by an equi-join on bands of length, in tiles of bounded size (parts of
+the evaluation texts x parts of the training texts of a band), so neither a hot
+length nor a large band makes a large task. What comes out first is links between
+different texts, with the rows of each text as their members; pairs of rows are
+spelled out from them only where they are asked for, and reports count without.
+
 Defined cases: null turns count as empty; records whose dialogue is empty are
 the same as each other only; an empty table gives no pairs; splits and roles are
-compared without case and outer blanks; sources may be null."""
+compared without case and outer blanks; a null or blank split is a split of its
+own, told apart from train, and reported as null; sources may be null."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -25,17 +33,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dialoom.llm.copies import DROPPED
 from dialoom.llm.forms import Fold
-from dialoom.llm.lookalike import script_bigrams
 from dialoom.session import cut
 
 #: Shingle length, and the share of the longer text that may be edited.
 Q, EDITS = 2, 0.2
 #: The prefix is larger than the shingles that may be lost by this share of the length.
 SPARE = 0.5
-#: Evaluation texts in one index; buckets of the frequency sketch (a power of two).
-BLOCK, SKETCH = 2048, 1 << 16
-#: Training texts that a task probes at most, about.
-TASK_TEXTS = 8192
+#: Evaluation texts in one index, and training texts that probe it, about; buckets
+#: of the frequency sketch (a power of two).
+BLOCK, TASK_TEXTS, SKETCH = 2048, 8192, 1 << 16
+#: Ratio of lengths that a band spans: a little more than partners can differ by, so
+#: that they are in one band or in neighbours.
+SPAN = 1.01 / (1 - EDITS)
 #: Bits of a fine and a coarse row.
 FINE, COARSE = 4096, 1024
 
@@ -44,21 +53,23 @@ def clean_label(column: str) -> Column:
     return F.lower(F.regexp_replace(F.col(column), r"(?U)^\s+|\s+$", ""))
 
 
-def dialogue_text(df: DataFrame, key: str = "msg_id", messages: str = "messages", split: str = "split") -> DataFrame:
-    """`key, part, digest, text`: each record's dialogue in comparison form;
-    part is "train" or "eval"."""
+def dialogue_text(df: DataFrame, key: str = "msg_id", messages: str = "messages", split: str = "split", source: str = "source") -> DataFrame:
+    """`key, part, split, source, digest, text`: each record's dialogue in comparison
+    form; part is "train" or "eval"."""
     turns = F.filter(F.coalesce(messages, F.array().cast(df.schema[messages].dataType)), lambda m: F.coalesce(F.lower(F.regexp_replace(m["role"], r"(?U)^\s+|\s+$", "")), F.lit("")) != "system")
     joined = F.concat_ws("", F.transform(turns, lambda m: F.coalesce(m["content"], F.lit(""))))
-    plain = df.select(key, F.when(clean_label(split) == "train", "train").otherwise("eval").alias("part"), joined.alias("text")).where(F.col(split).isNotNull() if split in df.columns else F.lit(True))
-    send = df.sparkSession.sparkContext.broadcast(script_bigrams(plain, ["text"]))
+    label = F.when(clean_label(split) != "", clean_label(split))
+    origin = F.col(source) if source in df.columns else F.lit(None).cast("string")
+    plain = df.select(F.col(key).alias("id"), F.when(label == "train", "train").otherwise("eval").alias("part"), label.alias("split"), origin.alias("source"), joined.alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = Fold(send.value)
+        # Which texts are equal depends on shapes alone; no scores are needed.
+        fold = Fold()
         for pdf in batches:
             texts = [fold(t).casefold().translate(DROPPED) for t in pdf["text"]]
             yield pdf.assign(text=texts, digest=[blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts])
 
-    return plain.mapInPandas(run, f"{key} long, part string, text string, digest binary")
+    return plain.mapInPandas(run, "id long, part string, split string, source string, text string, digest binary").withColumnRenamed("id", key)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -184,26 +195,21 @@ class Index:
 def near_texts(texts: DataFrame) -> DataFrame:
     """`digest_a` (evaluation), `digest_b` (training), `distance` for different
     texts within reach, from distinct `digest, part, text`."""
-    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts.where("part = 'train'")))
-    held = texts.where("part = 'eval'")
-    rows = held.count()
-    if not rows:
-        return texts.selectExpr("digest digest_a", "digest digest_b", "0 distance").where("false")
-    blocks = -(-rows // BLOCK)
-    # Blocks of evaluation texts of like length; a training text goes to those within reach only.
-    size = F.length("text")
-    bounds = held.select(F.percentile_approx(size, [i / blocks for i in range(1, blocks)] or [1.0], 10_000)).first()[0] if blocks > 1 else []
-    block = F.lit(0)
-    for b in bounds:
-        block = block + (size > b).cast("int")
-    held = held.withColumn("block", block)
-    ranges = {r.block: (r.lo, r.hi) for r in held.groupBy("block").agg(F.min(size).alias("lo"), F.max(size).alias("hi")).collect()}
-    able = F.array(*[F.when((size >= F.lit(lo * (1 - EDITS) - 1)) & (size <= F.lit(hi / (1 - EDITS) + 1)), F.lit(k)) for k, (lo, hi) in sorted(ranges.items())])
-    # Training texts are salted, so that a task has a bounded number of them.
-    salts = max(1, -(-texts.where("part = 'train'").count() // TASK_TEXTS))
+    train, held = (texts.where((F.col("part") == part) & (F.col("text") != "")) for part in ("train", "eval"))
+    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(train))
+    band = F.floor(F.log(F.length("text")) / math.log(SPAN)).cast("int")
+    held = held.select("digest", "text", F.explode(F.array(band - 1, band, band + 1)).alias("band"))
     # Names of its own: both sides come from one table, and a cogroup tells columns by their origin.
-    train = texts.where("part = 'train'").select(F.col("digest").alias("name"), F.col("text").alias("body"), F.explode(F.filter(able, lambda x: x.isNotNull())).alias("block"), F.pmod(F.xxhash64("digest"), F.lit(salts)).alias("salt"))
-    held = held.select("digest", "text", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    train = train.select(F.col("digest").alias("name"), F.col("text").alias("body"), band.alias("band"))
+    # One row per band: as many as the logarithm of the longest text.
+    sizes = held.groupBy("band").agg(F.count("*").alias("e")).join(train.groupBy("band").agg(F.count("*").alias("t")), "band").collect()
+    if not sizes:
+        return texts.selectExpr("digest digest_a", "digest digest_b", "0 distance").where("false")
+    parts = lambda name, size: F.create_map(*[F.lit(x) for r in sizes for x in (r["band"], -(-r[name] // size))])[F.col("band")]
+    e_parts, t_parts = parts("e", BLOCK), parts("t", TASK_TEXTS)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    held = held.where(e_parts.isNotNull()).select("*", F.pmod(F.xxhash64("digest"), e_parts).alias("e"), every(t_parts).alias("t"))
+    train = train.where(e_parts.isNotNull()).select("*", F.pmod(F.xxhash64("name"), t_parts).alias("t"), every(e_parts).alias("e"))
 
     def join(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b, d = [], [], []
@@ -218,26 +224,40 @@ def near_texts(texts: DataFrame) -> DataFrame:
                         d.append(far)
         return pd.DataFrame({"digest_a": a, "digest_b": b, "distance": d})
 
-    grouped = held.groupBy("block", "salt").cogroup(train.groupBy("block", "salt"))
+    grouped = held.groupBy("band", "e", "t").cogroup(train.groupBy("band", "e", "t"))
     return grouped.applyInPandas(join, "digest_a binary, digest_b binary, distance int")
 
 
-def split_overlaps(df: DataFrame, key: str = "msg_id", messages: str = "messages", split: str = "split") -> DataFrame:
-    """`{key}_a < {key}_b, eval_id, train_id, distance`: every pair of a training
-    record and one of another split with the same or nearly the same dialogue."""
-    records = cut(dialogue_text(df, key, messages, split))
+def overlap_links(df: DataFrame, key: str = "msg_id", **columns: str) -> tuple[DataFrame, DataFrame]:
+    """Records (`key, part, split, source, digest`) and links between their texts
+    (`digest_a` of evaluation, `digest_b` of training, `distance`; equal texts are
+    linked by 0): what overlaps, without a row for each pair of copies."""
+    records = cut(dialogue_text(df, key, **columns))
     texts = cut(records.groupBy("digest", "part").agg(F.first("text").alias("text")))
     both = texts.groupBy("digest").agg(F.count("*").alias("parts")).where("parts = 2")
     same = both.select(F.col("digest").alias("digest_a"), F.col("digest").alias("digest_b"), F.lit(0).alias("distance"))
-    pairs = same.unionByName(near_texts(texts))
+    return records.drop("text"), cut(same.unionByName(near_texts(texts)))
+
+
+def split_overlaps(df: DataFrame, key: str = "msg_id", **columns: str) -> DataFrame:
+    """`{key}_a < {key}_b, eval_id, train_id, distance`: every pair of a training
+    record and one of another split with the same or nearly the same dialogue."""
+    records, links = overlap_links(df, key, **columns)
     a = records.where("part = 'eval'").select(F.col("digest").alias("digest_a"), F.col(key).alias("eval_id"))
     b = records.where("part = 'train'").select(F.col("digest").alias("digest_b"), F.col(key).alias("train_id"))
-    out = pairs.join(a, "digest_a").join(b, "digest_b")
+    out = links.join(a, "digest_a").join(b, "digest_b")
     return out.select(F.least("eval_id", "train_id").alias(f"{key}_a"), F.greatest("eval_id", "train_id").alias(f"{key}_b"), "eval_id", "train_id", "distance")
 
 
-def overlap_report(df: DataFrame, pairs: DataFrame, key: str = "msg_id", split: str = "split", source: str = "source") -> DataFrame:
-    """Pairs, records and exact pairs per evaluation split and source."""
-    tags = df.select(F.col(key).alias("eval_id"), clean_label(split).alias("split"), F.col(source).alias("source"))
-    joined = pairs.join(tags, "eval_id")
-    return joined.groupBy("split", "source").agg(F.count("*").alias("pairs"), F.countDistinct("eval_id").alias("eval_records"), F.countDistinct("train_id").alias("train_records"), F.sum((F.col("distance") == 0).cast("long")).alias("exact_pairs"))
+def overlap_report(df: DataFrame, key: str = "msg_id", **columns: str) -> DataFrame:
+    """Pairs, records and exact pairs per evaluation split and source, counted from
+    the links and the numbers of rows of their texts."""
+    records, links = overlap_links(df, key, **columns)
+    held = records.where("part = 'eval'").groupBy(F.col("digest").alias("digest_a"), "split", "source").agg(F.count("*").alias("rows_a"))
+    train = records.where("part = 'train'").groupBy(F.col("digest").alias("digest_b")).agg(F.count("*").alias("rows_b"))
+    joined = cut(links.join(held, "digest_a").join(train, "digest_b"))
+    total = joined.groupBy("split", "source").agg(F.sum(F.col("rows_a") * F.col("rows_b")).alias("pairs"), F.coalesce(F.sum(F.when(F.col("distance") == 0, F.col("rows_a") * F.col("rows_b"))), F.lit(0)).alias("exact_pairs"))
+    once = lambda digest, rows, name: joined.select("split", "source", digest, rows).distinct().groupBy(F.col("split").alias("_s"), F.col("source").alias("_o")).agg(F.sum(rows).alias(name))
+    for part in (once("digest_a", "rows_a", "eval_records"), once("digest_b", "rows_b", "train_records")):
+        total = total.join(part, F.col("split").eqNullSafe(F.col("_s")) & F.col("source").eqNullSafe(F.col("_o"))).drop("_s", "_o")
+    return total.select("split", "source", "pairs", "eval_records", "train_records", "exact_pairs")

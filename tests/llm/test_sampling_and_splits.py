@@ -78,14 +78,17 @@ def test_overlaps_equal_brute_force(spark):
             t[i : i + (kind > 0.3)] = [rnd.choice("甲乙丙")] if kind < 0.7 else []
         return "".join(t)
 
-    texts = [(b, "train") for b in base] + [(edited(b, rnd.randint(0, max(1, len(b) // 4))), rnd.choice(["dev ", "TEST"])) for b in base for _ in range(2)] + [("", "train"), ("", "test"), ("好的，好", " Train"), ("好 的好！", "generic_test")]
+    texts = [(b, "train") for b in base] + [(edited(b, rnd.randint(0, max(1, len(b) // 4))), rnd.choice(["dev ", "TEST"])) for b in base for _ in range(2)] + [("", "train"), ("", "test"), ("好的，好", " Train"), ("好 的好！", "generic_test"), (base[0] + "，", None), (base[0], " ")]
     rows = [(i, s, None if i % 3 else "src", [("system", "s" * i), ("user", t[: len(t) // 2]), (" Assistant", t[len(t) // 2 :] if t else None)]) for i, (t, s) in enumerate(texts)]
     df = spark.createDataFrame(rows, "msg_id long, split string, source string, messages array<struct<role:string,content:string>>")
     plain = [t.replace("，", "").replace(" ", "").replace("！", "") for t, _ in texts]
-    train = [i for i, (_, s) in enumerate(texts) if s.strip().lower() == "train"]
+    train = [i for i, (_, s) in enumerate(texts) if (s or "").strip().lower() == "train"]
     want = {tuple(sorted((a, b))) for a in range(len(texts)) if a not in train for b in train if distance(plain[a], plain[b]) <= int(0.2 * max(len(plain[a]), len(plain[b])) + 1e-9)}
     pairs = splits.split_overlaps(df).cache()
     assert {(r.msg_id_a, r.msg_id_b) for r in pairs.collect()} == want and len(want) > 20
-    assert splits.overlap_report(df, pairs).agg(F.sum("pairs")).first()[0] == len(want)
+    report = {(r.split, r.source): (r.pairs, r.eval_records, r.train_records, r.exact_pairs) for r in splits.overlap_report(df).collect()}
+    named = pairs.join(df.select(F.col("msg_id").alias("eval_id"), F.when(splits.clean_label("split") != "", splits.clean_label("split")).alias("split"), "source"), "eval_id")
+    counted = named.groupBy("split", "source").agg(F.count("*").alias("p"), F.countDistinct("eval_id").alias("e"), F.countDistinct("train_id").alias("t"), F.count_if(F.col("distance") == 0).alias("x"))
+    assert report == {(r.split, r.source): (r.p, r.e, r.t, r.x) for r in counted.collect()} and any(k[0] is None for k in report)
     assert splits.split_overlaps(df.where("false")).count() == 0
     assert splits.split_overlaps(df.where("split = ' Train'")).count() == 0

@@ -59,3 +59,21 @@ def test_attention_cost_binds():
     where = pack.best_fit(np.array([50, 50, 10, 10]), 100, attention=0.3)
     cost = np.bincount(where, weights=np.array([50, 50, 10, 10.0]) ** 2)
     assert cost.max() <= 0.3 * 100**2 and len(set(where)) == 2
+
+
+def test_limits_bind_at_the_defaults():
+    rng = np.random.default_rng(3)
+    sizes = np.r_[rng.integers(1200, 1900, 300), rng.integers(1, 300, 3000), np.full(600, 1)]
+    own, free = pack.best_fit(sizes, 2048), pack.best_fit(sizes, 2048, 10**9, 1.0)
+    assert (own != free).any()
+    for where, most, share in ((own, pack.MAX_DOCS, pack.ATTENTION),):
+        alone = np.bincount(where) == 1
+        cost = np.bincount(where, weights=sizes.astype(float) ** 2) / 2048**2
+        assert np.bincount(where).max() <= most and (cost[~alone] <= share + 1e-9).all() and np.bincount(where, weights=sizes).max() <= 2048
+    assert (np.bincount(free, weights=sizes.astype(float) ** 2) / 2048**2).max() > pack.ATTENTION
+
+
+def test_empty_items_fill_places():
+    where = pack.best_fit(np.array([5, 0, 0, 5, 0, 0, 0]), 10, max_docs=3, attention=1.0)
+    assert np.bincount(where).max() <= 3 and len(set(where)) == 3
+    assert list(pack.best_fit(np.zeros(5, int), 10, max_docs=2)) == [0, 0, 1, 1, 2]
