@@ -1,13 +1,15 @@
 """Problem 7: defective replies of prompt and response pairs.
 
-A multi-label linear classifier on hashed n-grams and pair features. It is
-fitted on pairs of adjacent turns inside contexts, taken as sound, and on
-synthetic defects made of them: cut off, copied from the question, swapped for
-another language, refused. Thresholds are calibrated on held-out pairs for
-precision. Corpus statistics (how often texts end with some units, and how
-often so with a closing mark, over all turns and all replies) are features too. What passes a threshold is verified:
-a copy by containment, a language by script and function words, a cut by its
-last units, a refusal by its wording. Replies without letter or figure are empty.
+A multi-label linear classifier on hashed n-grams and pair features decides about
+every pair. It is fitted on pairs of adjacent turns inside contexts, taken as
+sound, and on synthetic defects made of them: cut off, copied from the question,
+swapped for replies in another language, refused. Thresholds are calibrated on
+held-out pairs for precision. Corpus statistics (how often texts end with some
+units, and how often so with a closing mark, over all turns and all replies) are
+pair features, as are wording, containment and language. Three exact checks
+follow: a copy gives back four fifths of the question, languages are known and
+differ, a cut does not end with a whole name, number or address. Replies without
+letter or figure are empty.
 
 Defined cases: a null reply is empty; a null or empty context has no question,
 so neither copy nor language is told; residue (problem 4) is left out; a field
@@ -41,9 +43,10 @@ USUAL = 0.03
 #: Precision that a threshold must reach on held-out pairs.
 PRECISION = 0.99
 
-#: Scale of the pair features: what they say about a pair outweighs its n-grams,
-#: which off-topic but sound replies share with defective ones.
-WEIGHTS = np.array([1, 2, 4, 4, 4, 2, 2, 4, 4, 8, 1, 1.0])
+#: Least and largest threshold: what is less likely than not is no finding.
+LEAST, MOST = 0.5, 0.95
+#: Scale of the pair features, in the order of `Reader.signs`.
+WEIGHTS = np.array([1, 1, 2, 2, 2, 1, 1, 2, 2, 4, 1, 1, 2, 2, 2.0])
 
 UNIT = re.compile(r"[㐀-鿿぀-ヿ가-힣]|[a-zÀ-ɏḀ-ỿЀ-ӿ]+(?:'[a-z]+)?|[฀-๿]+|\d+(?:[.,:]\d+)*")
 _LETTER = re.compile(r"[^\W_]")
@@ -81,7 +84,7 @@ REFUSAL_LATIN = re.compile(
     r"(?:can(?:no|')t|cannot|not able to|unable to|won't|must decline|have to decline|refuse to)\b.{0,30}\b(?:help|assist|answer|respond|discuss|provide|comply|request|topic|comment)|as an? (?:ai|assistant|language model)",
     re.I,
 )
-#: A shop's own negative answer speaks of goods, prices, orders.
+#: A shop's own negative answer speaks of goods, prices, orders: a feature against refusals.
 _SHOP = re.compile(r"价格|退货|退款|发票|专票|普票|门店|快递|发货|折扣|券|尺码|颜色|补发|库存|运费|包裹|refund|parcel|price|stock|ship|voucher", re.I)
 _PARTICLES = set("哦哈呢啦哟噢嘛")
 _CLOSED = re.compile(r"(?:[哦哈呢啦吗吧呀啊嘛哟噢぀-ヿ가-힣฀-๿]|[。!?！？]|(?<!\.)\.)[\s~～…)」』”\"']*$")
@@ -206,6 +209,19 @@ def overlap(asked: list[str], reply: list[str]) -> tuple[float, float]:
     return both / len(a), both / len(b)
 
 
+class _Hashes(dict):
+    """Hash of each unit, computed once."""
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[unit] = crc32(unit.encode("utf-8", "surrogatepass"))
+        return got
+
+
+_HASH = _Hashes().__getitem__
+
+
 @dataclass
 class Example:
     """What the classifier sees of a pair."""
@@ -239,25 +255,31 @@ class Reader:
         return max(turns if turns >= 2 else 0.0, marked) / (every + 1.0)
 
     def signs(self, asked: str, shown: str, units: list[str]) -> list[float]:
-        """The pair features; verifying looks at them too."""
+        """The pair features; the checks look at them too."""
         question, spoken = self.asked(asked)
         refused = (REFUSAL.search(shown) or REFUSAL_LATIN.search(shown)) is not None
         of_asked, of_reply = overlap(question, units) if 0.6 * len(question) <= len(units) else (0.0, 0.0)
         end = self.known_end(shown)
+        # How a text ends matters where its ending is unusual; elsewhere nothing is searched.
+        named = private = 0.0
+        if end < USUAL:
+            text = shown.rstrip(_TRAIL)
+            named = float(_NAME_END.search(text[-_LAST:]) is not None)
+            private = float(any(m.end() >= len(text) for p in (EMAIL, PHONE, ID18, ID9, PAPER, STREET, ADDRESS) for m in p.finditer(text)))
         return [
             1.0, min(1.0, end * 5), float(end < USUAL), float(is_open(shown)), float(refused), of_asked, of_reply, float(of_asked > 0.85), float(of_asked > 0.85 and of_reply > 0.4),
-            float(differs(spoken, language(shown))), float(shown != shown.rstrip(_TRAIL)), min(len(units), 60) / 60,
+            float(differs(spoken, language(shown))), float(shown != shown.rstrip(_TRAIL)), min(len(units), 60) / 60, named, private, float(_SHOP.search(shown) is not None),
         ]
 
-    def example(self, asked: str, shown: str) -> Example:
+    def example(self, asked: str | None, shown: str) -> Example:
         units = units_of(shown)
         return self.grams(units, self.signs(asked or "", shown, units))
 
     @staticmethod
     def grams(units: list[str], signs: list[float]) -> Example:
-        low = [crc32(u.encode("utf-8", "surrogatepass")) for u in units]
-        grams = np.array([h % HASHED for h in low] + [(a * 31 + b) % HASHED for a, b in zip(low, low[1:])] + [ending(units, n) * 7 % HASHED for n in (1, 2)], np.int64)
-        return Example(grams, np.array(signs) * WEIGHTS)
+        low = np.array(list(map(_HASH, units)), np.int64)
+        ends = [ending(units, n) * 7 % HASHED for n in (1, 2)]
+        return Example(np.concatenate([low % HASHED, (low[:-1] * 31 + low[1:]) % HASHED, ends]), np.array(signs) * WEIGHTS)
 
 
 @dataclass
@@ -266,12 +288,18 @@ class Model:
     dense: np.ndarray
     thresholds: np.ndarray
 
-    def scores(self, x: Example) -> np.ndarray:
-        n = max(1, len(x.grams))
-        return 1 / (1 + np.exp(-np.clip(self.weights[x.grams].sum(axis=0) / n**0.5 + x.dense @ self.dense, -30, 30)))
+    def scores(self, examples: list[Example]) -> np.ndarray:
+        """Probability of each label for each example."""
+        if not examples:
+            return np.zeros((0, len(LABELS)))
+        sizes = np.array([len(x.grams) for x in examples])
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        total = np.add.reduceat(self.weights[np.concatenate([x.grams for x in examples])], starts, axis=0)
+        z = total / np.sqrt(sizes)[:, None] + np.stack([x.dense for x in examples]) @ self.dense
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(examples: list[Example], labels: np.ndarray, epochs: int = 60, rate: float = 0.3) -> Model:
+def fit(examples: list[Example], labels: np.ndarray, epochs: int = 80, rate: float = 0.3) -> Model:
     """Logistic regression for all labels at once (Adagrad over the whole set);
     every fifth example is held out to calibrate the thresholds."""
     held = np.arange(len(examples)) % 5 == 0
@@ -298,14 +326,13 @@ def fit(examples: list[Example], labels: np.ndarray, epochs: int = 60, rate: flo
         gv += dv**2
         v -= rate * dv / np.sqrt(gv)
     model = Model(w.astype(np.float32), v, np.full(len(LABELS), 0.5))
-    kept = [model.scores(e) for e, h in zip(examples, held) if h]
-    if kept:
-        p, t = np.stack(kept), labels[held]
+    if held.any():
+        p, t = model.scores([e for e, h in zip(examples, held) if h]), labels[held]
         for k in range(len(LABELS)):
             order = np.argsort(-p[:, k])
             right = np.cumsum(t[order, k]) / np.arange(1, len(order) + 1)
             good = np.flatnonzero(right >= PRECISION)
-            model.thresholds[k] = np.clip(p[order[good[-1]], k] if len(good) else 0.9, 0.2, 0.9)
+            model.thresholds[k] = np.clip(p[order[good[-1]], k] if len(good) else MOST, LEAST, MOST)
     return model
 
 
@@ -326,6 +353,10 @@ def synthesize(pairs: list[tuple[str, str]], seed: int = 11) -> list[tuple[str,
     """(question, reply, label) with label -1 for sound pairs."""
     rnd = random.Random(seed)
     out = []
+    spoken: dict[str, list[str]] = {}
+    for _, reply in pairs:
+        spoken.setdefault(language(reply) or "", []).append(reply)
+    spoken.pop("", None)
     for asked, reply in pairs:
         out.append((asked, reply, -1))
         cut = _cut(reply, rnd)
@@ -340,7 +371,10 @@ def synthesize(pairs: list[tuple[str, str]], seed: int = 11) -> list[tuple[str,
         frame = rnd.choice(_FRAMES)
         out.append((asked, frame.format(*[copy] * frame.count("{}")), 2))
         foreign = rnd.choice(rnd.choice(_FOREIGN).split("|"))
-        if rnd.random() < 0.25:  # names say nothing about the language
+        others = [name for name in sorted(spoken) if differs(language(asked), name)]
+        if others and rnd.random() < 0.5:  # a sound reply to someone else
+            foreign = rnd.choice(spoken[rnd.choice(others)])
+        elif rnd.random() < 0.25:  # names say nothing about the language
             foreign = f"{rnd.choice(_GOODS)} - {foreign}"
         if differs(language(asked), language(foreign)):
             out.append((asked, foreign, 3))
@@ -393,7 +427,7 @@ def train(candidate: DataFrame, ends: np.ndarray, key: str = "line_no") -> Model
     inner = inner.where("length(trim(asked)) > 1 and length(trim(reply)) > 1").orderBy("h", "asked", "reply").limit(TRAIN_PAIRS)
     pairs = [(r.asked, r.reply) for r in inner.collect()]
     if not pairs:
-        return Model(np.zeros((HASHED, len(LABELS)), np.float32), np.zeros((12, len(LABELS))), np.full(len(LABELS), 2.0))
+        return Model(np.zeros((HASHED, len(LABELS)), np.float32), np.zeros((len(WEIGHTS), len(LABELS))), np.full(len(LABELS), 2.0))
     reader, rows = Reader(ends), synthesize(pairs)
     labels = np.zeros((len(rows), len(LABELS)))
     for i, (_, _, k) in enumerate(rows):
@@ -403,48 +437,39 @@ def train(candidate: DataFrame, ends: np.ndarray, key: str = "line_no") -> Model
 
 
 class Judge:
-    """The defect of one field."""
+    """The defects of fields."""
 
     def __init__(self, model: Model, ends: np.ndarray, residue: Residue):
         self.model, self.reader, self.residue = model, Reader(ends), residue
 
-    def defect(self, asked: str | None, reply: str | None) -> str | None:
-        if not reply:
-            return "empty"
-        shown = self.reader.fold(reply)
-        if not _LETTER.search(shown):
-            return "empty"
-        units = units_of(shown)
-        signs = self.reader.signs(asked or "", shown, units)
-        # Without a sign nothing that the classifier says could be verified.
-        if not (signs[2] or signs[3] or signs[4] or signs[5] > 0.8 or signs[9]):
-            return None
-        x = self.reader.grams(units, signs)
-        scores = self.model.scores(x)
-        over = {name for name, p, t in zip(LABELS, scores, self.model.thresholds) if p >= t}
-        if not over or self.residue.kind(reply):
-            return None
-        for name in ("copy", "language", "refusal", "truncated"):
-            if name in over and getattr(self, "_" + name)(shown, x, asked):
-                return name
-        return None
-
-    def _copy(self, shown: str, x: Example, asked: str | None) -> bool:
-        return x.dense[5] > 0.8 * WEIGHTS[5] and x.dense[6] > 0.55 * WEIGHTS[6]
-
-    def _language(self, shown: str, x: Example, asked: str | None) -> bool:
-        return x.dense[9] > 0
-
-    def _refusal(self, shown: str, x: Example, asked: str | None) -> bool:
-        return x.dense[4] > 0 and not _SHOP.search(shown)
-
-    def _truncated(self, shown: str, x: Example, asked: str | None) -> bool:
-        text = shown.rstrip(_TRAIL)
-        if is_open(shown):
-            return True
-        if not x.dense[2] or _NAME_END.search(text[-_LAST:]):
-            return False
-        return not any(m.end() >= len(text) for p in (EMAIL, PHONE, ID18, ID9, PAPER, STREET, ADDRESS) for m in p.finditer(text))
+    def defects(self, pairs: list[tuple[str | None, str | None]]) -> list[str | None]:
+        """The defect of each (question, reply), or None."""
+        out: list[str | None] = [None] * len(pairs)
+        places, examples = [], []
+        for i, (asked, reply) in enumerate(pairs):
+            shown = self.reader.fold(reply)
+            if not _LETTER.search(shown):
+                out[i] = "empty"
+                continue
+            places.append(i)
+            examples.append(self.reader.example(asked, shown))
+        over = self.model.scores(examples) >= self.model.thresholds
+        for n in np.flatnonzero(over.any(axis=1)):
+            i, x = places[n], examples[n]
+            names = {name for name, hit in zip(LABELS, over[n]) if hit and self.checked(name, x)}
+            if names and not self.residue.kind(pairs[i][1]):
+                out[i] = next(name for name in ("copy", "language", "refusal", "truncated") if name in names)
+        return out
+
+    @staticmethod
+    def checked(name: str, x: Example) -> bool:
+        """The exact checks; a refusal has none."""
+        signs = x.dense / WEIGHTS
+        if name == "copy":
+            return signs[5] > 0.8
+        if name == "language":
+            return signs[9] > 0
+        return name != "truncated" or signs[3] > 0 or not (signs[12] or signs[13])
 
 
 def defects(candidate: DataFrame, repair_group: DataFrame) -> DataFrame:
@@ -463,7 +488,7 @@ def defects(candidate: DataFrame, repair_group: DataFrame) -> DataFrame:
         model, ends, sketch, names = send.value
         judge = Judge(model, ends, Residue(sketch, names))
         for pdf in batches:
-            found = pd.Series([judge.defect(a, r) for a, r in zip(pdf["asked"], pdf["reply"])], index=pdf.index, dtype=object)
+            found = pd.Series(judge.defects(list(zip(pdf["asked"], pdf["reply"]))), index=pdf.index, dtype=object)
             hit = found.notna()
             if not hit.any():
                 continue

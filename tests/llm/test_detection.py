@@ -1,5 +1,6 @@
 """Problems 4, 5, 7 and 10 on written cases and held-out rows."""
 
+import numpy as np
 import pytest
 
 from dialoom.llm import pairs, privacy, residue, spam
@@ -113,18 +114,21 @@ def test_held_out(spark, replies):
     reader = pairs.Reader(ends)
     example = lambda r: reader.example(r[0], reader.fold(r[1]))
     train, test = (pairs.synthesize([(r.a, r.b) for r in part], seed) for part, seed in ((rows[:1000], 1), (rows[1000:], 2)))
-    import numpy as np
-
     labels = np.zeros((len(train), len(pairs.LABELS)))
     for i, r in enumerate(train):
         if r[2] >= 0:
             labels[i, r[2]] = 1
     model = pairs.fit([example(r) for r in train], labels)
-    scores = np.stack([model.scores(example(r)) for r in test])
+    scores = model.scores([example(r) for r in test])
     truth = np.array([r[2] for r in test])
     for k in range(len(pairs.LABELS)):
         over = scores[:, k] >= model.thresholds[k]
         assert (truth[over] == k).mean() > 0.95 and over[truth == k].mean() > 0.8, pairs.LABELS[k]
+    # The checks alone find far too much: the classifier decides.
+    tell = residue.Residue(np.zeros(residue.BUCKETS, np.int8), [])
+    free = pairs.Model(model.weights, model.dense, np.zeros(len(pairs.LABELS)))
+    own, all_ = (pairs.Judge(m, ends, tell).defects([r[:2] for r in test if r[2] < 0]) for m in (model, free))
+    assert sum(map(bool, own)) < 0.05 * len(own) and sum(map(bool, all_)) > 0.9 * len(all_)
 
 
 PAGES = [
@@ -139,3 +143,20 @@ def test_spam(spark):
     for i, (text, want) in enumerate(PAGES):
         assert (i in got) == want, text
     assert spam.spam_pages(df.where("false")).count() == 0
+
+
+def test_neighbours_and_long_segments_decide():
+    """One long line of keywords outweighs a sentence before it; a bare line between
+    sentences is prose, between menu entries it is none; the shortcut is exact."""
+    model = spam.Markov(spam.START, spam.MOVES, spam.EMISSIONS)
+    line = "、".join(f"望潮挂钩{w}" for w in ["包邮", "价格", "批发", "图片", "直销", "代理", "评测", "正品"])
+    assert spam.other_share(f"仓库在打包了，今晚能出库。\n{line}", model) > 0.5
+    menu, prose = "首页\n挂钩馆\n下载\n登录\n更多\n注册", "退款会在三天内原路退回，请您留意。"
+    bare = "水壶大全"
+    labels = lambda text: model.viterbi(spam.observe(text)[0])
+    assert labels(f"{prose}\n{prose}\n{bare}\n{prose}\n{prose}")[2] < spam.OTHER <= labels(f"{menu}\n{bare}\n{menu}")[6]
+    rnd = np.random.default_rng(1)
+    for _ in range(300):
+        codes = list(rnd.choice([0, 1, 2, 512, 516, 513, 64, 129, 16, 17, 33, 544], rnd.integers(1, 12)))
+        if model.prose_only(codes, model.gains):
+            assert max(model.viterbi(codes)) < spam.OTHER

@@ -16,13 +16,13 @@ TEXTS = ["a" * N, "A" * N, "1" * N, "好" * N, " " * N + "x", "x" + " " * N + "x
 def test_long(text):
     sketch, ends = np.zeros(residue.BUCKETS, np.int8), np.zeros((3, pairs.ENDINGS), np.int32)
     tell = residue.Residue(sketch, ["amount"])
-    model = pairs.Model(np.zeros((pairs.HASHED, 4), np.float32), np.zeros((12, 4)), np.full(4, 0.2))
+    model = pairs.Model(np.zeros((pairs.HASHED, 4), np.float32), np.zeros((len(pairs.WEIGHTS), 4)), np.full(4, 0.2))
     began = time.time()
     fold = Fold({})
     shown = fold(text)
     tell.kind(text)
     privacy.Finder(privacy.Disclosure({})).spans(shown)
-    pairs.Judge(model, ends, tell).defect("你好，净重多少？", text)
+    pairs.Judge(model, ends, tell).defects([("你好，净重多少？", text)])
     spam.other_share(text, spam.Markov(spam.START, spam.MOVES, spam.EMISSIONS))
     copies.Canon(fold, ["商品", "颜色", "规格"]).record([text], text)
     assert time.time() - began < 6
