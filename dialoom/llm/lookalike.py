@@ -114,19 +114,32 @@ def visible_keys(df: DataFrame, key: str, context: str = "context", response: st
     return df.select(key, context, response).mapInPandas(run, f"{key} long, look binary, raw binary")
 
 
+def look_alike_classes(df: DataFrame, key: str = "line_no", context: str = "context", response: str = "response") -> DataFrame:
+    """`key, class_{key}, links` of every row that looks like another one written
+    differently: the smallest key of its class, and how many rows of the class are
+    not equal to it code point for code point. Nothing is spelled out, so a class
+    that holds a third of all rows costs no more than its rows."""
+    keys = cut(visible_keys(df, key, context, response))
+    return _classes(keys, key).select(key, f"class_{key}", "links")
+
+
+def _classes(keys: DataFrame, key: str) -> DataFrame:
+    writings = cut(keys.groupBy("look", "raw").agg(F.count("*").alias("own"), F.min(key).alias("first")))
+    classes = writings.groupBy("look").agg(F.sum("own").alias("rows"), F.min("first").alias(f"class_{key}"), F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi")
+    told = writings.join(classes.select("look", "rows", f"class_{key}"), "look").select("look", "raw", f"class_{key}", (F.col("rows") - F.col("own")).alias("links"))
+    return keys.join(told, ["look", "raw"])
+
+
 def look_alike_pairs(df: DataFrame, key: str = "line_no", context: str = "context", response: str = "response") -> DataFrame:
     """`{key}_a < {key}_b`: every pair of rows that look the same but are not
-    equal code point for code point. Rows of one writing are gathered first and
-    writings are paired, so that a large set of exact copies makes no pairs of
-    its own; the only growth is that of the pairs asked for."""
+    equal code point for code point, spelled out from the classes last: only rows
+    with links take part, and writings are paired before rows, so a large set of
+    exact copies makes no pairs of its own; the only growth is that of the pairs
+    asked for."""
     keys = cut(visible_keys(df, key, context, response))
-    writings = keys.groupBy("look", "raw").agg(F.count("*").alias("rows"))
-    several = writings.groupBy("look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo < hi").select("look")
-    writings = writings.join(several, "look", "left_semi").select("look", "raw")
-    pairs = writings.alias("x").join(writings.alias("y"), (F.col("x.look") == F.col("y.look")) & (F.col("x.raw") < F.col("y.raw")))
-    pairs = pairs.select("x.look", F.col("x.raw").alias("raw_a"), F.col("y.raw").alias("raw_b"))
-    hot = keys.join(several, "look", "left_semi")
-    left = hot.select(F.col("raw").alias("raw_a"), "look", F.col(key).alias("one"))
-    right = hot.select(F.col("raw").alias("raw_b"), "look", F.col(key).alias("two"))
-    joined = pairs.join(left, ["look", "raw_a"]).join(right, ["look", "raw_b"])
+    rows = cut(_classes(keys, key).select(F.col(key).alias("id"), "look", "raw"))
+    written = rows.select("look", "raw").distinct()
+    pairs = written.withColumnRenamed("raw", "raw_a").join(written.withColumnRenamed("raw", "raw_b"), "look").where("raw_a < raw_b")
+    one, two = rows.select("look", F.col("raw").alias("raw_a"), F.col("id").alias("one")), rows.select("look", F.col("raw").alias("raw_b"), F.col("id").alias("two"))
+    joined = pairs.join(one, ["look", "raw_a"]).join(two, ["look", "raw_b"])
     return joined.select(F.least("one", "two").alias(f"{key}_a"), F.greatest("one", "two").alias(f"{key}_b"))

@@ -64,7 +64,7 @@ _HAN = "[一-鿿]"
 #: Fields and phrases whose content is a name beyond doubt.
 SURE_NAME = re.compile(rf"(?:收件人|收货人|联系人)[:=]({_HAN}{{2,4}})(?=[\n;|/,。]|$)|登记在({_HAN}{{2,4}})名下|签收的是({_HAN}{{2,4}})本人|我叫({_HAN}{{2,4}})(?=[,。!?~\n]|$)")
 _ENGLISH_NAME = re.compile(r"\b(?:my name is|i am called|name:)\s+([A-Za-z][\w'’-]+(?:\s+[A-Za-z][\w'’-]+){1,2})", re.I)
-_HINT = re.compile(r"@|\b[aA][tT]\b|\d{3}[\d\s-]{5}|\d-\d|[零〇一二三四五六七八九]{9}|[路街巷道弄同]\d|\d[栋幢座号单]|[nN][aA][mM][eE]|fl|FL|Fl|fL|\d [A-Za-z]+ [A-Za-z]+|[A-Za-z]\d{7}")
+_HINT = re.compile(r"@|\b[aA][tT]\b|\d{3}[\d\s-]{5}|\d-\d|[零〇一二三四五六七八九幺]{9}|[nN][aA][mM][eE]|[cC][aA][lL][lL][eE][dD]|fl|FL|Fl|fL|\d,? [A-Za-z]+ [A-Za-z]+|[A-Za-z]\d{7}")
 _SPACES = re.compile(r"[ \t　]+")
 _HAN_SPACE = re.compile(rf"(?<={_HAN})[ \t]+(?=[\w(+])|(?<=[\w)])[ \t]+(?={_HAN})")
 
@@ -157,10 +157,10 @@ class Finder:
                 if not _STRICT_STREET.search(m.group()) or m.group()[0].isdigit() and re.search(r"\d [A-Z]", m.group()):
                     out.append(("address", *m.span()))
             out += [("name", *m.span(1)) for m in _ENGLISH_NAME.finditer(shown)]
-            if _ADDRESS_HINT.search(tight):
-                for m in ADDRESS.finditer(tight):
-                    lead = _LEAD.match(m.group()).end()
-                    out.append(("address", *self._back((m.start() + lead, m.end()), at)))
+        if _ADDRESS_HINT.search(tight):
+            for m in ADDRESS.finditer(tight):
+                lead = _LEAD.match(m.group()).end()
+                out.append(("address", *self._back((m.start() + lead, m.end()), at)))
         if self.terms.name is not None:
             out += [("name", *self._back(m.span(), at)) for m in self.terms.name.finditer(tight)]
         if "收" in tight or "联系人" in tight or "名下" in tight or "我叫" in tight:

@@ -22,6 +22,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(_wide(spark, d, "candidate"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_classes(_wide(spark, d, "candidate"))
+
+
 def p1_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.normalize_columns(_wide(spark, d, "candidate").select("line_no", "context", "response"), ["context", "response"])
 
@@ -111,7 +115,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_forms, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_kept, p5_found, p5_sanitized, p6_found, p6_report, p7_found, p8_ids, p9_containers, p9_coverage, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_classes, p1_forms, p2_found, p2_collapsed, p3_found, p3_report, p3_sample, p4_found, p4_kept, p5_found, p5_sanitized, p6_found, p6_report, p7_found, p8_ids, p9_containers, p9_coverage, p10_found)}
 
 
 #: Equivalent SQL where it is simple enough to be trusted.

@@ -160,3 +160,18 @@ def test_neighbours_and_long_segments_decide():
         codes = list(rnd.choice([0, 1, 2, 512, 516, 513, 64, 129, 16, 17, 33, 544], rnd.integers(1, 12)))
         if model.prose_only(codes, model.gains):
             assert max(model.viterbi(codes)) < spam.OTHER
+
+
+def test_hints_are_no_stricter_than_patterns():
+    find = privacy.Finder(privacy.Disclosure({}))
+    kinds = lambda t: {k for k, _, _ in find.spans(find.fold(t))}
+    assert "phone" in kinds("幺三八零零幺三八零零幺") and "name" in kinds("Hello, I am called Ada Byron") and "address" in kinds("It goes to 12, Mill Lane") and "address" in kinds("杏林路 874 号 19 幢 1406 室")
+
+
+def test_sketch_adds_up(spark):
+    from dialoom.llm import sketch
+
+    rows = [sketch.blocks(np.bincount(np.arange(i, 40_000, 7 * i + 1), minlength=1 << 16)) for i in range(5)]
+    df = spark.createDataFrame([(int(a), bytes(b)) for r in rows for a, b in zip(r["slice"], r["block"])], sketch.SCHEMA)
+    want = sum(np.bincount(np.arange(i, 40_000, 7 * i + 1), minlength=1 << 16) for i in range(5))
+    assert (sketch.total(df, 1 << 16) == want).all() and not sketch.total(df.where("false"), 1 << 16).any()

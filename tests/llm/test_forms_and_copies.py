@@ -32,6 +32,8 @@ def test_pairs(spark):
     want = {(a, b) for a, b in combinations(sorted(shown), 2) if shown[a] == shown[b] and raw[a] != raw[b]}
     got = {(r.line_no_a, r.line_no_b) for r in lookalike.look_alike_pairs(frame(spark, rows)).collect()}
     assert got == want == {(1, 2), (2, 3), (7, 8), (7, 9)}
+    links = {r.line_no: (r.class_line_no, r.links) for r in lookalike.look_alike_classes(frame(spark, rows)).collect()}
+    assert links == {i: (min(j for j in shown if shown[j] == shown[i]), sum(i in p for p in want)) for i in {x for p in want for x in p}}
     assert lookalike.look_alike_pairs(frame(spark, rows).where("false")).count() == 0
     out = {r.line_no: r.response for r in lookalike.normalize_columns(frame(spark, rows), ["context", "response"]).collect()}
     assert out[5] is None and out[2] == "ok"
