@@ -80,6 +80,27 @@ def _simple_map() -> dict[int, str | None]:
 
 SIMPLE = _simple_map()
 
+
+def _char_class(codes: list[int]) -> str:
+    """A pattern class of code points, neighbours as ranges."""
+    out, start = [], None
+    for code, after in zip(codes, [*codes[1:], -1]):
+        start = code if start is None else start
+        if after != code + 1:
+            out.append(re.escape(chr(start)) + ("-" + re.escape(chr(code)) if code > start else ""))
+            start = None
+    return f"[{''.join(out)}]"
+
+
+_MAPPED = re.compile(_char_class(sorted(SIMPLE)))
+_BY_CHAR = {chr(code): to or "" for code, to in SIMPLE.items()}
+
+
+def simple(text: str) -> str:
+    """`text` under the per-character map. Few characters of a text are mapped, so
+    looking for them is faster than asking for each."""
+    return _MAPPED.sub(lambda m: _BY_CHAR[m.group()], text)
+
 _LETTERS = "A-Za-zªºÀ-ɏɐ-ʯ̀-ͯͰ-ԯᲀ-᲏ᴀ-ᶿḀ-῿Ⱡ-ⱿꙀ-ꚟ꜠-ꟿµ"
 TOKEN = re.compile(f"[{_LETTERS}]+")
 #: Anything that needs more than the per-character map: marks, letters beyond plain Latin, jamo.
@@ -173,11 +194,11 @@ class Fold:
         """The visible form; a null text counts as empty."""
         if not text:
             return ""
-        out = text if text.isascii() and "\r" not in text and not _CONTROL.search(text) else _NEWLINE.sub("\n", text.translate(SIMPLE))
+        out = text if text.isascii() and "\r" not in text and not _CONTROL.search(text) else _NEWLINE.sub("\n", simple(text))
         # Without a letter beyond plain Latin there is no reading but the Latin one.
         if not _COMPOSE.search(out):
             return out
-        out = unicodedata.normalize("NFD", out).translate(SIMPLE)
+        out = simple(unicodedata.normalize("NFD", out))
         lean = self._lean(TOKEN.findall(out))
         return unicodedata.normalize("NFC", TOKEN.sub(lambda m: self._token(m.group(), lean), out))
 

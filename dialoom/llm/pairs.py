@@ -23,13 +23,15 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from dialoom.llm.forms import SIMPLE, Fold
+from dialoom.llm import sketch
+from dialoom.llm.forms import Fold, simple
 from dialoom.llm.privacy import ADDRESS, EMAIL, ID18, ID9, PAPER, PHONE, STREET
 from dialoom.llm.residue import Residue, anchors, marker_names, reply_records
 
@@ -224,10 +226,23 @@ _HASH = _Hashes().__getitem__
 
 @dataclass
 class Example:
-    """What the classifier sees of a pair."""
+    """What the classifier sees of a pair: hashes of its units, its endings, the pair
+    features."""
+
+    low: list[int]
+    ends: list[int]
+    signs: list[float]
 
-    grams: np.ndarray
-    dense: np.ndarray
+
+def gathered(examples: list[Example]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-grams of all examples, the example of each, and how many each has."""
+    low = np.array(list(chain.from_iterable(x.low for x in examples)), np.int64)
+    row = np.repeat(np.arange(len(examples)), [len(x.low) for x in examples])
+    inside = row[1:] == row[:-1]
+    pairs = ((low[:-1] * 31 + low[1:]) % HASHED)[inside]
+    ends = np.array([x.ends for x in examples], np.int64) * 7 % HASHED
+    rows = np.concatenate([row, row[1:][inside], np.repeat(np.arange(len(examples)), ends.shape[1])])
+    return np.concatenate([low % HASHED, pairs, ends.ravel()]), rows, np.bincount(rows, minlength=len(examples))
 
 
 class Reader:
@@ -273,13 +288,7 @@ class Reader:
 
     def example(self, asked: str | None, shown: str) -> Example:
         units = units_of(shown)
-        return self.grams(units, self.signs(asked or "", shown, units))
-
-    @staticmethod
-    def grams(units: list[str], signs: list[float]) -> Example:
-        low = np.array(list(map(_HASH, units)), np.int64)
-        ends = [ending(units, n) * 7 % HASHED for n in (1, 2)]
-        return Example(np.concatenate([low % HASHED, (low[:-1] * 31 + low[1:]) % HASHED, ends]), np.array(signs) * WEIGHTS)
+        return Example(list(map(_HASH, units)), [ending(units, n) for n in (1, 2)], self.signs(asked or "", shown, units))
 
 
 @dataclass
@@ -292,10 +301,10 @@ class Model:
         """Probability of each label for each example."""
         if not examples:
             return np.zeros((0, len(LABELS)))
-        sizes = np.array([len(x.grams) for x in examples])
-        starts = np.r_[0, np.cumsum(sizes)[:-1]]
-        total = np.add.reduceat(self.weights[np.concatenate([x.grams for x in examples])], starts, axis=0)
-        z = total / np.sqrt(sizes)[:, None] + np.stack([x.dense for x in examples]) @ self.dense
+        idx, rows, sizes = gathered(examples)
+        z = np.array([x.signs for x in examples]) * WEIGHTS @ self.dense
+        for k in range(len(LABELS)):
+            z[:, k] += np.bincount(rows, weights=self.weights[idx, k], minlength=len(examples)) / np.sqrt(sizes)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -305,11 +314,9 @@ def fit(examples: list[Example], labels: np.ndarray, epochs: int = 80, rate: flo
     held = np.arange(len(examples)) % 5 == 0
     train = [e for e, h in zip(examples, held) if not h]
     y = labels[~held]
-    idx = np.concatenate([e.grams for e in train])
-    size = np.array([len(e.grams) for e in train])
-    row = np.repeat(np.arange(len(train)), size)
-    scale = 1 / np.sqrt(np.maximum(size, 1))
-    dense = np.stack([e.dense for e in train])
+    idx, row, size = gathered(train)
+    scale = 1 / np.sqrt(size)
+    dense = np.array([e.signs for e in train]) * WEIGHTS
     w, v = np.zeros((HASHED, len(LABELS))), np.zeros((dense.shape[1], len(LABELS)))
     gw, gv = np.full_like(w, 1e-6), np.full_like(v, 1e-6)
     for _ in range(epochs):
@@ -398,7 +405,7 @@ def count_endings(turns: DataFrame, replies: DataFrame) -> np.ndarray:
         total = np.zeros((3, ENDINGS), np.int64)
         for pdf in batches:
             for text, turn in zip(pdf["text"], pdf["turn"]):
-                shown = text.translate(SIMPLE)
+                shown = simple(text)
                 # A single blank stands between phrases; more of them may stand anywhere.
                 for m in _PHRASE_END.findall(shown) + (_BLANK_END.findall(shown) if shown.count(" ") == 1 else []):
                     i = crc32(" ".join(m).encode()) % ENDINGS
@@ -410,15 +417,10 @@ def count_endings(turns: DataFrame, replies: DataFrame) -> np.ndarray:
                     total[2, i] += 1
                     total[1, i] += closed
                     total[0, i] += turn
-        for side in range(3):
-            at = np.flatnonzero(total[side])
-            yield pd.DataFrame({"side": side, "bucket": at, "n": total[side][at]})
-
-    parts = both.where("text is not null").mapInPandas(count, "side int, bucket long, n long").groupBy("side", "bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros((3, ENDINGS), np.int32)
-    got = parts.toPandas()
-    out[got["side"], got["bucket"]] = np.minimum(got["n"], 2**31 - 1)
-    return out
+        yield sketch.blocks(total.ravel())
+
+    out = sketch.total(both.where("text is not null").mapInPandas(count, sketch.SCHEMA), 3 * ENDINGS)
+    return np.minimum(out, 2**31 - 1).astype(np.int32).reshape(3, ENDINGS)
 
 
 def train(candidate: DataFrame, ends: np.ndarray, key: str = "line_no") -> Model:
@@ -464,12 +466,11 @@ class Judge:
     @staticmethod
     def checked(name: str, x: Example) -> bool:
         """The exact checks; a refusal has none."""
-        signs = x.dense / WEIGHTS
         if name == "copy":
-            return signs[5] > 0.8
+            return x.signs[5] > 0.8
         if name == "language":
-            return signs[9] > 0
-        return name != "truncated" or signs[3] > 0 or not (signs[12] or signs[13])
+            return x.signs[9] > 0
+        return name != "truncated" or x.signs[3] > 0 or not (x.signs[12] or x.signs[13])
 
 
 def defects(candidate: DataFrame, repair_group: DataFrame) -> DataFrame:
@@ -479,14 +480,14 @@ def defects(candidate: DataFrame, repair_group: DataFrame) -> DataFrame:
     ends = count_endings(turns, records.select(F.col("reply").alias("text")))
     model = train(candidate, ends)
     # Residue as problem 4 tells it, from the same records; rejected replies add their names.
-    sketch, names = anchors(reply_records(candidate, repair_group))
+    counts, names = anchors(reply_records(candidate, repair_group))
     names = sorted({*names, *marker_names(records.where("field = 'rejected'").select(F.col("reply").alias("text")))})
-    sketch = np.minimum(sketch, 2**31 - 1).astype(np.int32)
-    send = candidate.sparkSession.sparkContext.broadcast((model, ends, sketch, names))
+    counts = np.minimum(counts, 2**31 - 1).astype(np.int32)
+    send = candidate.sparkSession.sparkContext.broadcast((model, ends, counts, names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, ends, sketch, names = send.value
-        judge = Judge(model, ends, Residue(sketch, names))
+        model, ends, counts, names = send.value
+        judge = Judge(model, ends, Residue(counts, names))
         for pdf in batches:
             found = pd.Series(judge.defects(list(zip(pdf["asked"], pdf["reply"]))), index=pdf.index, dtype=object)
             hit = found.notna()

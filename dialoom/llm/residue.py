@@ -14,7 +14,6 @@ gives no rows."""
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from dialoom.llm import sketch
 from dialoom.llm.forms import Fold
+from dialoom.session import cut
 
 #: Buckets of the sketch that counts anchors (a power of two), whatever the corpus.
 BUCKETS = 1 << 21
@@ -105,7 +106,7 @@ def anchors(texts: DataFrame) -> tuple[np.ndarray, list[str]]:
     """Sketch of n-gram counts and the variable names, over all rows of `text`."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold, total, names = Fold(), np.zeros(BUCKETS, np.int64), Counter()
+        fold, total, names = Fold(), np.zeros(BUCKETS, np.int64), set()
         for pdf in batches:
             shown = [_BLANKS.sub("", fold(t)) for t in pdf["text"]]
             for size in (ANCHOR, ANCHOR + 1):
@@ -113,17 +114,13 @@ def anchors(texts: DataFrame) -> tuple[np.ndarray, list[str]]:
             for t in shown:
                 if _INTERESTING.search(t):
                     names.update(strong_names(t))
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "name": None, "n": total[at]})
+        yield sketch.blocks(total).assign(name=None)
         if names:
-            yield pd.DataFrame({"bucket": -1, "name": list(names), "n": list(names.values())})
+            yield pd.DataFrame({"slice": -1, "block": None, "name": list(names)})
 
-    parts = texts.select("text").where("text is not null").mapInPandas(count, "bucket long, name string, n long").groupBy("bucket", "name").agg(F.sum("n").alias("n"))
-    sketch = np.zeros(BUCKETS, np.int64)
-    for row in parts.where("bucket >= 0").select("bucket", "n").toPandas().itertuples():
-        sketch[row.bucket] = row.n
-    names = [r.name for r in parts.where("bucket < 0").orderBy("name").select("name").collect()]
-    return sketch, names
+    parts = cut(texts.select("text").where("text is not null").mapInPandas(count, f"{sketch.SCHEMA}, name string"))
+    names = [r.name for r in parts.where("name is not null").select("name").distinct().orderBy("name").collect()]
+    return sketch.total(parts.where("name is null"), BUCKETS), names
 
 
 #: Rows that can hold an unmistakable marker, for Spark.
@@ -150,12 +147,12 @@ def marker_names(texts: DataFrame) -> list[str]:
 class Residue:
     """Tells whether a text is residue, and of which sort."""
 
-    def __init__(self, sketch: np.ndarray, names: list[str]):
-        self.fold, self.sketch, self.names = Fold(), sketch, set(names)
+    def __init__(self, counts: np.ndarray, names: list[str]):
+        self.fold, self.counts, self.names = Fold(), counts, set(names)
         self.kind = lru_cache(100_000)(self._kind)
 
     def _count(self, gram: str) -> int:
-        return int(self.sketch[gram_codes([gram], len(gram))[0]])
+        return int(self.counts[gram_codes([gram], len(gram))[0]])
 
     def slot(self, text: str, start: int, end: int) -> bool:
         """Whether text[start:end] stands where records usually have other text."""
@@ -203,8 +200,7 @@ class Residue:
 def residue(records: DataFrame) -> DataFrame:
     """`record_kind, record_id, sort` of the rows of `record_kind, record_id,
     text` that are residue; the rest is what may be kept."""
-    sketch, names = anchors(records)
-    send = records.sparkSession.sparkContext.broadcast((sketch, names))
+    send = records.sparkSession.sparkContext.broadcast(anchors(records))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tell = Residue(*send.value)
