@@ -39,6 +39,6 @@ def total(parts: DataFrame, size: int) -> np.ndarray:
             yield pd.DataFrame({"slice": list(sums), "block": [zlib.compress(a.tobytes(), 1) for a in sums.values()]})
 
     out = np.zeros(size, np.int64)
-    for row in parts.select("slice", "block").repartition(STREAMS, "slice").mapInPandas(add, SCHEMA).toLocalIterator():
+    for row in parts.select("slice", "block").repartition(STREAMS, "slice").mapInPandas(add, SCHEMA).collect():
         out[row.slice * SLICE : (row.slice + 1) * SLICE] = np.frombuffer(zlib.decompress(row.block), np.int64)
     return out
