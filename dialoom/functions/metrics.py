@@ -35,24 +35,10 @@ def f1_of(common: Column, left: Column, right: Column) -> Column:
     return F.when(common > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays (rolling row)."""
-    zeros = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def row(previous: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            match = F.element_at(b, j) == x
-            value = F.when(match, F.element_at(previous, j) + 1).otherwise(F.greatest(F.element_at(previous, j + 1), F.element_at(done, -1)))
-            return F.concat(done, F.array(value))
-
-        return F.when(F.size(b) > 0, F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)).otherwise(previous)
-
-    return F.element_at(F.aggregate(a, zeros, row), -1)
-
-
 @F.pandas_udf(T.IntegerType())
 def lcs_text(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The same for texts of any length, bit-parallel, in Arrow batches."""
+    """Length of the longest common subsequence of two texts of any length,
+    bit-parallel, in Arrow batches."""
 
     def one(x: str | None, y: str | None) -> int:
         if not x or not y:

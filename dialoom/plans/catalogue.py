@@ -12,6 +12,7 @@ from dialoom.operators import grouping, joins, quota, repair, reports, splits
 from dialoom.plans import selection_sql as Q, sql as S
 from dialoom.session import cut, spread, table
 from dialoom.sources import writers
+from dialoom.streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -701,6 +702,21 @@ def run_steps(spark: SparkSession, d: str) -> DataFrame:
     return reports.run_steps(rows.select("run_name").distinct(), done, ["sft_base", "dpo_mix"], key="run_name")
 
 
+# Streams
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS rows FROM events GROUP BY 1, 2")
+def streamed_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = streams.run_once(streams.window_counts(streams.read_stream(spark, d, "events"), ["event_type"], time="ts", late="30 days"))
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "rows")
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, max(floor(value))::BIGINT AS peak FROM events GROUP BY 1, 2")
+def streamed_peaks(spark: SparkSession, d: str) -> DataFrame:
+    rows = streams.run_once(streams.peak_stream(streams.read_stream(spark, d, "events"), value="value", by=("event_type",), size="1 hour", late="30 days"))
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), "event_type", F.col("peak").cast("long").alias("peak"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

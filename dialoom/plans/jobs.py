@@ -91,6 +91,9 @@ def prepare_job(spark: SparkSession, source: str, out: str, ratio: float = 0.05,
     for name, test in (("train", "not is_validation"), ("validation", "is_validation")):
         writers.write_jsonl(both.where(test).drop("is_validation"), f"{out}/{name}")
     writers.write_jsonl(rows.groupBy("state").count(), f"{out}/states")
+    counts = rows.agg(F.count("*").alias("read"), F.count_if(F.col("state") == "ok").alias("valid")).withColumn("kept", F.lit(kept.count()))
+    writers.write_jsonl(counts, f"{out}/counts")
+    writers.write_jsonl(writers.first_rows(kept.drop("state"), [F.asc("idx")]), f"{out}/preview")
     return both
 
 

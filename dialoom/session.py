@@ -91,11 +91,16 @@ def cut(df: DataFrame) -> DataFrame:
     neither a lost executor nor a second use runs its plan again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/dialoom-{uuid.uuid4().hex}"
-    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    keep(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Note a folder of this application, for `drop_cuts`."""
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
 def drop_cuts(spark: SparkSession) -> int:
     """Remove the tables that `cut` has written in this application, and return
     their number. To be called once no result that reads them is needed."""

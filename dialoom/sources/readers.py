@@ -121,6 +121,15 @@ def tolerant_json(c: Column, schema: str) -> Column:
     return F.from_json(F.coalesce(c, F.lit("{}")), f"{schema}, _load_error string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_load_error"})
 
 
+def read_object(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON object of a file as a row; a file that is not there counts as an empty
+    object, a malformed one gives `_load_error`."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    text = spark.read.text(path, wholetext=True) if there else spark.createDataFrame([("{}",)], "value string")
+    return text.select(tolerant_json(F.col("value"), schema).alias("r")).select("r.*")
+
+
 def read_trainer_log(spark: SparkSession, path: str) -> DataFrame:
     """`run, idx, step, epoch, loss, ...` from trainer_state.json of each run: the one
     in the run's folder, else that of its highest checkpoint."""

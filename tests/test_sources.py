@@ -43,6 +43,9 @@ def test_json(spark, tmp_path):
     assert readers.preview_meta(ranked).first().source_score == 2.5
     assert readers.read_manual(spark, None).count() == 0
     got = [r[0] for r in spark.createDataFrame([('{"a": 1}',), ("{bad",), (None,)], "t string").select(readers.tolerant_json(F.col("t"), "a int")).collect()]
+    (tmp_path / "o.json").write_text('{"a": 7}')
+    assert readers.read_object(spark, str(tmp_path / "o.json"), "a int").first().a == 7
+    assert readers.read_object(spark, str(tmp_path / "none.json"), "a int").collect()[0].a is None
     assert got[0]["a"] == 1 and got[1]["_load_error"] == "{bad" and got[2]["a"] is None
 
 
