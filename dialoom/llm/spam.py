@@ -7,8 +7,9 @@ tags, arrows, shortness. A hidden Markov model with the states prose, data
 (the lines of a data sheet), link, tag and menu, whose states give each sign with a probability of their own, labels the
 segments (Viterbi), so that neighbours decide where signs are weak. A page is
 flagged if more than half of its words are in segments of links, tags or menus.
-The model starts from prior counts and is fitted by Baum-Welch to a bounded sample of
-pages; labels and shares are computed for every page, whole.
+The model starts from prior counts and is fitted by Baum-Welch to all pages: their
+signs are found once and kept, each round sums the expected counts of every page in
+tasks. Labels and shares are computed for every page, whole.
 
 Defined cases: null, empty and blank texts are no spam; repeated texts are each
 reported; an empty table gives no rows; further columns are ignored."""
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 from operator import add
@@ -26,14 +27,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from dialoom.session import cut
+
 STATES = ("prose", "data", "link", "tag", "menu")
 #: States from here on are no text to read.
 OTHER = 2
 SIGNS = ("ended", "words", "field", "items", "repeated", "common", "address", "hash", "arrows", "short")
-#: Pages that the model is fitted on (a bounded sample, by hash of the key), and rounds.
-FIT_PAGES, ROUNDS = 1500, 3
-#: Weight of the prior counts against those of the sample.
-PRIOR = 20_000.0
+#: Rounds of Baum-Welch.
+ROUNDS = 3
+#: Weight of the prior counts against those of so many pages. With more pages it grows
+#: in proportion: else the states of a large table would leave what they stand for.
+PRIOR, PRIOR_PAGES = 20_000.0, 1500
+#: Segments whose expected counts are computed at once (those of one page at least).
+PART = 50_000
+#: Segments beyond which a page is labelled alone: few others would go in step with it.
+ALONE = 200
+#: Decimals of fitted probabilities: the order of sums over tasks does not show in them.
+DECIMALS = 9
 #: Repetition inside a segment from which it is no plain sentence.
 REPEATED = 0.12
 #: A word is common on a page if it stands in so many segments and so large a share of
@@ -71,17 +81,20 @@ _HAN = re.compile(r"[㐀-鿿]")
 
 def repetition(segment: str) -> float:
     """Share of the segment's three-character runs (of two-word runs in Latin
-    text) that it has had before."""
+    text) that it has had before; 0 where it is surely less than REPEATED."""
     if _HAN.search(segment):
         n = len(segment) - 2
-        return 1 - len(set(zip(segment, segment[1:], segment[2:]))) / n if n > 3 else 0.0
+        # Runs are at least as many as the characters that they begin with.
+        if n <= 3 or 1 - len(set(segment[:n])) / n < REPEATED:
+            return 0.0
+        return 1 - len(set(zip(segment, segment[1:], segment[2:]))) / n
     words = segment.lower().split()
     n = len(words) - 1
     return 1 - len(set(zip(words, words[1:]))) / n if n > 4 else 0.0
 
 
 #: Words: ideographs one by one, runs of other letters and figures.
-_UNITS = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
+_HANS, _OTHERS = re.compile("[㐀-鿿]+"), re.compile(r"[^\W_㐀-鿿]+")
 _RUNS, _LONG = re.compile("[㐀-鿿]{2,}"), re.compile(r"[^\W\d_㐀-鿿]{4,}")
 
 
@@ -101,10 +114,11 @@ def signs_of(segment: str) -> tuple[int, int]:
     items = sum(map(segment.count, _SEPARATORS)) + 1
     if items >= 5:
         bits |= 1 << 3
-    units = len(_UNITS.findall(segment))
+    hans = sum(map(len, _HANS.findall(segment)))
+    units = hans + len(_OTHERS.findall(segment))
     if _ENDED.search(segment[-40:]):
         return bits | 1, units
-    words = len(_HAN.findall(segment)) or units
+    words = hans or units
     if words <= 12:
         bits |= 1 << 9
     # As many function words as sentences of this length have: no more need be found.
@@ -125,17 +139,16 @@ def content(segment: str) -> frozenset:
     return frozenset(out)
 
 
-def observe(text: str, settled=lambda codes: False) -> tuple[list[int], list[int]]:
-    """Signs and numbers of words of a page's segments. The sign "common" is left out
-    where the page is `settled` without it."""
+def observe(text: str) -> tuple[list[int], list[int]]:
+    """Signs and numbers of words of a page's segments."""
     parts = segments(text)
     found = [signs_of(s) for s in parts]
     codes, sizes = [c for c, _ in found], [n for _, n in found]
-    if settled(codes):
+    least = max(SEGMENTS, SPREAD * len(found))
+    if len(found) < least:
         return codes, sizes
     words = [content(s) for s in parts]
     seen = Counter(chain.from_iterable(words))
-    least = max(SEGMENTS, SPREAD * len(found))
     common = {w for w, n in seen.items() if n >= least}
     if common:
         codes = [c | 1 << 5 if own and len(own & common) >= COMMON * len(own) else c for c, own in zip(codes, words)]
@@ -155,15 +168,27 @@ def table(emissions: np.ndarray) -> np.ndarray:
     return np.exp(np.log(emissions) @ _BITS.T + np.log(1 - emissions) @ (1 - _BITS.T))
 
 
+def in_step(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Order in which the segments of pages, longest first, go place by place: the
+    pages that reach a place are the first ones. With the page of each segment in
+    that order, whether another one follows it, and the span of each place."""
+    lengths = np.array([len(p) for p in pages])
+    page = np.repeat(np.arange(len(pages)), lengths)
+    place = np.arange(len(page)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.argsort(place, kind="stable")
+    page, place = page[order], place[order]
+    ends = np.cumsum(np.bincount(place)).tolist()
+    return order, page, place + 1 < lengths[page], list(zip([0, *ends], ends))
+
+
 class Markov:
     """The model in logarithms."""
 
     def __init__(self, start: np.ndarray, moves: np.ndarray, emissions: np.ndarray):
         self.start, self.moves, self.emissions = np.log(start), np.log(moves), np.log(table(emissions))
         self.steps, self.emit = self.moves.T.tolist(), self.emissions.T.tolist()
-        # What a segment can win outside prose, as it is and whatever the page repeats.
-        gains = [max(e[OTHER:]) - e[0] for e in self.emit]
-        self.gains, self.most = gains, [max(g, gains[c | 1 << 5]) for c, g in enumerate(gains)]
+        # What a segment can win outside prose.
+        self.gains = [max(e[OTHER:]) - e[0] for e in self.emit]
         # What leaving prose costs at least: entering, or starting there; staying is dearer too.
         enter = min(self.moves[a, 0] - self.moves[a, OTHER:].max() for a in range(OTHER))
         leave = min(0.0, min(self.moves[0, b] - self.moves[OTHER:, b].max() for b in range(OTHER)))
@@ -197,73 +222,155 @@ class Markov:
             path.append(origin[path[-1]])
         return path[::-1]
 
+    def labels(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """`viterbi` of many pages, longest first, in step."""
+        order, _, _, spans = in_step(pages)
+        score = self.emissions.T[np.concatenate(pages)[order]]
+        origin = np.zeros(score.shape, np.int8)
+        score[: len(pages)] += self.start
+        for (into, _), (a, b) in zip(spans, spans[1:]):
+            last, from_ = score[into : into + b - a], origin[a:b]
+            top = last[:, :1] + self.moves[0]
+            for state in range(1, len(self.start)):
+                way = last[:, state : state + 1] + self.moves[state]
+                from_[way > top] = state
+                np.maximum(top, way, out=top)
+            score[a:b] += top
+        path = score.argmax(axis=1)
+        for (into, _), (a, b) in zip(spans[-2::-1], spans[:0:-1]):
+            path[into : into + b - a] = origin[np.arange(a, b), path[a:b]]
+        states = np.empty_like(path)
+        states[order] = path
+        return np.split(states, np.cumsum([len(p) for p in pages])[:-1])
+
+
+#: Probabilities of starts, moves and signs.
+Parameters = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: How signs and numbers of words of a page's segments are kept.
+CODE, SIZE = np.dtype("<i2"), np.dtype("<i4")
+
+
+def expected(pages: list[tuple[np.ndarray, int]], parameters: Parameters) -> np.ndarray:
+    """Expected counts of starts, moves, signs and states, in one array, over pages
+    (signs of the segments, number of such pages)."""
+    start, moves, emissions = parameters
+    pages = sorted(pages, key=lambda p: -len(p[0]))
+    texts, times = [p for p, _ in pages], np.array([float(n) for _, n in pages])
+    order, page, followed, spans = in_step(texts)
+    obs = np.concatenate(texts)[order]
+    given = table(emissions).T[obs]
+    alpha, beta = np.empty_like(given), np.ones_like(given)
+    reach = np.broadcast_to(start, (len(pages), len(start)))
+    for a, b in spans:
+        now = reach[: b - a] * given[a:b]
+        scale = now.sum(axis=1, keepdims=True)
+        now /= scale
+        alpha[a:b] = now
+        given[a:b] /= scale
+        reach = now @ moves
+    for (into, _), (a, b) in zip(spans[-2::-1], spans[:0:-1]):
+        beta[into : into + b - a] = (given[a:b] * beta[a:b]) @ moves.T
+    n, weight = len(pages), times[page][:, None]
+    gamma = alpha * beta
+    gamma *= weight / gamma.sum(axis=1, keepdims=True)
+    # Segments that are followed, and those that follow, are in the same order.
+    before = (alpha * weight)[followed]
+    m_count = moves * np.einsum("ni,nj->ij", before, given[n:] * beta[n:])
+    e_count = np.array([np.bincount(obs, g, len(_BITS)) for g in gamma.T])
+    return np.concatenate([gamma[:n].sum(axis=0), m_count.ravel(), (e_count @ _BITS).ravel(), e_count.sum(axis=1)])
+
+
+def refit(counts: np.ndarray) -> Parameters:
+    """Parameters from the prior counts and the expected ones of all pages."""
+    k = len(START)
+    s_count, m_count, e_count, total = np.split(counts, np.cumsum([k, k * k, k * len(SIGNS)]))
+    # Each page starts once.
+    prior = PRIOR * max(1.0, s_count.sum() / PRIOR_PAGES)
+    start, moves = START * prior / 10 + s_count, MOVES * prior + m_count.reshape(MOVES.shape)
+    emissions = (EMISSIONS * prior + e_count.reshape(EMISSIONS.shape)) / (prior + total[:, None])
+    start, moves = start / start.sum(), moves / moves.sum(axis=1, keepdims=True)
+    return start.round(DECIMALS), moves.round(DECIMALS), np.clip(emissions.round(DECIMALS), 1e-4, 1 - 1e-4)
+
+
+def parts_of(pages: Counter) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """Different pages that hold text and their numbers, in parts of PART segments."""
+    part, size = [], 0
+    for codes, n in pages.items():
+        if not codes:
+            continue
+        part.append((np.frombuffer(codes, CODE), n))
+        size += len(part[-1][0])
+        if size >= PART:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+def page_signs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key, codes, sizes` for every page: signs and numbers of words of its segments."""
 
-def fit(pages: list[list[int]]) -> Markov:
-    """Baum-Welch from the prior counts."""
-    start, moves, emissions = START.copy(), MOVES.copy(), EMISSIONS.copy()
-    for _ in range(ROUNDS):
-        s_count, m_count = START * PRIOR / 10, MOVES * PRIOR
-        e_count = np.zeros((len(start), len(_BITS)))
-        given = table(emissions)
-        for page in pages:
-            obs = np.array(page)
-            n = len(obs)
-            alpha, scale = np.empty((n, len(start))), np.empty(n)
-            alpha[0] = start * given[:, obs[0]]
-            scale[0] = alpha[0].sum()
-            alpha[0] /= scale[0]
-            for t in range(1, n):
-                alpha[t] = alpha[t - 1] @ moves * given[:, obs[t]]
-                scale[t] = alpha[t].sum()
-                alpha[t] /= scale[t]
-            beta = np.ones(len(start))
-            e_count[:, obs[n - 1]] += alpha[n - 1]
-            for t in range(n - 2, -1, -1):
-                ahead = given[:, obs[t + 1]] * beta / scale[t + 1]
-                m_count += alpha[t][:, None] * moves * ahead[None, :]
-                beta = moves @ ahead
-                gamma = alpha[t] * beta
-                e_count[:, obs[t]] += gamma / gamma.sum()
-            gamma = alpha[0] * beta
-            s_count += gamma / gamma.sum()
-        start = s_count / s_count.sum()
-        moves = m_count / m_count.sum(axis=1, keepdims=True)
-        emissions = (EMISSIONS * PRIOR + e_count @ _BITS) / (PRIOR + e_count.sum(axis=1, keepdims=True))
-        emissions = np.clip(emissions, 1e-4, 1 - 1e-4)
-    return Markov(start, moves, emissions)
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [observe(t or "") for t in pdf[text]]
+            yield pd.DataFrame({key: pdf[key], "codes": [np.array(c, CODE).tobytes() for c, _ in found], "sizes": [np.array(n, SIZE).tobytes() for _, n in found]})
 
+    return df.select(key, text).mapInPandas(read, f"{key} long, codes binary, sizes binary")
 
-def other_share(text: str | None, model: Markov) -> float:
-    """Share of a page's words in segments that are not prose."""
-    if not text:
-        return 0.0
-    codes, sizes = observe(text, lambda codes: model.prose_only(codes, model.most))
-    if not codes or model.prose_only(codes, model.gains):
-        return 0.0
-    return sum(n for n, k in zip(sizes, model.viterbi(codes)) if k >= OTHER) / max(1, sum(sizes))
 
+def fit_pages(signs: DataFrame) -> Markov:
+    """The model for a table, from the `codes` of all its pages."""
+    parameters = START, MOVES, EMISSIONS
+    pages = signs.select("codes")
+    for _ in range(ROUNDS):
 
-def fit_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> Markov:
-    """The model for a table, from FIT_PAGES pages."""
+        def count(batches: Iterator[pd.DataFrame], given: Parameters = parameters) -> Iterator[pd.DataFrame]:
+            sums = [expected(part, given) for pdf in batches for part in parts_of(Counter(pdf["codes"]))]
+            if sums:
+                yield pd.DataFrame({"counts": [sum(sums)]})
+
+        rows = pages.mapInPandas(count, "counts array<double>").collect()
+        if not rows:
+            break
+        parameters = refit(np.sum([r.counts for r in rows], axis=0))
+    return Markov(*parameters)
+
+
+def shares(codes: Iterable[bytes], sizes: Iterable[bytes], model: Markov) -> list[float]:
+    """Share of each page's words in segments that are not prose. Pages of the same
+    signs are labelled once, short ones many at a time."""
+    codes = list(codes)
+    other: dict[bytes, np.ndarray | None] = dict.fromkeys(codes)
+    for part in parts_of(Counter(c for c in other if not model.prose_only(np.frombuffer(c, CODE).tolist(), model.gains))):
+        pages = sorted((p for p, _ in part), key=len, reverse=True)
+        for p in pages:
+            if len(p) > ALONE:
+                other[p.tobytes()] = np.array(model.viterbi(p.tolist())) >= OTHER
+        if short := [p for p in pages if len(p) <= ALONE]:
+            other.update((p.tobytes(), states >= OTHER) for p, states in zip(short, model.labels(short)))
+    out = []
+    for c, n in zip(codes, sizes):
+        words = np.frombuffer(n, SIZE)
+        out.append(0.0 if other[c] is None else int(words[other[c]].sum()) / max(1, int(words.sum())))
+    return out
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"signs": [observe(t)[0] for t in pdf[text]]})
 
-    rows = df.where(F.length(F.trim(text)) > 0).select(text, F.xxhash64(key).alias("h")).orderBy("h").limit(FIT_PAGES)
-    return fit([list(r.signs) for r in rows.select(text).mapInPandas(read, "signs array<int>").collect() if r.signs])
+def other_share(text: str | None, model: Markov) -> float:
+    """Share of a page's words in segments that are not prose."""
+    codes, sizes = observe(text or "")
+    return shares([np.array(codes, CODE).tobytes()], [np.array(sizes, SIZE).tobytes()], model)[0]
 
 
 def page_labels(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key, other_share` for every page."""
-    send = df.sparkSession.sparkContext.broadcast(fit_pages(df, key, text))
+    signs = cut(page_signs(df, key, text))
+    send = df.sparkSession.sparkContext.broadcast(fit_pages(signs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = send.value
         for pdf in batches:
-            yield pd.DataFrame({key: pdf[key], "other_share": [other_share(t, model) for t in pdf[text]]})
+            yield pd.DataFrame({key: pdf[key], "other_share": shares(pdf["codes"], pdf["sizes"], send.value)})
 
-    return df.select(key, text).mapInPandas(run, f"{key} long, other_share double")
+    return signs.mapInPandas(run, f"{key} long, other_share double")
 
 
 def spam_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

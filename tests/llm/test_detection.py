@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dialoom.llm import pairs, privacy, residue, spam
 
@@ -162,6 +163,45 @@ def test_neighbours_and_long_segments_decide():
             assert max(model.viterbi(codes)) < spam.OTHER
 
 
+def test_every_page_counts_in_the_fit(spark):
+    """Which pages are found hangs neither on their keys nor on partitions, and a table
+    that is repeated gives the same shares."""
+    border, kinds = "上次说的羊毛雨伞到货了没", ("挂钩馆\n下载\n登录\n更多\n注册\n热卖", "仓库在打包了没\n这个是给我的\n那把伞到了没\n都可以换的")
+    ids = [r.id for r in spark.range(3000).orderBy(F.xxhash64("id")).collect()]
+    found = []
+    for first, second in (kinds, kinds[::-1]):
+        rows = [(i, first if n < 1500 else second) for n, i in enumerate(ids)] + [(5000, border)]
+        for parts, times in ((1, 1), (7, 1), (3, 2)):
+            df = spark.createDataFrame([(i + 10_000 * k, t) for k in range(times) for i, t in rows], "doc_id long, text string").repartition(parts)
+            found.append({r.doc_id % 10_000: r.other_share for r in spam.page_labels(df).where("doc_id % 10000 in (0, 1, 2, 5000)").collect()}[5000])
+    assert len(set(found)) == 1, found
+
+
+def test_counts_and_labels_of_many_pages_at_once():
+    """Expected counts and labels are those of one page after the other."""
+    rnd = np.random.default_rng(2)
+    pages = sorted((rnd.choice([0, 1, 2, 512, 516, 64, 129, 17, 33, 544], rnd.integers(1, 40)).astype(spam.CODE) for _ in range(60)), key=len, reverse=True)
+    times = [int(n) for n in rnd.integers(1, 4, len(pages))]
+    given = spam.table(spam.EMISSIONS)
+    want = [np.zeros(5), np.zeros((5, 5)), np.zeros((5, 10)), np.zeros(5)]
+    for page, n in zip(pages, times):
+        alpha, beta = [spam.START * given[:, page[0]]], [np.ones(5)]
+        for c in page[1:]:
+            alpha.append(alpha[-1] @ spam.MOVES * given[:, c])
+        for c in page[:0:-1]:
+            beta.insert(0, spam.MOVES @ (given[:, c] * beta[0]))
+        gamma = np.array(alpha) * np.array(beta) / alpha[-1].sum()
+        want[0] += n * gamma[0]
+        for t, c in enumerate(page[1:]):
+            want[1] += n * alpha[t][:, None] * spam.MOVES * given[:, c] * beta[t + 1] / alpha[-1].sum()
+        want[2] += n * gamma.T @ spam._BITS[page]
+        want[3] += n * gamma.sum(axis=0)
+    got = spam.expected(list(zip(pages, times)), (spam.START, spam.MOVES, spam.EMISSIONS))
+    assert np.allclose(got, np.concatenate([w.ravel() for w in want]), rtol=1e-9)
+    model = spam.Markov(spam.START, spam.MOVES, spam.EMISSIONS)
+    assert all(model.viterbi(p.tolist()) == own.tolist() for p, own in zip(pages, model.labels(pages)))
+
+
 def test_hints_are_no_stricter_than_patterns():
     find = privacy.Finder(privacy.Disclosure({}))
     kinds = lambda t: {k for k, _, _ in find.spans(find.fold(t))}
